@@ -118,7 +118,8 @@ def template_frequency(docs: DataFrame, templates: list[tuple[str, str]]) -> dic
         for pdf in batches:
             for text in pdf["text"]:
                 total.update(wanted.intersection(words(text)))
-        yield pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())}, columns=["word", "n"])
+        if total:
+            yield pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
 
     rows = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {x["word"].encode(): x["n"] for x in rows}

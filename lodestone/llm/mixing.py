@@ -40,7 +40,8 @@ def keyed(docs: DataFrame, keep: list[str], weight: Column | None, seed: int) ->
     text = F.coalesce("text", F.lit(""))
     tie = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
     u = (F.shiftrightunsigned(F.col("_tie"), 11).cast("double") + 0.5) / F.lit(float(2**53))
-    df = docs.select("*", F.col("source").alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), tie.alias("_tie"))
+    names = dict.fromkeys([*keep, "doc_id", "text"])
+    df = docs.select(*names, F.col("source").alias("_source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), tie.alias("_tie"))
     return df.select(*keep, "_source", "_size", (-F.log(u) / (quality_weight() if weight is None else weight)).alias("_key"), "_tie")
 
 
@@ -63,8 +64,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, weight: Column | None = None, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """keep (doc_id), with _size, _total (of the source), _target and _times, how often the mix takes the document."""
-    keep = keep or ["doc_id"]
+    """keep and doc_id, with _size, _total (of the source), _target and _times, how often the mix takes the document."""
+    keep = [*dict.fromkeys([*(keep or []), "doc_id"])]
     base = cut(keyed(docs, keep, weight, seed), "mix-keys")
     per_octave = max(64, math.ceil(base.count() / 400_000))
     base = base.withColumn("_bucket", F.floor(F.log2(F.greatest(F.col("_key"), F.lit(1e-300))) * per_octave).cast("long"))

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import license_scan, mixing, quality_classifier, quality_rules, url_filter, vector_search, warc
+from lodestone.llm import license_scan, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, url_filter, vector_search, warc
 from lodestone.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
+    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return df.select("doc_id", F.col("_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_rest", 256).alias("kept_sha256"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = warc.archive(table(spark, sf_dir, "pages"))
     return df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,21 +40,33 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pieces.encode(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", F.size("_ids").cast("long").alias("n_pieces"), F.col("_ids").alias("ids"), F.col("_decoded_sha256").alias("decoded_sha256"), F.col("_exact").alias("round_trip"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_nearest": op8_nearest,
+    "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
 }
 

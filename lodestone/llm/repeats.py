@@ -256,13 +256,15 @@ def _union(parts: list, length: int, size: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
-    """docs with _bytes (of the text), _spans (the stretches removed: from, to, in bytes) and _rest, the bytes that are left."""
+    """docs with _bytes (of the text), _spans (the stretches removed: from, to, in bytes), _rest (the bytes that are left) and
+    _rest_text, these as text without the parts of characters that a span has cut through. Columns of these names are replaced."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_t": F.xxhash64(text)})
-    texts = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("base"), text.cast("binary").alias("data"))
+    own = [c for c in docs.columns if c not in ("_bytes", "_spans", "_rest", "_rest_text")]
+    keyed = docs.select(F.struct(*own).alias("_row"), text.alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_t"))
+    texts = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("base"), F.col("_text").cast("binary").alias("data"))
     found = runs(texts, length, keep_first).groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("_runs"))
     found = cut(found, "runs")
-    df = keyed.join(found, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left").drop("d", "t", "_d", "_t")
+    df = keyed.join(found, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
 
     def strip(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -270,9 +272,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
             raw = (x or "").encode()
             spans = _union(p, length, len(raw))
             edges = [0, *spans.ravel().tolist(), len(raw)]
-            rows.append((len(raw), [{"from": int(a), "to": int(b)} for a, b in spans], b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
-        return pd.DataFrame(rows, columns=["bytes", "spans", "rest"])
+            rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            rows.append((len(raw), [{"from": int(a), "to": int(b)} for a, b in spans], rest, rest.decode(errors="ignore")))
+        return pd.DataFrame(rows, columns=["bytes", "spans", "rest", "rest_text"])
 
-    cleaned = F.pandas_udf(strip, "bytes long, spans array<struct<from: long, to: long>>, rest binary")("text", "_runs")
-    return df.withColumn("_x", cleaned).select(*docs.columns, F.col("_x.bytes").alias("_bytes"), F.col("_x.spans").alias("_spans"), F.col("_x.rest").alias("_rest"))
+    cleaned = F.pandas_udf(strip, "bytes long, spans array<struct<from: long, to: long>>, rest binary, rest_text string")("_text", "_runs")
+    return df.select("_row", cleaned.alias("_x")).select("_row.*", F.col("_x.bytes").alias("_bytes"), F.col("_x.spans").alias("_spans"), F.col("_x.rest").alias("_rest"), F.col("_x.rest_text").alias("_rest_text"))
 
