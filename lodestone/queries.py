@@ -1,4 +1,4 @@
 """The queries of the library, by name, and their SQL where SQL can say the same."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestone.plans import retrieval  # noqa: F401
+from lodestone.registry import ORACLE_SQL, QUERIES  # noqa: F401
