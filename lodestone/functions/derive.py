@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def course_type(title: Column, assessments: Column) -> Column:
     """placement, thesis, research or coursework, the first that the title or a stand-alone thesis category says."""
     title = F.lower(F.coalesce(title, F.lit("")))
-    parts = lambda a: F.array_distinct(F.filter(F.transform(F.split(F.lower(a["category"]), ","), F.trim), lambda x: x != ""))
+    parts = lambda a: F.array_distinct(F.filter(F.transform(F.split(F.lower(a["category"]), ","), lambda x: F.trim(x)), lambda x: x != ""))
     only_thesis = F.coalesce(F.exists(assessments, lambda a: parts(a) == F.array(F.lit("thesis"))), F.lit(False))
     return F.when(title.rlike("placement|internship|practicum"), "placement").when(title.rlike("thesis|dissertation") | only_thesis, "thesis").when(title.rlike("research"), "research").otherwise("coursework")
 

@@ -71,7 +71,7 @@ def linear_tables(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$") | ~F.contains(x, F.lit("|")))
 
     def row(x: Column) -> Column:
-        cells = F.filter(F.transform(F.split(x, r"\|"), F.trim), lambda c: ~c.isin("", "--"))
+        cells = F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: ~c.isin("", "--"))
         return F.when(x.rlike(r"^\s*\|"), F.array_join(cells, ", ")).otherwise(x)
 
     return F.array_join(F.transform(lines, row), "\n")

@@ -1,0 +1,64 @@
+"""From a question to a plan, by expressions of columns: slots, intents, route. A draft by a language model may be a column beside it."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions.text import course_code, detect_lang
+
+#: Words that a question uses for a slot's value, in order of precedence.
+LEVEL_HINTS = [("master|graduate certificate|postgrad", "Postgraduate"), ("bachelor|undergrad", "Undergraduate")]
+NEGATION = r"(no|without|not? have an?|don'?t have)\s+(an?\s+|any\s+)?(final\s+)?"
+
+
+def first_match(q: Column, pairs: list[tuple[str, str]]) -> Column:
+    out = F
+    for pattern, value in pairs:
+        out = out.when(q.rlike(pattern), value)
+    return out.otherwise(F.lit(None).cast("string"))
+
+
+def intent(q: Column, word: str) -> Column:
+    """False where the word is negated, true where it stands, else null."""
+    return F.when(q.rlike(NEGATION + word), False).when(q.rlike(word), True)
+
+
+def digits(q: Column) -> Column:
+    """First digits of codes that a question asks for (level 3, 2000-level, third year)."""
+    year = first_match(q, [("first.year", "1"), ("second.year", "2"), ("third.year", "3"), ("fourth.year", "4")])
+    found = F.concat(F.regexp_extract_all(q, F.lit("level\\s*([1-9])"), 1), F.regexp_extract_all(q, F.lit("([1-9])000.level"), 1), F.filter(F.array(year), lambda x: x.isNotNull()))
+    return F.array_sort(F.array_distinct(found))
+
+
+def both_semesters(q: Column) -> Column:
+    return q.rlike("semester\\s*1|\\bs1\\b") & q.rlike("semester\\s*2|\\bs2\\b") & q.rlike("both|either|each|all year")
+
+
+def enum_guard(asked: Column, domain: list[str]) -> Column:
+    """The spelling of the domain; a value that the domain lacks stays as it was asked for, so that the result is empty and not too wide."""
+    known = F.array(*[F.lit(x) for x in domain])
+    return F.coalesce(F.get(F.filter(known, lambda x: F.lower(x) == F.lower(asked)), F.lit(0)), asked)
+
+
+def plan(questions: DataFrame, column: str = "question", draft_mode: Column | None = None) -> DataFrame:
+    """questions with plan: mode, lang, code, direction, semester, both_semesters, has_exam, group, level, digits."""
+    raw = F.col(column)
+    q = F.lower(F.coalesce(raw, F.lit("")))
+    code = F.nullif(course_code(F.coalesce(raw, F.lit(""))), F.lit(""))
+    program = q.rlike("\\b(program|degree|bachelor|master)s?\\b")
+    direction = (
+        F.when(code.isNotNull() & q.rlike("can i (take|do|enrol)|allowed|permit"), "permit").when(code.isNotNull() & program & q.rlike("which|what"), "course_to_programs")
+        .when(program & q.rlike("courses?|core|elective|require"), "program_to_courses")
+    )
+    both = both_semesters(q)
+    semester = F.when(both, F.lit(None)).otherwise(first_match(q, [("semester\\s*1|\\bs1\\b", "S1"), ("semester\\s*2|\\bs2\\b", "S2")]))
+    has_exam, group = intent(q, "exam"), intent(q, "group (work|project|assignment)")
+    filters = semester.isNotNull() | both | has_exam.isNotNull() | group.isNotNull() | (F.size(digits(q)) > 0)
+    topical = q.rlike("\\babout\\b|\\bon\\b|related to|learn")
+    mode = (
+        F.when(q == "", "empty").when(direction.isNotNull(), "program").when(code.isNotNull(), "course_detail").when(q.rlike("how (do|can) i|deadline|apply|fee"), "kb")
+        .when(filters & topical, "hybrid").when(filters, "filter").when(topical, "semantic").otherwise(F.coalesce(draft_mode, F.lit("kb")) if draft_mode is not None else F.lit("kb"))
+    )
+    fields = {"mode": mode, "lang": detect_lang(F.coalesce(raw, F.lit(""))), "code": code, "direction": direction, "semester": semester, "both_semesters": both, "has_exam": has_exam, "group": group, "level": first_match(q, LEVEL_HINTS), "digits": digits(q)}
+    return questions.withColumn("plan", F.struct(*[v.alias(k) for k, v in fields.items()]))

@@ -170,12 +170,12 @@ def fil04(spark: SparkSession, d: str) -> DataFrame:
     return filters.where(part, {}, units=[*units, ""]).select("p_partkey")
 
 
-@query("fil05_title_exclude", "SELECT p_partkey FROM part WHERE coalesce(nullif(p_name, (SELECT p_name FROM part WHERE p_partkey = 3)), '') NOT LIKE '%1%' AND coalesce(lower(nullif(p_name, (SELECT p_name FROM part WHERE p_partkey = 3))), '') NOT LIKE '%part 2%'")
+@query("fil05_title_exclude", "SELECT p_partkey FROM part WHERE coalesce(nullif(p_name, (SELECT p_name FROM part WHERE p_partkey = 3)), '') NOT LIKE '%red%' AND coalesce(lower(nullif(p_name, (SELECT p_name FROM part WHERE p_partkey = 3))), '') NOT LIKE '%widget%'")
 def fil05(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     name = part.filter("p_partkey = 3").first()["p_name"]
     part = part.withColumn("title", F.nullif("p_name", F.lit(name)))
-    return filters.where(part, {}, exclude_title=["1", "PART 2"]).select("p_partkey")
+    return filters.where(part, {}, exclude_title=["red", "WIDGET"]).select("p_partkey")
 
 
 @query("fil07_dedup_preferred", """WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END, l_orderkey, l_linenumber) AS n, first_value(l_orderkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS pos FROM lineitem)
@@ -240,11 +240,11 @@ def srt01(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top(table(spark, d, "documents").select("doc_id", F.coalesce(F.size(tokens(F.col("text"))), F.lit(999)).cast("long").alias("n")), [F.asc("n"), F.asc("doc_id")], 20)
 
 
-@query("srt03_name_rank", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%1%' ORDER BY lower(p_name) = '1' DESC, lower(p_name) LIKE '1%' DESC, length(p_name), p_name, p_partkey LIMIT 15")
+@query("srt03_name_rank", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' ORDER BY lower(p_name) = 'ring' DESC, lower(p_name) LIKE 'ring%' DESC, length(p_name), p_name, p_partkey LIMIT 15")
 def srt03(spark: SparkSession, d: str) -> DataFrame:
     name = F.lower("p_name")
-    df = table(spark, d, "part").filter(F.contains(name, F.lit("1"))).select("p_partkey", "p_name")
-    return retrieval.top(df, [F.desc(name == "1"), F.desc(name.startswith("1")), F.length("p_name").asc(), F.asc("p_name"), F.asc("p_partkey")], 15)
+    df = table(spark, d, "part").filter(F.contains(name, F.lit("ring"))).select("p_partkey", "p_name")
+    return retrieval.top(df, [F.desc(name == "ring"), F.desc(name.startswith("ring")), F.length("p_name").asc(), F.asc("p_name"), F.asc("p_partkey")], 15)
 
 
 @query("srt04_latest_nulls_last", "SELECT o_custkey, max(o_orderdate)::VARCHAR AS latest, arg_max(o_orderkey, (o_orderdate, -o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
