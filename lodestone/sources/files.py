@@ -156,7 +156,7 @@ def chunks(pages: DataFrame, id_column: str, most: int = 200, least: int = 10) -
                             sections.append((" > ".join(path), "\n".join(lines)))
                         heads = {k: v for k, v in heads.items() if k < mark} | {mark: line[mark:].strip()}
                         lines = []
-                    else:
+                    elif line:
                         lines.append(line)
                 n = 0
                 for heading, text in packed(sections, most):
