@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from os.path import commonprefix
 from pathlib import Path
 
 import numpy as np
@@ -30,11 +31,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from lodestone.llm.common import text_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces whose results a task remembers, and characters of texts that it encodes at once.
-REMEMBERED = 400_000
-SLICE = 4 << 20
+REMEMBERED = 100_000
+SLICE = 1 << 20
 
 
 class Pieces:
@@ -42,7 +45,7 @@ class Pieces:
 
     def __init__(self, scores: dict[str, tuple[int, float]], kind: str, byte_ids: list[int] | None, unknown: int) -> None:
         self.scores, self.kind, self.byte_ids, self.unknown = scores, kind, byte_ids, unknown
-        self.longest = max(map(len, scores), default=1)
+        self.tails = {x[i:] for x in scores for i in range(len(x))}
         self.least = min((s for _, s in scores.values()), default=0.0) - 10
         self.follows: dict[tuple[str, str], bool] = {}
 
@@ -60,36 +63,31 @@ class Pieces:
         key = (last, piece)
         found = self.follows.get(key)
         if found is None:
-            if len(self.follows) > REMEMBERED:
+            if len(self.follows) > 3 * REMEMBERED:
                 self.follows.clear()
             found = self.follows[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return found
 
     def _state(self, word: str, end: int, states: list[tuple]) -> tuple:
         """(begin of the last piece, the piece or None, score) of the characters up to end."""
-        best = None
-        for begin in range(max(0, end - self.longest), end):
-            piece = word[begin:end]
-            own = self.scores.get(piece)
-            if own is None:
-                continue
-            if self.kind == "bpe":
+        found, begin = [], end - 1
+        while begin >= 0 and (piece := word[begin:end]) in self.tails:  # a longer string ends no piece if a shorter one doesn't
+            if piece in self.scores:
+                found.append((begin, piece))
+            begin -= 1
+        if self.kind == "bpe":
+            for begin, piece in reversed(found):
                 if self.may_follow(states[begin][1] or "", piece):
                     return begin, piece, 0.0
-            elif best is None or states[begin][2] + own[1] > best[2]:
-                best = (begin, piece, states[begin][2] + own[1])
-        unknown = (end - 1, None, states[end - 1][2] + self.least)
-        return best if best is not None else unknown
+        elif found:
+            return max(((begin, piece, states[begin][2] + self.scores[piece][1]) for begin, piece in reversed(found)), key=lambda x: x[2])
+        return end - 1, None, states[end - 1][2] + self.least
 
     def encode_sorted(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Each of the words, in ascending order, with its ids."""
         states, before = [(0, None, 0.0)], ""
         for word in words:
-            shared = 0
-            for a, b in zip(word, before, strict=False):
-                if a != b:
-                    break
-                shared += 1
+            shared = len(commonprefix((before, word)))
             del states[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 states.append(self._state(word, end, states))
@@ -121,15 +119,18 @@ class Codec:
         ends = "" if any("\n" in x for x in scores) else "\n"
         self.words = re.compile("(?s).+" if crossing else f"{MARK}*[^{MARK}{ends}]+|{MARK}+" + (f"|{ends}" if ends else ""))
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.strings = [b"" if special(i) and not p.is_byte(i) else bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace(MARK, " ").encode() for i in ids]
         self.strings[p.unk_id()] = " ⁇ ".encode()
         self.prefix = p.normalize("a").startswith(MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words.findall(self.processor.normalize(x)) if x else [] for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set(chain.from_iterable(split)).difference(self.known)
+        if len(self.known) > REMEMBERED:  # words that come often move on to the new generation; the others go with the old one
+            self.old, self.known = self.known, {}
+        words = set(chain.from_iterable(split)).difference(self.known)
+        self.known.update((x, self.old[x]) for x in words.intersection(self.old))
+        new = words.difference(self.known)
         self.known.update(self.pieces.encode_sorted(sorted(new)))
         out = [np.array(list(chain.from_iterable(map(self.known.__getitem__, x))), dtype=np.int32) for x in split]
         for x in new:  # long words are rare and large: they aren't remembered
@@ -172,6 +173,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, model: str = MODEL, k
     model is a path on the driver; the file's bytes (a fixed vocabulary) go to the tasks.
     """
     keep = keep or ["doc_id"]
+    text_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(Path(model).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, parallelism
+from lodestone.llm.common import cut, parallelism, text_batches
 
 LENGTH = 400
 #: Bytes of an anchor's segments that one task compares at most.
@@ -258,6 +258,7 @@ def _union(parts: list, length: int, size: int) -> np.ndarray:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
     """docs with _bytes (of the text), _spans (the stretches removed: from, to, in bytes), _rest (the bytes that are left) and
     _rest_text, these as text without the parts of characters that a span has cut through. Columns of these names are replaced."""
+    text_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     own = [c for c in docs.columns if c not in ("_bytes", "_spans", "_rest", "_rest_text")]
     keyed = docs.select(F.struct(*own).alias("_row"), text.alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_t"))

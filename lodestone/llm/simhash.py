@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, parallelism
+from lodestone.llm.common import cut, parallelism, text_batches
 from lodestone.llm.components import components
 
 SEED = 42
@@ -179,6 +179,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK, neares
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp of every document."""
+    text_batches(docs.sparkSession)
     own = F.pandas_udf(lambda texts: pd.Series([_signed(fingerprint(shingles(x, shingle))) for x in texts], dtype="int64"), "long")
     return docs.select("doc_id", own("text").alias("fp"))
 
