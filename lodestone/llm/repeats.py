@@ -149,7 +149,9 @@ def _ranked(key: np.ndarray) -> np.ndarray:
 
 
 def copied(rows: pd.DataFrame, length: int, keep_first: bool) -> Iterator[tuple[int, int, int, int]]:
-    """Of segments (d, t, pos, data) side by side: d, t and the from and to of runs of windows with an earlier (or any other) match."""
+    """Of segments (h, d, t, pos, data) side by side: d, t and the from and to of runs of windows with an earlier (or any other) match."""
+    if keep_first:  # rows that repeat doc_id and text bring a segment once each
+        rows = rows.drop_duplicates(["h", "d", "t", "pos"])
     raw = [np.frombuffer(x, dtype=np.uint8) for x in rows["data"]]
     sizes = np.array([len(x) for x in raw])
     begins = np.cumsum(sizes) - sizes

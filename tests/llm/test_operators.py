@@ -79,6 +79,22 @@ def test_repeats_keep_first(spark, rows, bucket, monkeypatch):
         assert bytes(x._rest) == bytes(b for b, h in zip(t, c) if not h), x.doc_id
 
 
+@pytest.mark.parametrize("bucket", [1 << 20, 300])
+def test_repeats_keep_first_of_repeated_rows(spark, bucket, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET", bucket)
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    one, two, three = (f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(3))
+    rows = [(None, one), (None, one), (None, one), (3, two), (3, two), (4, three), (4, one)]
+    distinct = [(None, one), (3, two), *sorted([(4, three), (4, one)], key=lambda r: spark.sql("SELECT xxhash64(:t)", {"t": r[1]}).first()[0])]
+    texts = [t.encode() for _, t in distinct]
+    rest = {r: bytes(b for b, h in zip(t, c) if not h) for r, t, c in zip(distinct, texts, brute_cover(texts, 60, True))}
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 60).collect()
+    assert len(found) == len(rows) and rest[None, one] == one.encode()
+    for x in found:
+        assert bytes(x._rest) == rest[x.doc_id, x.text], x.doc_id
+
+
 def brute_fingerprint(text):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", words)
