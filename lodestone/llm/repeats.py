@@ -13,6 +13,11 @@ in such a way that equal windows meet: a window goes by its anchor, the substrin
 3. An anchor whose segments pass BUCKET bytes isn't compared in one task: its segments are split again by longer anchors, at last
    by whole windows, where equal anchors are equal windows and nothing is left to compare.
 
+With `words`, texts are compared in a form in which every word takes CELL bytes at least, so that any passage of that many words
+reaches words x CELL bytes, whatever the lengths of its words; spaces count as one. A passage of fewer but longer words reaches
+them too, about as it would in bytes. Spans then go from the start of a word to the start of another; only words of
+LONG bytes or more are cut within.
+
 Defined results: a null text counts as empty; texts shorter than the length have no windows; a null doc_id orders before all others; rows
 that repeat both doc_id and text are copies of each other without keep_first, and are judged as one with it; an empty table gives an
 empty table; overlapping matches within one text count.
@@ -20,6 +25,7 @@ empty table; overlapping matches within one text count.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +37,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, parallelism, text_batches
 
 LENGTH = 400
+#: Bytes of a word of seven bytes or less, with its space, where passages are measured in words.
+CELL = 8
+#: Words of so many bytes (of a text without spaces, say) can be cut.
+LONG = 100
 #: Bytes of an anchor's segments that one task compares at most.
 BUCKET = 1 << 20
 #: Bytes whose suffixes are sorted together.
@@ -257,14 +267,57 @@ def _union(parts: list, length: int, size: int) -> np.ndarray:
     return np.stack([x[new, 0], np.minimum(reach[np.concatenate([new[1:], [True]])], size)], axis=1)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True) -> DataFrame:
+def _cell(word: bytes) -> bytes:
+    """A short word is repeated up to CELL bytes: a window that begins within it agrees only with the like of it."""
+    return word + b" " if len(word) >= CELL - 1 else ((word + b" ") * CELL)[:CELL]
+
+
+def celled(raw: bytes) -> bytes:
+    words = raw.split()
+    cells = {w: _cell(w) for w in set(words)}
+    return b"".join([cells[w] for w in words])
+
+
+def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data = pa.array([celled(x.as_py() or b"") for x in batch.column("data")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("d", "t", "base")), data], names=["d", "t", "base", "data"])
+
+
+def _in_text(raw: bytes, spans: np.ndarray) -> np.ndarray:
+    """Spans of celled(raw) as spans of raw: of whole words and the spaces after them, and of parts of words of LONG bytes."""
+    if not len(spans):
+        return spans
+    found = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\f\r]+", raw)]
+    begins = np.array([a for a, _ in found], dtype=np.int64)
+    sizes = np.array([b - a for a, b in found], dtype=np.int64)
+    ends = np.cumsum(np.maximum(sizes + 1, CELL))
+    cells = ends - np.maximum(sizes + 1, CELL)
+    after = np.concatenate([begins[1:], [len(raw)]])
+    a, b = spans[:, 0], spans[:, 1]
+    first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")  # the words in which spans begin and end
+    at = a - cells[first]
+    low = np.where(at == 0, begins[first], np.where(sizes[first] >= LONG, begins[first] + np.minimum(at, sizes[first]), after[first]))
+    at = b - cells[last]
+    high = np.where(b == ends[last], after[last], np.where(sizes[last] >= LONG, begins[last] + np.minimum(at, sizes[last]), begins[last]))
+    out = np.stack([low, high], axis=1)
+    return out[high > low]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, words: int = 0) -> DataFrame:
     """docs with _bytes (of the text), _spans (the stretches removed: from, to, in bytes), _rest (the bytes that are left) and
-    _rest_text, these as text without the parts of characters that a span has cut through. Columns of these names are replaced."""
+    _rest_text, these as text without the parts of characters that a span has cut through. Columns of these names are replaced.
+
+    With words, passages of that many words are looked for, and length isn't used.
+    """
+    length = words * CELL if words else length
     text_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     own = [c for c in docs.columns if c not in ("_bytes", "_spans", "_rest", "_rest_text")]
     keyed = docs.select(F.struct(*own).alias("_row"), text.alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_t"))
     texts = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("base"), F.col("_text").cast("binary").alias("data"))
+    if words:
+        texts = texts.mapInArrow(_celled, "d long, t long, base int, data binary")
     found = runs(texts, length, keep_first).groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("_runs"))
     found = cut(found, "runs")
     df = keyed.join(found, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
@@ -273,7 +326,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
         rows = []
         for x, p in zip(texts, parts, strict=True):
             raw = (x or "").encode()
-            spans = _union(p, length, len(raw))
+            if words and p is not None and len(p):
+                spans = _in_text(raw, _union(p, length, len(celled(raw))))
+            else:
+                spans = _union(p, length, len(raw))
             edges = [0, *spans.ravel().tolist(), len(raw)]
             rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             rows.append((len(raw), [{"from": int(a), "to": int(b)} for a, b in spans], rest, rest.decode(errors="ignore")))
