@@ -1,7 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text; a line of more than twice a template's words is cut into overlapping windows of that many, so that
-any stretch as long as the template lies in one. A block meets a template if it holds THRESHOLD of the template's distinct
+Blocks are the lines of a text and the text as a whole, so that a notice may be wrapped; a block of more than twice a template's
+words is cut into overlapping windows of that many, so that any stretch as long as the template lies in one. A block meets a template if it holds THRESHOLD of the template's distinct
 words. The template's words are ordered by how many documents hold them (counted over all documents), rarest first. A block that
 holds none of a template's prefix can't meet it; nor can one with too few words; nor one whose words after
 the first common one, in that order, are too few. What passes is counted exactly.
@@ -90,6 +90,23 @@ class Templates:
                     if common >= need:
                         best[k] = max(best.get(k, 0.0), common / len(order))
 
+    def windows(self, block: list[bytes], best: dict[int, float]) -> None:
+        """found() for a whole text: of its words only those of templates, by place."""
+        rank = self.rank
+        hits = [(i, rank[w]) for i, w in enumerate(block) if w in rank]
+        held = {r for _, r in hits}
+        for k, (_, own, order, need, length) in enumerate(self.items):
+            if len(own & held) < need:
+                continue
+            parts: dict[int, set[int]] = {}
+            for i, r in hits:
+                if r in own:
+                    parts.setdefault(i // length, set()).add(r)
+            # A window is two parts of the template's length; one that begins with an empty part is within the next.
+            common = max(len(part | parts.get(n + 1, set())) for n, part in parts.items())
+            if common >= need:
+                best[k] = max(best.get(k, 0.0), common / len(order))
+
     def scan(self, text: str | None) -> dict[int, float]:
         best: dict[int, float] = {}
         raw = (text or "").encode()
@@ -102,6 +119,7 @@ class Templates:
                 block = line.split()
                 if block and not self.prefix_words.isdisjoint(block):
                     self.found(block, best)
+            self.windows(lower.split(), best)
         return best
 
     @property

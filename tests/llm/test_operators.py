@@ -229,6 +229,19 @@ def test_license_scan(spark):
     assert found[5].labels == "bsd" and found[6].labels == ""
 
 
+def test_license_notices_may_be_wrapped():
+    templates = license_scan.TEMPLATES
+    join = license_scan.Templates(templates, {}, license_scan.THRESHOLD)
+    for k, (_, notice) in enumerate(templates):
+        ws = notice.split()
+        for width in (1, 3, 6, 9):
+            wrapped = "\n".join(" * " + " ".join(ws[i : i + width]) for i in range(0, len(ws), width))
+            for before in (0, 7, 40, 333):
+                assert join.scan("x\n" * before + wrapped + "\n\ny" * 50).get(k) == 1.0
+        # Words too far from each other are no notice.
+        assert k not in join.scan((" x" * 60 + "\n").join(ws))
+
+
 def test_license_join_is_exact():
     rng = random.Random(2)
     templates = [(f"t{i}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))) for i in range(8)]
