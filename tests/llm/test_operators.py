@@ -170,7 +170,10 @@ def test_unigram_pieces():
         return max([best(word[k:]) + scores[word[:k]][1] for k in range(1, len(word) + 1) if word[:k] in scores] + [best(word[1:]) - 16.0 if word[0] == "c" else -math.inf])
 
     of_id = {i: (p, s) for p, (i, s) in scores.items()} | {99: ("c", -16.0)}
-    for word, ids in pieces.Pieces(scores, "unigram", None, 99).encode_sorted(words):
+    flat, sizes = pieces.Pieces(scores, "unigram", None, 99).encode_sorted(words)
+    ends = [0, *sizes.cumsum().tolist()]
+    for word, a, b in zip(words, ends, ends[1:]):
+        ids = flat[a:b].tolist()
         assert "".join(of_id[i][0] for i in ids) == word
         assert sum(of_id[i][1] for i in ids) == pytest.approx(best(word))
 
