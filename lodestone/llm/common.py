@@ -47,7 +47,3 @@ def word_array(text: Column) -> Column:
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def text_batches(spark: SparkSession) -> None:
-    """Batches of whole texts go to Python in hundreds of rows, not in the ten thousands that suit numbers: a task holds a few at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

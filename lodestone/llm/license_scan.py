@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_batches
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -153,7 +152,6 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
     The score is 1 where a phrase stands, else the largest containment of a template that a block meets, else 0.
     """
-    text_batches(docs.sparkSession)
     join = Templates(templates, template_frequency(docs, templates), threshold)
     wanted = [(b" " + b" ".join(words(p)) + b" ", label) for p, label in phrases.items()]
 

@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_batches
 
 MAX_ROWS = 3000
 FEATURES = 1 << 16
@@ -193,7 +192,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: list[str] | None = None) -> DataFrame:
     """keep (doc_id), held_out, score and predicted of every document."""
-    text_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
     scored = F.pandas_udf(lambda texts: score(texts, model.value), "double")
     df = docs.select(*(keep or ["doc_id"]), held_out(F.col("doc_id")).alias("held_out"), scored("text").alias("score"))

@@ -12,9 +12,18 @@ from lodestone.llm.common import table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
-    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
-    return df.select("doc_id", F.col("_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_rest", 256).alias("kept_sha256"))
+    """Besides the contract's columns, n_passages and n_passage_bytes: passages of over 50 words that stand elsewhere too, whatever their bytes."""
+    df = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False, report=51, keep=["doc_id"])
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return df.select(
+        "doc_id",
+        F.col("_bytes").alias("n_bytes"),
+        total("_spans").alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.sha2("_rest", 256).alias("kept_sha256"),
+        F.size("_passages").cast("long").alias("n_passages"),
+        total("_passages").alias("n_passage_bytes"),
+    )
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,33 @@
-"""Suffix-array dedup: longest-previous-factor tests of all positions, by buckets of the suffix order.
-
-A window is the first `length` bytes of a suffix. A position is a copy if its window starts at an earlier position too (or at any
-other, without keep_first), which is whether its longest previous factor reaches the length. Suffixes are dealt to buckets
-in such a way that equal windows meet: a window goes by its anchor, the substring of `anchor` bytes with the least hash in it
-(the leftmost of equals). Neighbouring windows mostly share their anchor, so a run of them travels as one segment.
-
-1. Segments are made in one pass over the texts and counted by anchor and by content. Anchors that stand once have no copies and
-   go. Equal segments are copies of each other whole; one of them, the earliest, stands for all.
-2. Different segments of one anchor are compared: their bytes are laid side by side, the suffixes are sorted by prefix doubling
-   up to the length, and in each stretch of the suffix order whose common prefix reaches the length, a position with a smaller one
-   before or after it in that order (the previous and next smaller positions) has an earlier match.
-3. An anchor whose segments pass BUCKET bytes isn't compared in one task: its segments are split again by longer anchors, at last
-   by whole windows, where equal anchors are equal windows and nothing is left to compare.
-
-With `words`, texts are compared in a form in which every word takes CELL bytes at least, so that any passage of that many words
-reaches words x CELL bytes, whatever the lengths of its words; spaces count as one. A passage of fewer but longer words reaches
-them too, about as it would in bytes. Spans then go from the start of a word to the start of another; only words of
-LONG bytes or more are cut within.
+"""Suffix-array dedup: longest previous factors of all positions, by buckets of the suffix order.
+
+A window is the first `length` bytes of a suffix. A position is a copy if its longest previous factor (the longest stretch from it that also
+starts at an earlier position) reaches the length; without keep_first, if its longest factor at any other position does. Suffixes are
+dealt to buckets in such a way that equal windows meet: a window goes by its anchor, the substring of `anchor` bytes with the least
+hash in it (the leftmost of equals). Neighbouring windows mostly share their anchor, so a run of them travels as one segment.
+
+1. Segments are made in one pass over the texts. Anchors that stand once have no copies and go. Segments that are equal (by a
+   cryptographic digest of their bytes) are a kind; its first and its last one enter the bucket, and the copies between have the
+   longest previous factors of the last.
+2. In a bucket, suffixes that share what lies before the anchor are put in the order of what follows (suffix order), with their
+   longest common prefixes. The previous and the next smaller position in that order give the longest previous factor of each.
+3. An anchor whose segments pass BUCKET bytes isn't compared in one task: equal segments of it are copies whole, and one of each kind is
+   split again by longer anchors, at last by whole windows, where equal anchors are equal windows.
+
+With `words`, texts are compared in units: a word takes a unit of UNIT bytes, and one more for every UNIT of its bytes, so that any passage of
+that many words reaches as many units, whatever white space parts its words. Of what is found, passages of `words` words or of LENGTH bytes count.
+Spans then go from the start of a word to the start of another; only words of LONG bytes or more are cut within.
 
 Defined results: a null text counts as empty; texts shorter than the length have no windows; a null doc_id orders before all others; rows
-that repeat both doc_id and text are copies of each other without keep_first, and are judged as one with it; an empty table gives an
-empty table; overlapping matches within one text count.
+that repeat both doc_id and text are copies of each other without keep_first, and are judged as one with it; texts that share a doc_id are
+judged each on its own; of equal texts that with the least doc_id is the first; an empty table gives an empty table; overlapping matches
+within one text count; texts of any length are looked at whole, in pieces that overlap by a window.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -34,19 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, parallelism, text_batches
+from lodestone.llm.common import cut, parallelism
 
 LENGTH = 400
-#: Bytes of a word of seven bytes or less, with its space, where passages are measured in words.
-CELL = 8
+#: Bytes of a unit, where passages are measured in words.
+UNIT = 8
 #: Words of so many bytes (of a text without spaces, say) can be cut.
 LONG = 100
 #: Bytes of an anchor's segments that one task compares at most.
-BUCKET = 1 << 20
-#: Bytes whose suffixes are sorted together.
-CHUNK = 2 << 20
-#: Windows of a text that are looked at together.
-PIECE = 1 << 22
+BUCKET = 1 << 18
+#: Bytes of segments whose suffixes are sorted together.
+CHUNK = 1 << 20
+#: Symbols of texts that are looked at together, and of one text (fewer than 2^24).
+SLICE = 1 << 19
+PIECE = 1 << 20
 
 _RNG = np.random.default_rng(97)
 _BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -59,7 +61,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0 to n of the base and of its inverse, modulo 2^64."""
     if len(_TABLE["up"]) <= n:
         for name, x in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            _TABLE[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, x % (1 << 64), np.uint64)]))
+            _TABLE[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x % (1 << 64), np.uint64)]))
     return _TABLE["up"], _TABLE["down"]
 
 
@@ -69,18 +71,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def segments(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of the bytes of a text: the segments' starts, numbers of windows, anchor hashes and content hashes."""
-    windows = len(data) - length + 1
+def _symbols(raw: bytes, unit: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8 if unit == 1 else np.uint64)
+
+
+def segments(x: np.ndarray, sizes: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """Of symbols of texts of these sizes, side by side: the segments' starts, numbers of windows, places of anchors, texts and anchor hashes.
+
+    Equal anchors have equal hashes; that others may share one costs time and changes nothing.
+    """
+    windows = len(x) - length + 1
     if windows < 1:
-        return _NONE, _NONE, _NONE.astype(np.uint64), _NONE.astype(np.uint64)
-    if windows > PIECE:
-        parts = [(i, segments(data[i : i + PIECE + length - 1], length, anchor)) for i in range(0, windows, PIECE)]
-        return tuple(np.concatenate([p[k] + i if k == 0 else p[k] for i, p in parts]) for k in range(4))
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    full = _mixed((sums[anchor:] - sums[:-anchor]) * down[: len(data) - anchor + 1])
+        return _NONE, _NONE, _NONE, _NONE, _NONE.astype(np.uint64)
+    up, down = _powers(len(x))
+    sums = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum((_BYTES[x] if x.dtype == np.uint8 else _mixed(x)) * up[: len(x)], out=sums[1:])
+    full = _mixed((sums[anchor:] - sums[:-anchor]) * down[: len(x) - anchor + 1])
     low = np.uint64((1 << 24) - 1)
     least = (full & ~low) | np.arange(len(full), dtype=np.uint64)
     span, wanted = 1, length - anchor + 1
@@ -88,112 +94,160 @@ def segments(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ..
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < wanted:
-        least = np.minimum(least[: windows], least[wanted - span :])
+        least = np.minimum(least[:windows], least[wanted - span :])
     at = (least & low).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    n = np.diff(np.concatenate([starts, [windows]]))
-    at = at[starts]
-    ends = starts + n - 1 + length
-    content = _mixed((sums[ends] - sums[starts]) * down[starts])
-    content = _mixed(content * np.uint64(3) + full[at] + _mixed((at - starts).astype(np.uint64) * np.uint64(1 << 32) + n.astype(np.uint64)))
-    return starts, n, full[at], content
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    whole = text[:windows] == text[length - 1 :]
+    edge = ~whole[:-1] | ~whole[1:] | (at[1:] != at[:-1]) | (text[1:windows] != text[: windows - 1])
+    starts = np.flatnonzero(whole & np.concatenate([[True], edge]))
+    n = np.flatnonzero(whole & np.concatenate([edge, [True]])) - starts + 1
+    return starts, n, at[starts], text[starts], full[at[starts]]
 
 
-SEGMENT = "d long, t long, h long, c long, n int, starts array<int>"
+SEGMENT = "d long, t long, h long, c1 long, c2 long, k int, n int, starts array<int>"
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct segment of each text (d, t, base, data), with all its starts, in order."""
+def _segment_rows(batches: Iterator[pa.RecordBatch], length: int, anchor: int, unit: int) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct segment of each text (d, t, base, data), with all its starts, in order; k is the place of the anchor in it."""
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
     for batch in batches:
-        own = [batch.column(k) for k in ("d", "t", "base")]
-        keys = [x.to_numpy(zero_copy_only=False) for x in own]
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        rows = 0
-        for i, data in enumerate(batch.column("data")):
-            raw = data.as_buffer() if data.is_valid else b""
-            starts, n, h, c = segments(np.frombuffer(raw, dtype=np.uint8) if len(raw) else np.zeros(0, np.uint8), length, anchor)
-            if not len(starts):
-                continue
-            order = np.argsort(c, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
-            one = order[first]
-            for k, x in enumerate((np.full(len(one), i), h[one], c[one], n[one], np.diff(np.concatenate([first, [len(order)]])), starts[order] + keys[2][i])):
-                out[k].append(x)
-            rows += len(one)
-            if rows >= 50_000:
-                yield _batch(keys, out)
-                out, rows = [[] for _ in range(6)], 0
-        if rows:
-            yield _batch(keys, out)
-
-
-def _batch(keys: list[np.ndarray], out: list[list[np.ndarray]]) -> pa.RecordBatch:
-    i, h, c, n, sizes, starts = (np.concatenate(x) for x in out)
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    columns = [pa.array(keys[0][i].astype(np.int64)), pa.array(keys[1][i].astype(np.int64)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(starts.astype(np.int32)))]
-    return pa.RecordBatch.from_arrays(columns, names=["d", "t", "h", "c", "n", "starts"])
-
-
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """The rank of every suffix by its first length bytes (shorter at the end); suffixes that agree in these share a rank."""
-    n = len(data)
-    key = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        key[: n - i] |= (data[i:].astype(np.uint64)) << np.uint64(56 - 8 * i)
-    ranks, have = _ranked(key), 8
-    while have < length:
-        step = min(have, length - have)
-        after = np.zeros(n, dtype=np.uint64)
-        after[: max(0, n - step)] = ranks[step:] + np.uint64(1)
-        ranks = _ranked((ranks << np.uint64(32)) | after)
-        have += step
-    return ranks
-
-
-def _ranked(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    out = np.empty(len(key), dtype=np.uint64)
-    out[order] = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.uint64)])) if len(key) else key
+        for d, t, base, data in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "base")), batch.column("data"), strict=True):
+            raw = data.as_buffer().to_pybytes() if data.is_valid else b""
+            for i in range(0, max(len(raw) // unit - length + 1, 0), PIECE):
+                held.append((d, t, base + i, raw[i * unit : (i + PIECE + length - 1) * unit]))
+                size += len(held[-1][3]) // unit
+                if size >= SLICE:
+                    yield from _sliced(held, length, anchor, unit)
+                    held, size = [], 0
+    yield from _sliced(held, length, anchor, unit)
+
+
+def _sliced(held: list[tuple[int, int, int, bytes]], length: int, anchor: int, unit: int) -> Iterator[pa.RecordBatch]:
+    raw = b"".join(x[3] for x in held)
+    sizes = np.array([len(x[3]) // unit for x in held], dtype=np.int64)
+    starts, n, at, text, h = segments(_symbols(raw, unit), sizes, length, anchor)
+    if not len(starts):
+        return
+    view = memoryview(raw)
+    digests = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip((starts * unit).tolist(), ((starts + n + length - 1) * unit).tolist(), strict=True)])
+    c1, c2 = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2).T
+    order = np.lexsort((starts, c2, c1, text))
+    differs = [x[order][1:] != x[order][:-1] for x in (text, c1, c2)]
+    first = np.flatnonzero(np.concatenate([[True], differs[0] | differs[1] | differs[2]]))
+    one, offsets = order[first], np.concatenate([first, [len(order)]]).astype(np.int32)
+    d, t, base = (np.array([x[k] for x in held], dtype=np.int64) for k in range(3))
+    own = base - (np.cumsum(sizes) - sizes)
+    columns = [pa.array(x) for x in (d[text[one]], t[text[one]], h[one].view(np.int64), c1[one], c2[one], (at - starts)[one].astype(np.int32), n[one].astype(np.int32))]
+    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array((starts + own[text])[order].astype(np.int32))))
+    yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "h", "c1", "c2", "k", "n", "starts"])
+
+
+def _ordered(bucket: list[int], strings: list[bytes], sizes: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of strings in order of bucket and bytes, and the common prefix (in symbols) of each place with the one before; -1 across buckets."""
+    order = sorted(range(len(strings)), key=list(zip(bucket, strings, strict=True)).__getitem__)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    width = max(1, int(sizes.max()))
+    rows = _symbols(b"".join([strings[i].ljust(width * unit, b"\0") for i in order]), unit).reshape(-1, width)
+    unlike = rows[1:] != rows[:-1]
+    common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
+    size, group = sizes[order], np.array(bucket)[order]
+    common = np.minimum(common, np.minimum(size[1:], size[:-1]))
+    return place, np.concatenate([[-1], np.where(group[1:] == group[:-1], common, -1)])
+
+
+def _least_between(x: np.ndarray) -> list[np.ndarray]:
+    """Minima of stretches of 1, 2, 4 ... numbers."""
+    out = [x]
+    while len(out[-1]) > (step := 1 << (len(out) - 1)):
+        out.append(np.minimum(out[-1][:-step], out[-1][step:]))
     return out
 
 
-def copied(rows: pd.DataFrame, length: int, keep_first: bool) -> Iterator[tuple[int, int, int, int]]:
-    """Of segments (h, d, t, pos, data) side by side: d, t and the from and to of runs of windows with an earlier (or any other) match."""
-    if keep_first:  # rows that repeat doc_id and text bring a segment once each
-        rows = rows.drop_duplicates(["h", "d", "t", "pos"])
-    raw = [np.frombuffer(x, dtype=np.uint8) for x in rows["data"]]
-    sizes = np.array([len(x) for x in raw])
-    begins = np.cumsum(sizes) - sizes
-    ranks = suffix_ranks(np.concatenate(raw), length)
-    windows = sizes - length + 1
-    segment = np.repeat(np.arange(len(raw)), windows)
-    offset = np.arange(len(segment)) - np.repeat(np.cumsum(windows) - windows, windows)
-    rank = ranks[begins[segment] + offset]
-    d, t, pos = (rows[k].to_numpy() for k in ("d", "t", "pos"))
-    by_text = np.lexsort((t, d))  # the order of texts; positions follow within one
-    text = np.empty(len(raw), dtype=np.int64)
-    text[by_text] = np.cumsum(np.concatenate([[0], (d[by_text][1:] != d[by_text][:-1]) | (t[by_text][1:] != t[by_text][:-1])]))
-    place = pos[segment] + offset
-    # Suffix order, and within a stretch that shares the length, text order: the previous smaller position is the one before.
-    order = np.lexsort((place, text[segment], rank))
-    same = rank[order][1:] == rank[order][:-1]
-    hit = np.zeros(len(order), dtype=bool)
-    hit[order[1:][same]] = True
-    if not keep_first:
-        hit[order[:-1][same]] = True
-    edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (segment[1:] == segment[:-1])]))
-    stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (segment[1:] == segment[:-1]), [False]]))
-    for a, b in zip(edge, stop, strict=True):
-        s = segment[a]
-        yield int(d[s]), int(t[s]), int(place[a]), int(place[b])
-
-
-RUNS = "d long, t long, a int, b int"
-
-
-def _compare(batches: Iterator[pd.DataFrame], length: int, keep_first: bool) -> Iterator[pd.DataFrame]:
-    """Runs of rows (h, d, t, pos, data) in order of h, a chunk of whole buckets at a time."""
+def _least(tables: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number from place a to place b, both counted."""
+    level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
+    out = np.empty(len(a), dtype=np.int64)
+    for k in np.unique(level):
+        own = level == k
+        out[own] = np.minimum(tables[k][a[own]], tables[k][b[own] - (1 << int(k)) + 1])
+    return out
+
+
+def _smaller(value: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it in its group with a smaller value, or -1. No two values are equal."""
+    near = np.arange(len(value)) - 1
+    near[np.concatenate([[True], group[1:] != group[:-1]])] = -1
+    todo = np.flatnonzero(near >= 0)
+    while len(todo := todo[value[near[todo]] > value[todo]]):
+        near[todo] = near[near[todo]]
+        todo = todo[near[todo] >= 0]
+    return near
+
+
+def factors(bucket: list[int], k: np.ndarray, n: np.ndarray, place: np.ndarray, data: list[bytes], length: int, unit: int, keep_first: bool) -> tuple[np.ndarray, ...]:
+    """Of segments side by side (bucket, place of the anchor, number of windows, place in the order of texts, bytes): the windows, as segment and
+    number, whose longest previous factor (or longest factor elsewhere) may reach the length, with that factor, as far as it is compared."""
+    before = [b"".join([x[i * unit - unit : i * unit] for i in range(a, 0, -1)]) if unit > 1 else x[:a][::-1] for x, a in zip(data, k.tolist(), strict=True)]
+    after = [x[a * unit :] for x, a in zip(data, k.tolist(), strict=True)]
+    left, common_left = _ordered(bucket, before, k, unit)
+    right, common_right = _ordered(bucket, after, np.array([len(x) // unit for x in after]), unit)
+    best = lambda at, common: np.maximum(common[at], np.append(common, -1)[at + 1])
+    # A window begins b symbols before the anchor; both sides must have a partner, each on its own, for there to be one of the whole.
+    low, high = np.maximum(k - n + 1, length - best(right, common_right)), np.minimum(k, best(left, common_left))
+    count = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(k)), count)
+    b = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+    if not len(row):
+        return row, b, row
+    # Rows that share the b symbols before the anchor: those from the last place in left order whose common prefix is shorter.
+    depth = int(b.max()) + 1
+    shared = np.maximum.accumulate(np.where(common_left[:, None] < np.arange(depth)[None, :], np.arange(len(k))[:, None], 0), axis=0)[left[row], b]
+    group = b * len(k) + shared
+    order = np.lexsort((right[row], group))  # suffix order
+    row, b, group = row[order], b[order], group[order]
+    at, tables = right[row], _least_between(common_right)
+    out = np.zeros(len(row), dtype=np.int64)
+
+    def raised(own: np.ndarray, other: np.ndarray) -> None:
+        a, z = np.minimum(at[own], at[other]), np.maximum(at[own], at[other])
+        out[own] = np.maximum(out[own], b[own] + _least(tables, a + 1, z))
+
+    if keep_first:
+        own = np.flatnonzero((prev := _smaller(place[row], group)) >= 0)
+        raised(own, prev[own])
+        last = len(row) - 1
+        own = np.flatnonzero((prev := _smaller(place[row][::-1], group[::-1])[::-1]) >= 0)
+        raised(own, last - prev[own])
+    else:
+        own = np.flatnonzero(group[1:] == group[:-1])
+        raised(own, own + 1)
+        raised(own + 1, own)
+    return row, k[row] - b, out
+
+
+COMPARED = "h long, c1 long, c2 long, later boolean, d long, t long, pos int, fd long, ft long, fpos int, k int, n int, data binary"
+RUNS = "h long, c1 long, c2 long, later boolean, d long, t long, pos int, fd long, ft long, fpos int, a int, b int"
+_CARRIED = ["h", "c1", "c2", "later", "d", "t", "pos", "fd", "ft", "fpos"]
+
+
+def _runs(rows: pd.DataFrame, length: int, unit: int, keep_first: bool) -> pd.DataFrame:
+    """Runs (a, b: the first and last window) of copied windows of segments in whole buckets."""
+    place = np.empty(len(rows), dtype=np.int64)
+    place[np.lexsort((rows["later"], rows["pos"], rows["t"], rows["d"]))] = np.arange(len(rows))
+    row, window, factor = factors(rows["h"].tolist(), rows["k"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), place, rows["data"].tolist(), length, unit, keep_first)
+    hit = factor >= length
+    row, window = row[hit], window[hit]
+    order = np.lexsort((window, row))
+    row, window = row[order], window[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)]) if len(row) else np.zeros(0, bool)
+    first, last = np.flatnonzero(new), np.flatnonzero(np.append(new[1:], True)) if len(row) else _NONE
+    return rows[_CARRIED].iloc[row[first]].assign(a=window[first].astype(np.int32), b=window[last].astype(np.int32))
+
+
+def _compare(batches: Iterator[pd.DataFrame], length: int, unit: int, keep_first: bool) -> Iterator[pd.DataFrame]:
+    """Runs of rows (COMPARED) in order of h, a chunk of whole buckets at a time."""
     held, size = [], 0
     for pdf in batches:
         if not len(pdf):
@@ -204,60 +258,60 @@ def _compare(batches: Iterator[pd.DataFrame], length: int, keep_first: bool) ->
             rows = pd.concat(held)
             last = rows["h"].to_numpy() == rows["h"].iloc[-1]
             if not last.all():
-                yield pd.DataFrame(copied(rows[~last], length, keep_first), columns=["d", "t", "a", "b"])
+                yield _runs(rows[~last], length, unit, keep_first)
                 held = [rows[last]]
                 size = int(held[0]["data"].map(len).sum())
     if held:
-        yield pd.DataFrame(copied(pd.concat(held), length, keep_first), columns=["d", "t", "a", "b"])
+        yield _runs(pd.concat(held), length, unit, keep_first)
 
 
 def _anchors(length: int) -> list[int]:
     return [max(1, length // 4), max(1, length * 5 // 8), max(1, length - length // 16), length]
 
 
-def runs(texts: DataFrame, length: int, keep_first: bool, level: int = 0, source: DataFrame | None = None) -> DataFrame:
+def copies(texts: DataFrame, length: int, keep_first: bool, unit: int = 1, level: int = 0) -> DataFrame:
     """Runs (d, t, a, b: first and last window) of copied windows of texts (d, t, base, data)."""
-    anchor = _anchors(length)[level]
-    source = texts if source is None else source
-    rows = texts.mapInArrow(lambda b: _segment_rows(b, length, anchor), SEGMENT)
-    rows = cut(rows, f"segments-{level}")
-    repeated = rows.groupBy(F.col("h").alias("_h")).agg(F.sum(F.size("starts")).alias("_n"), F.min("c").alias("_c0"), F.max("c").alias("_c1"))
-    repeated = cut(repeated.filter("_n > 1").select("_h", (F.col("_c0") != F.col("_c1")).alias("_mixed")), f"anchors-{level}")
-    rows = cut(rows.join(repeated, F.col("h") == F.col("_h")).drop("_h"), f"repeated-{level}")
-    first = F.min(F.struct("d", "t", F.col("starts")[0].alias("pos")))
-    kinds = rows.groupBy("h", "c", "n").agg(F.sum(F.size("starts")).alias("_copies"), first.alias("_first"), F.first("_mixed").alias("_mixed"))
-    kinds = cut(kinds, f"kinds-{level}")
-    equal = kinds.filter("_copies > 1").select(F.col("c").alias("_c"), F.col("h").alias("_h"), "_first")
-    found = rows.join(equal, (F.col("c") == F.col("_c")) & (F.col("h") == F.col("_h"))).select("d", "t", "n", "_first", F.explode("starts").alias("a"))
+    anchor, spark = _anchors(length)[level], texts.sparkSession
+    rows = cut(texts.mapInArrow(lambda b: _segment_rows(b, length, anchor, unit), SEGMENT), f"segments-{level}")
+    repeated = rows.groupBy(F.col("h").alias("_h")).agg(F.sum(F.size("starts")).alias("_n")).filter("_n > 1").select("_h")
+    rows = cut(rows.join(repeated, F.col("h") == F.col("_h"), "left_semi"), f"repeated-{level}")
+    place = lambda i: F.struct("d", "t", F.element_at("starts", i).alias("pos"))
+    kinds = rows.groupBy("h", "c1", "c2", "k", "n").agg(F.sum(F.size("starts")).alias("_copies"), F.min(place(1)).alias("_first"), F.max(place(-1)).alias("_last"))
+    two = (F.col("_first") != F.col("_last")) if keep_first else F.col("_copies") > 1
+    kinds = kinds.select("h", "c1", "c2", "k", "n", two.alias("_two"), "_first", "_last")
+    sizes = kinds.groupBy(F.col("h").alias("_h")).agg(F.sum((F.col("n") + length - 1) * unit * (1 + F.col("_two").cast("long"))).alias("_bytes"), F.count("*").alias("_kinds"))
+    # A bucket that holds one segment once (of a repeated row) has nothing to compare.
+    kinds = cut(kinds.join(sizes, F.col("h") == F.col("_h")).drop("_h").filter("_two OR _kinds > 1").drop("_kinds"), f"kinds-{level}")
+    large = F.col("_bytes") > (BUCKET if level + 1 < len(_anchors(length)) else 1 << 62)
+    # The last of a kind that stands twice at one place (in repeated rows) is that place again.
+    members = kinds.select("h", "c1", "c2", "k", "n", large.alias("_large"), "_first", F.posexplode(F.when(F.col("_two") & ~large, F.array("_first", "_last")).otherwise(F.array("_first"))).alias("_i", "_own"))
+    wanted = members.select(F.col("_own.d").alias("_d"), F.col("_own.t").alias("_t"), F.struct("h", "c1", "c2", (F.col("_i") > 0).alias("later"), F.col("_own.pos").alias("pos"), F.col("_first.d").alias("fd"), F.col("_first.t").alias("ft"), F.col("_first.pos").alias("fpos"), "k", "n", "_large").alias("_x"))
+    source = texts.dropDuplicates(["d", "t", "base"])
+    got = source.join(wanted, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("d", "t", "base", "data", "_x.*")
+    if level:  # of the pieces of a text, that which holds the segment
+        got = got.filter((F.col("base") <= F.col("pos")) & ((F.col("pos") + F.col("n") + length - 1 - F.col("base")) * unit <= F.length("data")))
+    bytes_ = F.substring("data", (F.col("pos") - F.col("base")) * unit + 1, (F.col("n") + length - 1) * unit)
+    got = cut(got.withColumn("data", bytes_), f"compared-{level}")
+    names = [x.split()[0] for x in COMPARED.split(", ")]
+    spread = got.filter("NOT _large").select(*names).repartition(parallelism(spark), "h").sortWithinPartitions("h", "d", "t", "pos")
+    found = cut(spread.mapInPandas(lambda b: _compare(b, length, unit, keep_first), RUNS), f"runs-{level}")
+    out = found.filter("NOT later").select("d", "t", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
+    # What holds of a kind's last segment holds of all but its first; in a bucket that isn't compared, such a segment is a copy whole.
+    whole = kinds.filter(large & F.col("_two")).select("h", "c1", "c2", F.col("_first.d").alias("fd"), F.col("_first.t").alias("ft"), F.col("_first.pos").alias("fpos"), F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))
+    of_kind = found.filter("later").select("h", "c1", "c2", "fd", "ft", "fpos", "a", "b").unionByName(whole).withColumnsRenamed({"h": "_h", "c1": "_c1", "c2": "_c2", "a": "_a", "b": "_b"})
+    more = rows.join(of_kind, (F.col("h") == F.col("_h")) & (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")))
+    more = more.select("d", "t", "fd", "ft", "fpos", "_a", "_b", F.explode("starts").alias("pos"))
     if keep_first:
-        found = found.filter(~((F.col("d") == F.col("_first.d")) & (F.col("t") == F.col("_first.t")) & (F.col("a") == F.col("_first.pos"))))
-    found = found.select("d", "t", "a", (F.col("a") + F.col("n") - 1).alias("b"))
-    mixed = kinds.filter("_mixed").select("h", "n", F.col("_first.d").alias("_d"), F.col("_first.t").alias("_t"), F.col("_first.pos").alias("pos"))
-    if mixed.isEmpty():
-        return found
-    if level + 1 < len(_anchors(length)):
-        sizes = cut(mixed.groupBy(F.col("h").alias("_h")).agg(F.sum(F.col("n") + length - 1).alias("_bytes")), f"buckets-{level}")
-        mixed = mixed.join(sizes, F.col("h") == F.col("_h")).drop("_h")
-    else:
-        mixed = mixed.withColumn("_bytes", F.lit(0))
-    own = (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t"))
-    data = F.substring("data", F.col("pos") - F.col("base") + 1, F.col("n") + length - 1)
-    if level:
-        own = own & (F.col("base") <= F.col("pos")) & (F.col("pos") + F.col("n") + length - 1 <= F.col("base") + F.length("data"))
-    got = source.join(mixed, own).select("h", "d", "t", "pos", data.alias("data"), "_bytes")
-    if level:  # segments of one text overlap, so that more than one may hold these bytes
-        got = got.dropDuplicates(["h", "d", "t", "pos"])
-    got = cut(got, f"compared-{level}")
-    spread = got.filter(F.col("_bytes") <= BUCKET).repartition(parallelism(texts.sparkSession), "h").sortWithinPartitions("h", "d", "t", "pos")
-    found = found.unionByName(spread.select("h", "d", "t", "pos", "data").mapInPandas(lambda b: _compare(b, length, keep_first), RUNS))
-    large = got.filter(F.col("_bytes") > BUCKET).select("d", "t", F.col("pos").alias("base"), "data")
-    if level + 1 < len(_anchors(length)) and not large.isEmpty():
-        found = found.unionByName(runs(large, length, keep_first, level + 1))
-    return found
+        more = more.filter(~((F.col("d") == F.col("fd")) & (F.col("t") == F.col("ft")) & (F.col("pos") == F.col("fpos"))))
+    out = out.unionByName(more.select("d", "t", (F.col("pos") + F.col("_a")).alias("a"), (F.col("pos") + F.col("_b")).alias("b")))
+    rest = got.filter("_large").select("d", "t", F.col("pos").alias("base"), "data")
+    if level + 1 < len(_anchors(length)) and not rest.isEmpty():
+        out = out.unionByName(copies(rest, length, keep_first, unit, level + 1))
+    return out
 
 
 def _union(parts: list, length: int, size: int) -> np.ndarray:
-    """Of runs of windows (a, b): the maximal stretches of bytes that these cover, as rows (from, to)."""
+    """Of runs of windows (a, b): the maximal stretches that these cover, as rows (from, to)."""
     if parts is None or not len(parts):
         return np.zeros((0, 2), dtype=np.int64)
     x = np.array([(p["a"], p["b"] + length) for p in parts], dtype=np.int64)
@@ -267,74 +321,73 @@ def _union(parts: list, length: int, size: int) -> np.ndarray:
     return np.stack([x[new, 0], np.minimum(reach[np.concatenate([new[1:], [True]])], size)], axis=1)
 
 
-def _cell(word: bytes) -> bytes:
-    """A short word is repeated up to CELL bytes: a window that begins within it agrees only with the like of it."""
-    return word + b" " if len(word) >= CELL - 1 else ((word + b" ") * CELL)[:CELL]
-
-
-def celled(raw: bytes) -> bytes:
+def in_units(raw: bytes) -> bytes:
+    """The words, each filled up with spaces, one at least, to a multiple of UNIT bytes."""
     words = raw.split()
-    cells = {w: _cell(w) for w in set(words)}
+    cells = {w: w.ljust((len(w) // UNIT + 1) * UNIT) for w in set(words)}
     return b"".join([cells[w] for w in words])
 
 
-def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data = pa.array([celled(x.as_py() or b"") for x in batch.column("data")], pa.binary())
+        data = pa.array([in_units(x.as_py() or b"") for x in batch.column("data")], pa.binary())
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("d", "t", "base")), data], names=["d", "t", "base", "data"])
 
 
-def _in_text(raw: bytes, spans: np.ndarray) -> np.ndarray:
-    """Spans of celled(raw) as spans of raw: of whole words and the spaces after them, and of parts of words of LONG bytes."""
-    if not len(spans):
-        return spans
+def _in_text(raw: bytes, parts: list, words: int) -> np.ndarray:
+    """Runs of windows of in_units(raw) as spans of raw: of whole words and the spaces after them, and of parts of words of LONG bytes."""
+    if parts is None or not len(parts):
+        return np.zeros((0, 2), dtype=np.int64)
     found = [m.span() for m in re.finditer(rb"[^ \t\n\x0b\f\r]+", raw)]
     begins = np.array([a for a, _ in found], dtype=np.int64)
     sizes = np.array([b - a for a, b in found], dtype=np.int64)
-    ends = np.cumsum(np.maximum(sizes + 1, CELL))
-    cells = ends - np.maximum(sizes + 1, CELL)
+    ends = np.cumsum(sizes // UNIT + 1)
+    cells = ends - (sizes // UNIT + 1)
+    spans = _union(parts, words, int(ends[-1]))
     after = np.concatenate([begins[1:], [len(raw)]])
     a, b = spans[:, 0], spans[:, 1]
     first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")  # the words in which spans begin and end
-    at = a - cells[first]
+    at = (a - cells[first]) * UNIT
     low = np.where(at == 0, begins[first], np.where(sizes[first] >= LONG, begins[first] + np.minimum(at, sizes[first]), after[first]))
-    at = b - cells[last]
+    at = (b - cells[last]) * UNIT
     high = np.where(b == ends[last], after[last], np.where(sizes[last] >= LONG, begins[last] + np.minimum(at, sizes[last]), begins[last]))
-    out = np.stack([low, high], axis=1)
-    return out[high > low]
+    n = np.searchsorted(begins, high, "left") - np.searchsorted(begins, low, "left")
+    return np.stack([low, high], axis=1)[(n >= words) | (high - low >= LENGTH)]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, words: int = 0) -> DataFrame:
-    """docs with _bytes (of the text), _spans (the stretches removed: from, to, in bytes), _rest (the bytes that are left) and
-    _rest_text, these as text without the parts of characters that a span has cut through. Columns of these names are replaced.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, words: int = 0, report: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """keep (all columns) with _bytes (of the text), _spans (the stretches removed: from, to, in bytes), _rest (the bytes that are left),
+    _rest_text, these as text without the parts of characters that a span has cut through, and _passages. Columns of these names are replaced.
 
-    With words, passages of that many words are looked for, and length isn't used.
+    With words, passages of that many words are looked for, and length isn't used. With report, passages of that many words
+    are looked for too, and stand in _passages (from, to), but stay in the text.
     """
-    length = words * CELL if words else length
-    text_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    own = [c for c in docs.columns if c not in ("_bytes", "_spans", "_rest", "_rest_text")]
+    own = [c for c in keep or docs.columns if c not in ("_bytes", "_spans", "_rest", "_rest_text", "_passages")]
     keyed = docs.select(F.struct(*own).alias("_row"), text.alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_t"))
     texts = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("base"), F.col("_text").cast("binary").alias("data"))
-    if words:
-        texts = texts.mapInArrow(_celled, "d long, t long, base int, data binary")
-    found = runs(texts, length, keep_first).groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("_runs"))
-    found = cut(found, "runs")
-    df = keyed.join(found, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
-
-    def strip(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, p in zip(texts, parts, strict=True):
+    found = []
+    for i, n in enumerate((words, report)):
+        if n:
+            united = cut(texts.mapInArrow(_united, "d long, t long, base int, data binary"), "united")
+            found.append(copies(united, n, keep_first, UNIT).withColumn("i", F.lit(i)))
+        elif not i:
+            found.append(copies(texts, length, keep_first).withColumn("i", F.lit(i)))
+    runs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    runs = runs.groupBy("d", "t").agg(*[F.collect_set(F.when(F.col("i") == i, F.struct("a", "b"))).alias(f"_runs{i}") for i in (0, 1)])
+    runs = cut(runs, "runs")
+    df = keyed.join(runs, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
+
+    def strip(texts: pd.Series, parts: pd.Series, reported: pd.Series) -> pd.DataFrame:
+        rows, as_list = [], lambda spans: [{"from": int(a), "to": int(b)} for a, b in spans]
+        for x, p, r in zip(texts, parts, reported, strict=True):
             raw = (x or "").encode()
-            if words and p is not None and len(p):
-                spans = _in_text(raw, _union(p, length, len(celled(raw))))
-            else:
-                spans = _union(p, length, len(raw))
+            spans = _in_text(raw, p, words) if words else _union(p, length, len(raw))
             edges = [0, *spans.ravel().tolist(), len(raw)]
             rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            rows.append((len(raw), [{"from": int(a), "to": int(b)} for a, b in spans], rest, rest.decode(errors="ignore")))
-        return pd.DataFrame(rows, columns=["bytes", "spans", "rest", "rest_text"])
-
-    cleaned = F.pandas_udf(strip, "bytes long, spans array<struct<from: long, to: long>>, rest binary, rest_text string")("_text", "_runs")
-    return df.select("_row", cleaned.alias("_x")).select("_row.*", F.col("_x.bytes").alias("_bytes"), F.col("_x.spans").alias("_spans"), F.col("_x.rest").alias("_rest"), F.col("_x.rest_text").alias("_rest_text"))
+            rows.append((len(raw), as_list(spans), rest, rest.decode(errors="ignore"), as_list(_in_text(raw, r, report))))
+        return pd.DataFrame(rows, columns=["bytes", "spans", "rest", "rest_text", "passages"])
 
+    span = "array<struct<from: long, to: long>>"
+    cleaned = F.pandas_udf(strip, f"bytes long, spans {span}, rest binary, rest_text string, passages {span}")("_text", "_runs0", "_runs1")
+    return df.select("_row", cleaned.alias("_x")).select("_row.*", *[F.col(f"_x.{k}").alias(f"_{k}") for k in ("bytes", "spans", "rest", "rest_text", "passages")])
