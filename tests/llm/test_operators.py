@@ -116,8 +116,8 @@ def test_simhash(docs, rows):
     assert sorted((str(x.doc_id), x.fingerprint, str(x.component_id)) for x in found) == sorted((str(r[0]), f"{f:016x}", str(least[g])) for r, f, g in zip(rows, fps, group))
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_simhash_links(spark, block):
+@pytest.mark.parametrize("block,agree", [(1024, None), (8, 3), (1024, 5)])
+def test_simhash_links(spark, block, agree):
     rng = random.Random(1)
     fps = {0, (1 << 64) - 1}
     while len(fps) < 400:
@@ -127,7 +127,7 @@ def test_simhash_links(spark, block):
         fps.add(x)
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    found = {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(s, s) for s in signed], "node long, fp long"), block=block).collect()}
+    found = {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(s, s) for s in signed], "node long, fp long"), block=block, agree=agree).collect()}
 
     def parts(pairs):
         group = {s: s for s in signed}
@@ -262,6 +262,36 @@ def test_license_join_is_exact():
         assert best == pytest.approx(wanted)
 
 
+def test_license_windows_are_exact():
+    """Against all stretches of a text: of a template's length (the least that must be found) and of twice that (the most that may be)."""
+    rng = random.Random(14)
+    for _ in range(300):
+        templates = [(f"t{i}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))) for i in range(5)]
+        join = license_scan.Templates(templates, {w.encode(): rng.randint(0, 9) for w in "abcdefgh"}, 0.8)
+        text = "".join(rng.choice("abcdefghxyz") + rng.choice("   \n") for _ in range(rng.randint(0, 60)))
+        found = join.scan(text)
+        ws = text.split()
+        for k, (_, t) in enumerate(templates):
+            own, n = set(t.split()), len(t.split())
+            share = lambda size: max((len(own & set(ws[i : i + size])) / len(own) for i in range(max(1, len(ws) - size + 1))), default=0.0)  # noqa: B023, E731
+            if share(n) >= 0.8 - 1e-9:
+                assert found[k] >= share(n) - 1e-9
+            assert found.get(k, 0.0) <= share(2 * n) + 1e-9
+
+
+def test_license_notices_without_a_phrase(spark):
+    """Whole notices, wrapped and with a comment's marks, of which no phrase stands in the text."""
+    filler = " ".join(f"w{i}" for i in range(400))
+    texts, wanted = [], []
+    for label, notice in license_scan.TEMPLATES:
+        ws = re.findall(r"[\w'-]+", notice)
+        if len(ws) > 40 and label in ("mit", "isc", "bsd", "zlib", "unlicense", "mpl", "lgpl", "agpl"):
+            texts.append(filler + "\n" + "\n".join(" # " + " ".join(ws[i : i + 11]) for i in range(0, len(ws), 11)) + "\n" + filler)
+            wanted.append(label)
+    found = sorted(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert len(wanted) >= 7 and all(x.n_base == 0 and x.score > 0.95 and label in x.labels.split(",") for x, label in zip(found, wanted))
+
+
 def test_warc(spark):
     rows = [(1, "http://a/é x", "<p>é</p>"), (2, None, None), (3, "u", "<p>é</p>"), (4, "v", ""), (5, "w", "z" * 300_000), (6, "w", "q"), (6, "w", "q"), (None, "n", "q")]
     pages = spark.createDataFrame([(*r, "extra", 1) for r in rows], "page_id long, url string, html string, payload string, _n int")
@@ -324,6 +354,28 @@ def test_quality_classifier(spark):
     assert quality_classifier.quality_scores(docs, labels.limit(0)).filter("score = 1").count() == 303
 
 
+def test_hinge_loss_by_projected_gradient():
+    """Dual coordinate descent against another solver of the same problem, dense and small."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(60)]
+    values = [rng.normal(size=len(r)) for r in rows]
+    y, cost = np.where(rng.random(60) < 0.5, 1.0, -1.0), rng.uniform(0.2, 3.0, 60)
+    x = np.zeros((60, 31))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r], x[i, -1] = v, 1.0
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    a = np.zeros(60)
+    for _ in range(60_000):
+        a = np.clip(a - (q @ a - 1) / np.linalg.norm(q, 2), 0, cost)
+    w = quality_classifier.dual_coordinate_descent(rows, values, y, cost, epochs=3000)
+    own = np.concatenate([w[:30], w[-1:]])
+    loss = lambda w: w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w))
+    assert loss(own) <= loss((a * y) @ x) * (1 + 1e-4)
+    assert np.allclose(own, (a * y) @ x, atol=1e-2)
+
+
 def test_empty_tables(none, docs):
     assert repeats.remove_repeats(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
