@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +14,20 @@ from pyspark.sql import functions as F
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACES = r"[ \t\n\x0B\f\r]+"
 
+_OWN: dict[str, str] = {}
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a fresh one where none is set, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set a session in one process gets a fresh one, any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-lodestone-')}"
+        found = _OWN[app]
     return found.rstrip("/")
 
 
@@ -31,7 +39,18 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read back: later plans start from the files, also after a lost executor."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what cut() wrote for these; no plan that is still to run may read them."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

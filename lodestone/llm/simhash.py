@@ -1,9 +1,9 @@
 """SimHash near-dedup: fingerprints, a grid join on their segments' bit counts, exact verification, components.
 
 A fingerprint's 32 segments of two bits are mapped to their bit counts (0, 1 or 2). The Manhattan distance of two such vectors is a
-lower bound of the fingerprints' Hamming distance. The segments fall into groups, three more than the distance allows; vectors
-within the distance agree in three groups at least, so each lies in one grid cell for every choice of three groups, and close ones share a
-cell. Pairs within a cell pass the bound and are then verified on the fingerprints.
+lower bound of the fingerprints' Hamming distance. The segments fall into groups, a few (`agree`) more than the distance allows; vectors
+within the distance agree in that many groups at least, so each lies in one grid cell for every choice of so many groups, and close ones share a
+cell. The more nodes there are, the more groups must agree: cells get finer, links stay the same. Pairs within a cell pass the bound and are then verified on the fingerprints.
 
 Equal fingerprints are one node. Cells with more than BLOCK nodes are cut into blocks, and each pair of blocks is a group of its
 own. A group hands on no more than a few links a node: a spanning forest of what it has verified.
@@ -30,8 +30,8 @@ from lodestone.llm.components import components
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-#: Groups that must agree, whatever the distance.
-AGREE = 3
+#: Groups that must agree, at least and at most.
+AGREE = (3, 8)
 BLOCK = 1024
 LANES = np.uint64(0x0101010101010101)
 ODD = np.uint64(0x5555555555555555)
@@ -68,12 +68,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks(distance: int) -> list[int]:
-    """For every choice of AGREE groups of segments, the bits of these."""
-    groups = distance + AGREE
+def agreeing(nodes: int, distance: int) -> int:
+    """The fewest groups that leave about four nodes a cell: a segment's count carries 1.5 bits."""
+    fine = (k for k in range(*AGREE) if nodes <= 4 * 2 ** (1.5 * 32 * k / (distance + k)))
+    return next(fine, AGREE[1])
+
+
+def _masks(distance: int, agree: int) -> list[int]:
+    """For every choice of so many groups of segments, the bits of these."""
+    groups = distance + agree
     bounds = [32 * i // groups for i in range(groups + 1)]
     own = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
-    return [_signed(sum(x)) for x in combinations(own, AGREE)]
+    return [_signed(sum(x)) for x in combinations(own, agree)]
 
 
 def _close(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,13 +164,13 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFr
         yield True, held
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK, nearest: int = 0) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK, nearest: int = 0, agree: int | None = None) -> DataFrame:
     """Links (a, b) between nodes (node, fp; longs) whose fingerprints differ in distance bits at most: a forest of all such
     links, with the nearest few of each node beside it if asked for."""
     x, odd = F.col("fp"), F.lit(0x5555555555555555)
     high = F.shiftrightunsigned("fp", 1)
     counts = x.bitwiseXOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(x.bitwiseAND(high).bitwiseAND(odd), 1))
-    masks = _masks(distance)
+    masks = _masks(distance, agree or agreeing(nodes.count(), distance))
     choices = F.array(*[F.struct(F.lit(i).alias("k"), F.col("_c").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks)])
     cells = nodes.withColumn("_c", counts).select("node", "fp", F.explode(choices).alias("_x"))
     cells = cells.select("node", "fp", F.col("_x.k").alias("k"), F.col("_x.cell").alias("cell"))
