@@ -2,12 +2,13 @@
 
 Two variable-order Markov models, one of accepted and one of rejected URLs, are counted over all URLs that a rule
 decides, but for a fifth that calibrates. A character's probability backs off from a context of four characters to none, each
-order smoothed with the next shorter. Contexts are hashed into tables of fixed size, so that the two models
-are of a known size (ORDERS x 2 x SLOTS counts each) however much was counted. The score is the difference of the
-log-likelihoods, by length; URLs under the calibrated threshold are blocked.
+order smoothed with the next shorter. The counts are a table of the distinct five-character runs, exact and as long as the corpus needs;
+counts of shorter contexts are its sums. Each run's log-likelihood ratio is found once, and a URL's score is the sum over its runs, joined to that
+table, by length; URLs under the calibrated threshold are blocked.
 
 Defined results: a null URL has an empty host and path, no rule, and the score 0; where no URL is accepted by a rule, or
-none rejected, the method allows all; repeated rows are judged alike; an empty table gives an empty table.
+none rejected, the method allows all; repeated rows are judged alike; a null page_id is kept; an empty table gives an empty table; a URL of any
+length is scored whole; only page_id and url are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import cut, discard
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 ORDERS = 5
-SLOTS = 1 << 16
 SMOOTH = 4.0
 BINS, SPAN = 2001, 5.0
 
@@ -43,69 +45,59 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return pick(1), pick(2)
 
 
-def _contexts(urls: pd.Series) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """For every character of the URLs: slots of its contexts and of itself after them, by order; and where URLs begin and their lengths."""
-    raw = [(u or "").encode() for u in urls]
-    sizes = np.array([len(x) for x in raw], dtype=np.int64)
-    pad = b"\0" * (ORDERS - 1)
-    data = np.frombuffer(b"".join(pad + x for x in raw), dtype=np.uint8).astype(np.uint64)
-    begins = np.cumsum(sizes + len(pad)) - sizes
-    at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    out, context = [], np.zeros(len(at), dtype=np.uint64)
-    mixed = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-    for order in range(ORDERS):
-        if order:
-            context = context | (data[at - order] << np.uint64(8 * (order - 1)))
-        key = context * np.uint64(8) + np.uint64(order)
-        out.append((mixed(key), mixed((key << np.uint64(8)) | data[at])))
-    return np.cumsum(sizes) - sizes, sizes, out
+RUN = "x long, y long, run long, n long, good long, bad long"
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros((2, ORDERS * 2 * SLOTS), dtype=np.int64)
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of URLs (x, y: the key, url, good, bad): the distinct runs of ORDERS bytes that end at each byte, the last lowest, and how many there are."""
     for pdf in batches:
-        for label in (0, 1):
-            urls = pdf.loc[pdf["_label"] == label, "url"]
-            if len(urls):
-                for order, pair in enumerate(_contexts(urls)[2]):
-                    for kind, slots in enumerate(pair):
-                        begin = (order * 2 + kind) * SLOTS
-                        total[label, begin : begin + SLOTS] += np.bincount(slots, minlength=SLOTS)
-    for label in (0, 1):
-        slots = np.nonzero(total[label])[0]
-        yield pd.DataFrame({"label": label, "slot": slots, "n": total[label][slots]})
-
-
-def fit(rows: DataFrame) -> np.ndarray:
-    """Counts by label (0 rejected, 1 accepted), order, kind and slot, over all rows (url, _label).
-
-    What reaches the driver is one row a used slot, 1.3 million at most.
-    """
-    found = rows.mapInPandas(_counts, "label int, slot int, n long").groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()
-    model = np.zeros((2, ORDERS * 2 * SLOTS), dtype=np.float32)
-    model[found["label"].to_numpy(np.int64), found["slot"].to_numpy(np.int64)] = found["n"]
-    return model.reshape(2, ORDERS, 2, SLOTS)
-
-
-def scores(urls: pd.Series, model: np.ndarray) -> np.ndarray:
-    begins, sizes, slots = _contexts(urls)
-    logs = []
-    for label in (0, 1):
-        p = np.full(int(sizes.sum()), 1 / 256)
-        for order, (context, char) in enumerate(slots):
-            p = (model[label, order, 1][char] + SMOOTH * p) / (np.maximum(model[label, order, 0][context], model[label, order, 1][char]) + SMOOTH)
-        logs.append(np.log(p))
-    ends = np.concatenate([[0.0], np.cumsum(logs[1] - logs[0])])
-    return (ends[begins + sizes] - ends[begins]) / np.maximum(sizes, 1)
+        for begin in range(0, len(pdf), 2000):
+            part = pdf.iloc[begin : begin + 2000]
+            raw = [u.encode() for u in part["url"]]
+            sizes = np.array([len(x) for x in raw], dtype=np.int64)
+            pad = b"\0" * (ORDERS - 1)
+            data = np.frombuffer(b"".join(pad + x for x in raw), dtype=np.uint8).astype(np.int64)
+            own = np.repeat(np.arange(len(raw)), sizes)
+            at = np.arange(len(own)) + (own + 1) * len(pad)
+            run = sum(data[at - k] << (8 * k) for k in range(ORDERS)) if len(own) else at
+            keys, n = np.unique((own << (8 * ORDERS)) | run, return_counts=True)
+            rows = keys >> (8 * ORDERS)
+            yield pd.DataFrame({"x": part["x"].to_numpy()[rows], "y": part["y"].to_numpy()[rows], "run": keys & ((1 << (8 * ORDERS)) - 1), "n": n, "good": part["good"].to_numpy()[rows], "bad": part["bad"].to_numpy()[rows]})
+
+
+def ratios(runs: DataFrame) -> DataFrame:
+    """run and ratio, the difference of the log-probabilities of its last byte after the others, of counts (run, good, bad)."""
+    low = lambda x, n: x.bitwiseAND(F.lit((1 << (8 * n)) - 1))
+    df, probability = runs, {k: F.lit(1 / 256) for k in ("good", "bad")}
+    for order in range(ORDERS):
+        after = low(F.shiftright("run", 8), order)
+        for kind, key, size in (("c", low(F.col("run"), order + 1), order + 1), ("t", after, order)):
+            sums = runs.groupBy(key.alias("_k")).agg(F.sum("good").alias(f"_{kind}good{order}"), F.sum("bad").alias(f"_{kind}bad{order}"))
+            # Two bytes have 65,536 values at most.
+            df = df.join(F.broadcast(sums) if size <= 2 else sums, key == F.col("_k")).drop("_k")
+        probability = {k: (F.col(f"_c{k}{order}") + SMOOTH * p) / (F.col(f"_t{k}{order}") + SMOOTH) for k, p in probability.items()}
+    return df.select("run", (F.log(probability["good"]) - F.log(probability["bad"])).alias("ratio"))
+
+
+def scores(urls: DataFrame) -> DataFrame:
+    """x, y and score of distinct URLs (x, y, url, good, bad: how often they count as accepted and rejected)."""
+    runs = cut(urls.select("x", "y", "url", "good", "bad").mapInPandas(_runs, RUN), "url-runs")
+    counts = cut(runs.groupBy("run").agg(F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("bad")).alias("bad")), "url-counts")
+    known = cut(ratios(counts), "url-ratios")
+    discard(counts)
+    total = runs.select("x", "y", F.col("run").alias("_r"), "n").join(known, F.col("_r") == F.col("run")).groupBy("x", "y").agg(F.sum(F.col("n") * F.col("ratio")).alias("_sum"), F.sum("n").alias("_n"))
+    out = cut(total.select("x", "y", F.round(F.col("_sum") / F.col("_n"), 9).alias("score")), "url-scores")
+    discard(runs, known)
+    return out
 
 
 def calibrate(rows: DataFrame) -> float:
-    """The threshold with the best balanced accuracy over rows (_label, _score), next to 0 of equals; -inf where a label is missing."""
-    at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("_score") + SPAN) / (2 * SPAN) * BINS)))
-    found = rows.groupBy("_label", at.cast("int").alias("bin")).count().collect()
+    """The threshold with the best balanced accuracy over rows (_label, _n: how many, score), next to 0 of equals; -inf where a label is missing."""
+    at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SPAN) / (2 * SPAN) * BINS)))
+    found = rows.groupBy("_label", at.cast("int").alias("bin")).agg(F.sum("_n").alias("n")).collect()
     counts = np.zeros((2, BINS + 1))
     for x in found:
-        counts[x["_label"], x["bin"]] += x["count"]
+        counts[x["_label"], x["bin"]] += x["n"]
     if not counts.sum(axis=1).all():
         return -np.inf
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(counts, axis=1)], axis=1)[:, : BINS + 1]
@@ -117,13 +109,20 @@ def calibrate(rows: DataFrame) -> float:
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, score and verdict of every URL."""
     host, path = host_and_path(F.col("url"))
-    df = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    df = pages.select("page_id", F.lower(F.coalesce("url", F.lit(""))).alias("_url"), host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     df = df.withColumns({"rule": rule, "_verdict": verdict})
-    labelled = df.filter(F.col("_verdict").isNotNull()).select(F.lower(F.coalesce("url", F.lit(""))).alias("url"), (F.col("_verdict") == "allow").cast("int").alias("_label"))
+    count = lambda v: F.sum((F.coalesce("_verdict", F.lit("")) == v).cast("long"))
+    # Two hashes stand for a URL in the joins.
+    urls = df.groupBy(F.col("_url").alias("url")).agg(count("allow").alias("_good"), count("block").alias("_bad"))
     held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    model = df.sparkSession.sparkContext.broadcast(fit(labelled.filter(~held)))
-    score = F.pandas_udf(lambda urls: pd.Series(scores(urls, model.value)), "double")
-    threshold = calibrate(labelled.filter(held).withColumn("_score", score("url")))
-    df = df.withColumn("score", score(F.lower(F.coalesce("url", F.lit("")))))
+    urls = urls.select("url", F.xxhash64("url").alias("x"), F.xxhash64(F.lit(1), "url").alias("y"), held.alias("_held"), "_good", "_bad")
+    urls = cut(urls.withColumns({k: F.when(F.col("_held"), 0).otherwise(F.col(f"_{k}")) for k in ("good", "bad")}), "urls")
+    scored = scores(urls)
+    keyed = scored.withColumnsRenamed({"x": "_x", "y": "_y"})
+    same = lambda x, y: (x == F.col("_x")) & (y == F.col("_y"))
+    rows = urls.filter("_held").join(keyed, same(F.col("x"), F.col("y"))).select("score", F.explode(F.array(F.struct(F.lit(0).alias("_label"), F.col("_bad").alias("_n")), F.struct(F.lit(1).alias("_label"), F.col("_good").alias("_n")))).alias("_l"))
+    threshold = calibrate(rows.select("score", "_l.*"))
+    df = df.withColumns({"_x1": F.xxhash64("_url"), "_y1": F.xxhash64(F.lit(1), "_url")}).join(keyed, same(F.col("_x1"), F.col("_y1")), "left")
+    df = df.withColumn("score", F.coalesce("score", F.lit(0.0)))
     return df.select("page_id", "host", "path", "rule", "score", F.coalesce("_verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"))
