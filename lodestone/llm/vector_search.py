@@ -5,13 +5,14 @@ along x changes the product with those queries for which x scores high, so the c
 across x. A vector is cut into pairs of components, each coded by one of 16 words (four bits); two codes share a byte. A scan adds up
 table entries by byte and keeps the POOL best rows of a block for each query; these are compared exactly, in double precision.
 
-The codebooks are fitted on the driver on at most fit_rows vectors (those with the smallest hashes of vec_id); all vectors are coded and
-searched. Queries meet candidates in blocks: rows of both sides are dealt to block numbers, and each pair of
-blocks is one group of a bounded size; a block's best TOP rows leave it.
+The codebooks are fitted on the driver on at most fit_rows vectors (those with the smallest hashes); all vectors are coded and
+searched. Equal vectors are searched as one. Queries meet codes in blocks: both sides are dealt to block numbers, and each pair of
+blocks is one group of a bounded size. Only codes and keys are sent to every block of queries; the original vectors are joined to the pool afterwards.
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component takes no part, nor one without a vec_id, nor one
 whose length isn't the most frequent length (of equals the shortest); rows with the query's own vec_id are not its candidates;
-of repeated rows each may be found; ties go to the smaller vec_id; an empty table gives an empty table.
+of repeated rows each may be found; a vec_id with several vectors is a query by each; ties go to the smaller vec_id; an empty table gives an
+empty table; only vec_id and embedding are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, discard, parallelism
 
 EVERY = 100
 TOP = 10
-POOL = 200
+POOL = 400
 ETA = 3.0
 WORDS = 16
 FIT_ROWS = 8000
 ROUNDS = 8
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 2048
+QUERY_BLOCK = 1024
+#: Codes of a block, at least and at most, and codes that are scored together.
+CANDIDATE_BLOCK = (2048, 32768)
+STRIP = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -108,57 +111,79 @@ def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (single[::2, :, None, :] + single[1::2, None, :, :]).reshape(len(single) // 2, WORDS * WORDS, len(q))
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, books: np.ndarray, top: int, pool: int) -> pd.DataFrame:
-    """The top nearest of a block for each query of a block, by exact distance, of the pool best by the scan. Rows come in order of ids."""
-    look = tables(q, books)
-    score = np.zeros((len(ids), len(q)), dtype=np.float32)
-    for j in range(packed.shape[1]):
-        score += look[j][packed[:, j]]
-    out = []
-    for k in range(len(q)):
-        s, rest = score[:, k], np.flatnonzero(ids != q_ids[k])
-        if len(rest) > pool:
-            bound = np.partition(s[rest], len(rest) - pool)[len(rest) - pool]
-            over = rest[s[rest] > bound]
-            # Of rows at the bound (copies of one vector, say) the first come with the smallest ids.
-            rest = np.sort(np.concatenate([over, rest[s[rest] == bound][: pool - len(over)]]))
-        d = np.sqrt(((x[rest] - q[k]) ** 2).sum(axis=1))
-        first = np.lexsort((ids[rest], d))[:top]
-        out.append(pd.DataFrame({"query_id": q_ids[k], "vec_id": ids[rest][first], "score": d[first]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+def best(packed: np.ndarray, look: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pool rows with the largest scan scores for each query (rows x queries), and the scores."""
+    n = look.shape[2]
+    rows, kept = np.zeros((0, n), dtype=np.int64), np.zeros((0, n), dtype=np.float32)
+    for begin in range(0, len(packed), STRIP):
+        part = packed[begin : begin + STRIP]
+        score = np.zeros((len(part), n), dtype=np.float32)
+        for j in range(part.shape[1]):
+            score += look[j][part[:, j]]
+        rows = np.concatenate([rows, np.broadcast_to(np.arange(begin, begin + len(part))[:, None], score.shape)])
+        kept = np.concatenate([kept, score])
+        if len(kept) > pool:
+            most = np.argpartition(-kept, pool - 1, axis=0)[:pool]
+            rows, kept = np.take_along_axis(rows, most, axis=0), np.take_along_axis(kept, most, axis=0)
+    return rows, kept
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, pool: int = POOL, fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score: the top nearest found of each row whose vec_id is divisible by every."""
     spark = vectors.sparkSession
-    df = cut(usable(vectors), "vectors")
-    rows = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
-    n, n_queries = df.count(), df.filter(F.col("vec_id") % every == 0).count()
-    if not len(rows) or not n_queries:
+    rows = usable(vectors).groupBy("vec_id", "embedding").agg(F.count("*").alias("copies"))
+    # Two hashes stand for a vector.
+    rows = cut(rows.withColumns({"v": F.xxhash64("embedding"), "w": F.xxhash64(F.lit(1), "embedding")}), "vectors")
+    is_query = F.col("vec_id") % every == 0
+    distinct = cut(rows.groupBy("v", "w").agg(F.first("embedding").alias("embedding"), F.max(is_query).alias("asked")), "vectors-distinct")
+    sample = distinct.orderBy("v", "w").limit(fit_rows).select("embedding").toPandas()
+    n, n_queries = distinct.count(), distinct.filter("asked").count()
+    if not len(sample) or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = spark.sparkContext.broadcast(fit(_augmented(np.stack(rows["embedding"]))))
+    books = spark.sparkContext.broadcast(fit(_augmented(np.stack(sample["embedding"]))))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["embedding"])
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "x": [r.tobytes() for r in x], "code": [r.tobytes() for r in pack(encode(_augmented(x), books.value))]})
+                codes = pack(encode(_augmented(np.stack(pdf["embedding"])), books.value))
+                yield pd.DataFrame({"v": pdf["v"], "w": pdf["w"], "code": [r.tobytes() for r in codes]})
 
-    c_blocks, q_blocks = -(-n // CANDIDATE_BLOCK), -(-n_queries // QUERY_BLOCK)
-    dealt = lambda blocks, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "embedding"), F.lit(blocks)).cast("int")
+    small, large = CANDIDATE_BLOCK
+    c_blocks, q_blocks = max(-(-n // large), min(parallelism(spark), -(-n // small))), -(-n_queries // QUERY_BLOCK)
+    dealt = lambda blocks: F.pmod(F.xxhash64(F.lit(2), "v"), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    c = df.withColumn("c", dealt(c_blocks, 1)).select("c", "vec_id", "embedding")
-    c = c.select("c", "vec_id", "embedding").mapInPandas(lambda b: (y.assign(c=x["c"].to_numpy()) for x in b for y in coded(iter([x]))), "vec_id long, x binary, code binary, c int")
-    c = c.select("c", each(q_blocks).alias("q"), "vec_id", "x", "code")
-    q = df.filter(F.col("vec_id") % every == 0).withColumn("q", dealt(q_blocks, 2)).select(each(c_blocks).alias("c"), "q", "vec_id", "embedding")
+    codes = distinct.select("v", "w", "embedding").mapInPandas(coded, "v long, w long, code binary")
+    c = codes.select(dealt(c_blocks).alias("c"), each(q_blocks).alias("q"), "v", "w", "code")
+    q = distinct.filter("asked").select(each(c_blocks).alias("c"), dealt(q_blocks).alias("q"), "v", "w", "embedding")
 
-    def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def scan(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        left = left.sort_values("vec_id", kind="stable")
-        x, code = (np.frombuffer(b"".join(left[k]), dtype=t).reshape(len(left), -1) for k, t in (("x", np.float64), ("code", np.uint8)))
-        return best(right["vec_id"].to_numpy(), np.stack(right["embedding"]), left["vec_id"].to_numpy(), x, code, books.value, top, pool)
-
-    found = c.groupBy("c", "q").cogroup(q.groupBy("c", "q")).applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+            return pd.DataFrame({"v": [], "w": [], "x": [], "y": [], "s": []}).astype({k: "int64" for k in "vwxy"} | {"s": "float32"})
+        left = left.sort_values(["v", "w"], kind="stable")
+        packed = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
+        at, s = best(packed, tables(np.stack(right["embedding"]), books.value), pool)
+        own = {k: np.broadcast_to(right[k].to_numpy(), at.shape).ravel() for k in "vw"}
+        return pd.DataFrame(own | {"x": left["v"].to_numpy()[at].ravel(), "y": left["w"].to_numpy()[at].ravel(), "s": s.ravel()})
+
+    found = c.groupBy("c", "q").cogroup(q.groupBy("c", "q")).applyInPandas(scan, "v long, w long, x long, y long, s float")
+    place = F.row_number().over(Window.partitionBy("v", "w").orderBy(F.desc("s"), "x", "y"))
+    found = found.withColumn("_at", place).filter(F.col("_at") <= pool).select("v", "w", "x", "y")
+    # A vector's own copies are candidates wherever the scan ranks it.
+    pairs = found.unionByName(distinct.filter("asked").select("v", "w", F.col("v").alias("x"), F.col("w").alias("y"))).distinct()
+    side = lambda df, e, *k: df.select(*[F.col(a).alias(b) for a, b in zip("vw", k, strict=True)], F.col("embedding").alias(e))
+    pairs = pairs.join(side(distinct, "_b", "_x", "_y"), (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")))
+    pairs = pairs.join(side(distinct.filter("asked"), "_a", "_v", "_w"), (F.col("v") == F.col("_v")) & (F.col("w") == F.col("_w")))
+    square = F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    pairs = cut(pairs.select("v", "w", "x", "y", F.sqrt(square).alias("score")), "vectors-pool")
+    # Of a vector only its first rows can be among the top: a query leaves out the rows of its own vec_id, which are `most` at most.
+    most = top + (rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 0)
+    first = rows.select("v", "w", "vec_id", "copies", F.row_number().over(Window.partitionBy("v", "w").orderBy("vec_id")).alias("_at")).filter(F.col("_at") <= most)
+    near = pairs.join(first.select(F.col("v").alias("_x"), F.col("w").alias("_y"), "vec_id", "copies"), (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")))
+    near = near.withColumn("_at", F.row_number().over(Window.partitionBy("v", "w").orderBy("score", "vec_id"))).filter(F.col("_at") <= most)
+    asked = rows.filter(is_query).select(F.col("v").alias("_v"), F.col("w").alias("_w"), F.col("vec_id").alias("query_id"))
+    near = near.join(asked, (F.col("v") == F.col("_v")) & (F.col("w") == F.col("_w"))).filter("vec_id <> query_id")
+    near = near.select("query_id", "v", "w", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(top)))))
+    rank = F.row_number().over(Window.partitionBy("query_id", "v", "w").orderBy("score", "vec_id"))
+    out = cut(near.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score"), "vectors-nearest")
+    discard(rows, distinct, pairs)
+    return out
