@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
 Records are dealt to shards by key ranges whose bounds come from a hash sample of the keys, so that they depend on the rows
-alone; a shard's records are sorted and written as gzip members, into a new file whenever the compressed size reaches roll_bytes.
+alone; a task takes a range of shards, whose records are sorted and written as gzip members, into a new file whenever the compressed size reaches roll_bytes.
 Headers and digests are made anew from the payload. A task writes under a name of its own and renames a finished file, so a
 task that runs twice leaves the same files; a dataset of their names, sizes and checksums (the manifest) is written
 last, and a reader takes the files that it lists and no others. Of equal payloads of at least min_bytes, the one with the
@@ -9,9 +9,11 @@ largest page_id is kept as a response; the others are revisits that name it.
 
 Tasks write and read by pyarrow's file systems, so the folder may be local to a test or any store that these know.
 
+A record's id names its page, its payload and how many records with both came before it, so that rows that repeat have ids of their own.
+
 Defined results: a null html is an empty payload; a null url is an empty target; a null page_id makes a record without one
 that is a revisit if its payload has a page_id elsewhere, else a response; rows that repeat the largest page_id with an
-equal payload are all responses; an empty table gives an empty manifest and no records; other columns are not looked at.
+equal payload are all responses; an empty table gives an empty manifest and no records; other columns are not looked at; a payload of any size is one record.
 """
 
 from __future__ import annotations
@@ -49,19 +51,19 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def _id(page_id: int | None) -> str:
-    return "<urn:x-page:none>" if page_id is None else f"<urn:x-page:{page_id}>"
+def _id(page_id: int | None, value: str, before: int) -> str:
+    return f"<urn:x-page:{'none' if page_id is None else page_id}:{value}:{before}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """The bytes of a WARC/1.1 record; of a revisit where refers_to is given."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, before: int = 0) -> bytes:
+    """The bytes of a WARC/1.1 record; of a revisit where refers_to is given. before: records of this page and payload written so far."""
     target, value = quote(url or "", safe=":/?#[]@!$&'()*+,;=%~"), digest(payload)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_id(page_id, value, before)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}"]
     if refers_to is None:
         block += payload
     else:
-        lines += [f"WARC-Refers-To: {_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {_id(refers_to, value, 0)}", f"WARC-Profile: {PROFILE}"]
     lines += [f"WARC-Payload-Digest: sha1:{value}", f"WARC-Block-Digest: sha1:{digest(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -106,12 +108,12 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
 def shard_bounds(keys: DataFrame, shards: int, shard_bytes: int, sample: int = 20_000) -> list[tuple[int, str]]:
     """Lower bounds (_key, _sha) of all shards but the first, from keys (_key, _sha, _n).
 
-    The sample is the rows whose hash falls under a share that leaves about sample rows, whichever task reads them.
+    The sample is the distinct keys whose hash falls under a share that leaves about sample rows at most, whichever task reads them.
     """
     total = keys.agg(F.count("*").alias("rows"), F.sum("_n").alias("bytes")).first()
     shards = max(shards, -(-(total["bytes"] or 0) // shard_bytes))
     every = max(1, total["rows"] // sample)
-    picked = keys.filter(F.pmod(F.xxhash64("_key", "_sha"), F.lit(every)) == 0).select("_key", "_sha").collect()
+    picked = keys.filter(F.pmod(F.xxhash64("_key", "_sha"), F.lit(every)) == 0).select("_key", "_sha").distinct().collect()
     found = sorted((x["_key"], x["_sha"]) for x in picked)
     return sorted({found[len(found) * i // shards] for i in range(1, shards)}) if found else []
 
@@ -123,25 +125,29 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = MIN_BYTES, shar
     bounds = shard_bounds(df.select("_key", "_sha", "_n"), shards, shard_bytes)
 
     shard_of = F.pandas_udf(lambda k, s: pd.Series([bisect.bisect_right(bounds, x) for x in zip(k, s, strict=True)], dtype="int32"), "int")
-    df = df.withColumn("_shard", shard_of("_key", "_sha")).repartition(max(1, len(bounds) + 1), "_shard").sortWithinPartitions("_shard", "_key", "_sha", "url")
+    df = df.withColumn("_shard", shard_of("_key", "_sha")).repartitionByRange(max(1, len(bounds) + 1), "_shard").sortWithinPartitions("_shard", "_key", "_sha", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, shard, number, done = None, None, 0, []
+        file, shard, number, done, last, before = None, None, 0, [], None, 0
         for pdf in batches:
-            for of, page_id, known, url, payload, refers, referring in zip(pdf["_shard"], pdf["_key"], pdf["_known"], pdf["url"], pdf["_payload"], pdf["_to"], pdf["_revisit"], strict=True):
+            for of, page_id, sha, known, url, payload, refers, referring in zip(pdf["_shard"], pdf["_key"], pdf["_sha"], pdf["_known"], pdf["url"], pdf["_payload"], pdf["_to"], pdf["_revisit"], strict=True):
+                last, before = (page_id, sha), before + 1 if last == (page_id, sha) else 0
                 if file and (of != shard or file.size >= roll_bytes):
                     done.append(file.close())
                     number, file = (number + 1 if of == shard else 0), None
                 if file is None:
                     shard = of
                     file = _File(root, int(of), number)
-                file.write(_member(record(int(page_id) if known else None, url, bytes(payload), int(refers) if referring else None)))
+                file.write(_member(record(int(page_id) if known else None, url, bytes(payload), int(refers) if referring else None, before)))
         if file:
             done.append(file.close())
         yield pd.DataFrame(done, columns=["name", "shard", "n_records", "n_bytes", "sha256"])
 
-    rows = df.select("_shard", "_key", F.col("page_id").isNotNull().alias("_known"), "url", "_payload", F.coalesce("_refers", F.lit(0)).alias("_to"), F.col("_refers").isNotNull().alias("_revisit"))
+    rows = df.select("_shard", "_key", "_sha", F.col("page_id").isNotNull().alias("_known"), "url", "_payload", F.coalesce("_refers", F.lit(0)).alias("_to"), F.col("_refers").isNotNull().alias("_revisit"))
     rows.mapInPandas(write, MANIFEST).write.parquet(f"{root}/_manifest")
+    store, folder = fs.FileSystem.from_uri(root)
+    if store.get_file_info(f"{folder}/_temporary").type != fs.FileType.NotFound:  # what tasks that failed have left
+        store.delete_dir(f"{folder}/_temporary")
     return df.sparkSession.read.schema(MANIFEST).parquet(f"{root}/_manifest")
 
 
@@ -162,7 +168,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _page(value: str) -> int | None:
-    found = value.removeprefix("<urn:x-page:").removesuffix(">")
+    found = value.removeprefix("<urn:x-page:").partition(":")[0]
     return None if found == "none" else int(found)
 
 
