@@ -95,6 +95,53 @@ def test_repeats_keep_first_of_repeated_rows(spark, bucket, monkeypatch):
         assert bytes(x._rest) == rest[x.doc_id, x.text], x.doc_id
 
 
+def test_texts_whose_polynomial_sums_collide(spark):
+    """Two texts of which no 400 bytes agree, made so that sums of powers modulo 2^64 do: nothing may go."""
+    word = [0]
+    while len(word) < 1024:
+        word += [1 - x for x in word]
+    rng = random.Random(2)
+    ends = ["".join(rng.choice("qwrtzp") for _ in range(330)) for _ in range(2)]
+    texts = [ends[0] + "".join("lg"[x ^ k] for x in word) + ends[1] for k in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = [bytes(b for b, h in zip(t.encode(), c) if not h) for t, c in zip(texts, brute_cover([t.encode() for t in texts], 400, False))]
+    for keep_first in (False, True):
+        found = repeats.remove_repeats(df, 400, keep_first).orderBy("doc_id").collect()
+        if not keep_first:
+            assert [bytes(x._rest) for x in found] == wanted
+    short = [ends[0] + "".join("lg"[x ^ k] for x in word[:256]) + ends[1] for k in (0, 1)]
+    found = repeats.remove_repeats(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string"), 400, False).collect()
+    assert all(len(x._spans) == 0 for x in found)
+
+
+def test_repeats_of_many_equal_rows(spark):
+    text = prose(random.Random(3), 120)
+    df = spark.createDataFrame([(None, text)] * 400 + [(1, text + " x")], "doc_id long, text string").repartition(4)
+    found = repeats.remove_repeats(df, 400, keep_first=False).collect()
+    assert len(found) == 401 and {len(x._rest) for x in found} == {0, 2}
+    found = repeats.remove_repeats(df, 400).collect()
+    assert {(x.doc_id, len(x._rest)) for x in found} == {(None, len(text.encode())), (1, 2)}
+
+
+def test_passages_by_brute_force(spark):
+    """Which texts hold a passage of 51 words that another place holds too."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 150))) for _ in range(30)]
+    for n in (49, 50, 51, 52, 70):
+        passage = [word() for _ in range(n)]
+        texts += [" ".join([*(word() for _ in range(9)), *passage, *(word() for _ in range(9))]), "\n".join([*passage, word()])]
+    texts += [None, "", " ", "a " * 200, texts[0], prose(rng, 20_000)]
+    seen = {}
+    for t in texts:
+        ws = (t or "").split()
+        for i in range(len(ws) - 50):
+            seen.setdefault(tuple(ws[i : i + 51]), []).append(1)
+    wanted = [any(len(seen[tuple((t or "").split()[i : i + 51])]) > 1 for i in range(len((t or "").split()) - 50)) for t in texts]
+    found = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), keep_first=False, report=51).orderBy("doc_id").collect()
+    assert [len(x._passages) > 0 for x in found] == wanted
+
+
 def brute_fingerprint(text):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", words)
@@ -219,6 +266,40 @@ def test_quality_rules(docs, rows):
     assert not any(x.kept for x in found if x.base_failed)
 
 
+def test_quality_distances(docs, rows):
+    """Both distances and the verdict against histograms made in Python."""
+    found = quality_rules.quality_rules(docs).collect()
+    classes = ["[A-Z]", "[a-z]", "[0-9]", "[#*$%&|<>]", r"""[.,;:!?'"()\-]""", r"[^\x00-\x7F]"]
+    own = {}
+    for i, r in enumerate(rows):
+        words = [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")]
+        own[i] = ([len(re.findall(c, r[1] or "")) for c in classes], [words.count(w) for w in quality_rules.COMMON_WORDS.get(r[2], [])], len(words))
+    failed = {(str(x.doc_id), x.n_words): x.base_failed for x in found}
+    total = {}
+    for i, r in enumerate(rows):
+        if not failed[str(r[0]), own[i][2]]:
+            c, w, n = total.get(r[2], ([0] * 6, [0] * len(own[i][1]), 0))
+            total[r[2]] = ([a + b for a, b in zip(c, own[i][0])], [a + b for a, b in zip(w, own[i][1])], n + own[i][2])
+
+    def distance(p, q):
+        part = lambda x, m: x * math.log2(x / m) if x else 0.0
+        return math.sqrt(max(0.0, sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q)) / 2))
+
+    wanted = []
+    for i, r in enumerate(rows):
+        c, w, n = own[i]
+        ref = total.get(r[2])
+        by_class = distance([x / sum(c) for x in c], [x / sum(ref[0]) for x in ref[0]]) if n >= 50 and sum(c) and ref else None
+        by_word = distance([*(x / n for x in w), 1 - sum(w) / n], [*(x / ref[2] for x in ref[1]), 1 - sum(ref[1]) / ref[2]]) if n >= 100 and r[2] and ref and r[2] in quality_rules.COMMON_WORDS else None
+        kept = not failed[str(r[0]), n] and (by_class or 0) <= quality_rules.MAX_CLASS_DISTANCE and (by_word or 0) <= quality_rules.MAX_WORD_DISTANCE
+        wanted.append((str(r[0]), n, kept, by_class, by_word))
+    assert len(found) == len(wanted)
+    key = lambda x: (x[0], x[1])
+    for a, b in zip(sorted(((str(x.doc_id), x.n_words, x.kept, x.class_distance, x.word_distance) for x in found), key=key), sorted(wanted, key=key)):
+        assert a[:3] == b[:3] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-6) for x, y in zip(a[3:], b[3:])), (a, b)
+    assert any(x[3] for x in wanted)
+
+
 def test_license_scan(spark):
     texts = ["MIT License and the Apache\nLicense, cc by cc BY", None, "", "submit licensed", "released under the mit license", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "gnu general public", "x " * 5000 + "mit license", "a mit license mit license b"]
     found = {x.doc_id: x for x in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -329,6 +410,46 @@ def test_vector_search(spark):
     assert vector_search.nearest(few.limit(0)).count() == 0
 
 
+def test_vector_search_with_many_copies(spark, monkeypatch):
+    """Several blocks of both sides, a vector that a third of the rows hold, a row that repeats, a vec_id with two vectors, clashing columns."""
+    monkeypatch.setattr(vector_search, "CANDIDATE_BLOCK", (128, 512))
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 8)
+    rng = random.Random(15)
+    one = [rng.gauss(0, 1) for _ in range(12)]
+    rows = [(i, one if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(12)], 7, "w") for i in range(1800)]
+    rows += [rows[5]] * 15 + [(100, [x + 0.01 for x in rows[100][1]], 7, "w")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int, w string").repartition(3)
+    found = vector_search.nearest(df).collect()
+    hits = wanted = 0
+    for q, x, *_ in [r for r in rows if r[0] % 100 == 0]:
+        best = sorted((math.dist(x, y), i) for i, y, *_ in rows if i != q)[:10]
+        own = sorted((r.rank, r.score, r.vec_id) for r in found if r.query_id == q)
+        if q == 100:
+            assert [r[0] for r in own] == sorted([*range(1, 11)] * 2)
+            continue
+        assert [r[0] for r in own] == list(range(1, 11))
+        left = [(round(d, 9), i) for d, i in best]
+        hits += sum((round(s, 9), i) in left for _, s, i in own)
+        wanted += 10
+        if q % 3 == 0:  # the copies with the smallest ids, exactly
+            assert [i for _, _, i in own] == [i for i in range(0, 40, 3) if i != q][:10]
+    assert hits >= 0.95 * wanted
+
+
+def test_vector_search_recall_on_the_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    import numpy as np
+
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    found = vector_search.nearest(spark.createDataFrame(rows)).collect()
+    hits = 0
+    for k in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        d[k] = np.inf
+        hits += len({*ids[np.lexsort((ids, d))[:10]].tolist()} & {r.vec_id for r in found if r.query_id == ids[k]})
+    assert hits >= 0.9 * 10 * (ids % 100 == 0).sum()
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/7x?q", "http://a.example.com/en/8", "http://x.org/es/#f", "https://example.net/de/8", "https://example.net/de/7", "http://notexample.net?x=/de/", "ftp://a.de/fr"]
     urls += [f"http://site{i}.com/en/{i}" for i in range(60)] + [f"http://host{i}.net/de/{i}" for i in range(60)]
@@ -340,6 +461,48 @@ def test_url_filter(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_scores_by_counting(spark):
+    """The model, its joins and its threshold against dictionaries."""
+    rng = random.Random(21)
+    urls = [f"http://{rng.choice(['shop', 'news', 'aa'])}{rng.randint(0, 9)}.{rng.choice(['com', 'net', 'org', 'de'])}/{rng.choice(['en', 'de', 'es'])}/{rng.randint(0, 99)}é" for _ in range(400)]
+    urls += [urls[0]] * 5 + ["HTTP://Q.com/en/", None, "", "x" * 3000]
+    rows = [(None if i == 3 else i, u, 1.0, 2) for i, u in enumerate(urls)]
+    found = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, score double, run long").repartition(3)).collect()
+    assert len(found) == len(rows)
+    lower = [(u or "").lower() for u in urls]
+    hashes = dict(spark.createDataFrame([(x,) for x in set(lower)], "u string").selectExpr("u", "pmod(xxhash64(u), 5)").collect())
+    ruled = {x.page_id: x.rule for x in found}
+    verdict = {r: v for v, r in url_filter.RULES}
+    counts = {}
+    for i, u in enumerate(lower):
+        own = ruled[None if i == 3 else i]
+        if own and hashes[u]:
+            raw = b"\0" * 4 + u.encode()
+            for at in range(4, len(raw)):
+                for o in range(5):
+                    for key in ((verdict[own], o, raw[at - o : at]), (verdict[own], o, raw[at - o : at], raw[at])):
+                        counts[key] = counts.get(key, 0) + 1
+
+    def score(u):
+        raw, total = b"\0" * 4 + u.encode(), 0.0
+        for at in range(4, len(raw)):
+            for sign, label in ((1, "allow"), (-1, "block")):
+                p = 1 / 256
+                for o in range(5):
+                    context = (label, o, raw[at - o : at])
+                    p = (counts.get((*context, raw[at]), 0) + 4.0 * p) / (counts.get(context, 0) + 4.0)
+                total += sign * math.log(p)
+        return total / max(1, len(raw) - 4)
+
+    for x in found:
+        u = (rows[3][1] if x.page_id is None else urls[x.page_id]) or ""
+        assert x.score == pytest.approx(score(u.lower()), abs=1e-8)
+        if x.rule:
+            assert x.verdict == verdict[x.rule]
+    free = [x for x in found if not x.rule]
+    assert max([x.score for x in free if x.verdict == "block"], default=-9) < min([x.score for x in free if x.verdict == "allow"], default=9)
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 60) + "." if i % 2 else " ".join("#$%" + str(rng.randint(0, 99)) for _ in range(40)), i % 2) for i in range(300)]
