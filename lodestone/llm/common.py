@@ -35,10 +35,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back: later plans start from the files, also after a lost executor."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+#: Rows of whole texts that go to Python at once; the ten thousand that Spark sends suit numbers.
+TEXTS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read back: later plans start from the files, also after a lost executor.
+
+    While it is written, batch rows go to Python at once; the session's setting is put back.
+    """
+    path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(_BATCH)
+    if batch:
+        conf.set(_BATCH, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch:
+            conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out

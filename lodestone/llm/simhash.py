@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, parallelism
+from lodestone.llm.common import TEXTS, cut, parallelism
 from lodestone.llm.components import components
 
 SEED = 42
@@ -191,7 +191,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (hexadecimal) and component_id, the least doc_id that links of the distance reach."""
-    df = cut(fingerprints(docs, shingle), "fingerprints")
+    df = cut(fingerprints(docs, shingle), "fingerprints", batch=TEXTS)
     nodes = cut(df.groupBy("fp").agg(F.min("doc_id").alias("_least")).withColumn("node", F.col("fp")), "fingerprint-nodes")
     roots = components(links(nodes.select("node", "fp"), distance))
     roots = cut(roots.join(nodes, "node", "right").select("node", "_least", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
