@@ -6,25 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What titles and assessments say, as patterns without regard to case.
+PLACEMENT, THESIS, RESEARCH, RESEARCH_WORK = r"\b(placement|internship|practicum|fieldwork)\b", r"\b(thesis|dissertation)\b", r"\bresearch\b", r"\b(project|honours|honour|capstone)\b"
+MIDTERM = r"mid[\s-]*sem|mid[\s-]*term|midterm|in[\s-]*semester|in[\s-]*class"
+FINAL = r"final|end[\s-]*of[\s-]*semester|end[\s-]*sem"
+EXAM_TASK = r"\b(exam|quiz|test)\b"
+GROUP_TASK = r"team or group-based|\bgroup\b|\bteam\b"
+
+
+def _says(x: Column, pattern: str) -> Column:
+    return F.coalesce(x, F.lit("")).rlike(f"(?i){pattern}")
+
+
 def course_type(title: Column, assessments: Column) -> Column:
-    """placement, thesis, research or coursework, the first that the title or a stand-alone thesis category says."""
-    title = F.lower(F.coalesce(title, F.lit("")))
+    """placement, thesis, research or coursework: the first that the title says, or (thesis) a category that is nothing else. Research needs a
+    project, honours or capstone beside it: courses about research are coursework."""
     parts = lambda a: F.array_distinct(F.filter(F.transform(F.split(F.lower(a["category"]), ","), lambda x: F.trim(x)), lambda x: x != ""))
-    only_thesis = F.coalesce(F.exists(assessments, lambda a: parts(a) == F.array(F.lit("thesis"))), F.lit(False))
-    return F.when(title.rlike("placement|internship|practicum"), "placement").when(title.rlike("thesis|dissertation") | only_thesis, "thesis").when(title.rlike("research"), "research").otherwise("coursework")
+    only_thesis = F.coalesce(F.exists(assessments, lambda a: F.coalesce(parts(a) == F.array(F.lit("thesis")), F.lit(False))), F.lit(False))
+    return (
+        F.when(_says(title, PLACEMENT), "placement").when(_says(title, THESIS) | only_thesis, "thesis")
+        .when(_says(title, RESEARCH) & _says(title, RESEARCH_WORK), "research").otherwise("coursework")
+    )
 
 
 def midterm_status(assessments: Column) -> Column:
-    """has, none or unknown: an exam that is neither midterm nor final leaves it unknown."""
-    task, category = lambda a: F.lower(F.coalesce(a["task"], F.lit(""))), lambda a: F.lower(F.coalesce(a["category"], F.lit("")))
-    items = F.filter(assessments, lambda a: F.contains(category(a), F.lit("exam")) | task(a).rlike("exam|quiz|test"))
-    mid, final = lambda a: task(a).rlike("mid"), lambda a: task(a).rlike("final|end of")
-    return F.when(F.coalesce(F.size(assessments), F.lit(0)) == 0, "unknown").when(F.exists(items, mid), "has").when(F.exists(items, lambda a: ~mid(a) & ~final(a)), "unknown").otherwise("none")
+    """has, none or unknown: of exams, quizzes and tests (by category or task), any in the semester; else any whose task doesn't tell when; else none."""
+    items = F.filter(assessments, lambda a: F.contains(F.lower(F.coalesce(a["category"], F.lit(""))), F.lit("exam")) | _says(a["task"], EXAM_TASK))
+    any_of = lambda f: F.coalesce(F.exists(items, f), F.lit(False))
+    return F.when(any_of(lambda a: _says(a["task"], MIDTERM)), "has").when(any_of(lambda a: ~_says(a["task"], FINAL)), "unknown").otherwise("none")
 
 
 def group_status(assessments: Column) -> Column:
-    found = F.exists(assessments, lambda a: F.lower(F.concat_ws(" ", a["task"], a["category"])).rlike("group|team"))
-    return F.when(F.coalesce(F.size(assessments), F.lit(0)) == 0, "unknown").when(found, "has").otherwise("none")
+    """has, none, or unknown without assessments: whether a task is a group's or team's."""
+    found = F.exists(assessments, lambda a: _says(a["task"], GROUP_TASK))
+    return F.when(F.coalesce(F.size(assessments), F.lit(0)) <= 0, "unknown").when(found, "has").otherwise("none")
 
 
 def semester_and_year(period: Column) -> tuple[Column, Column]:

@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The words of a question that name no entity.
-STOP_WORDS = ["about", "does", "from", "have", "into", "that", "their", "there", "they", "this", "what", "when", "where", "which", "will", "with", "your"]
+STOP_WORDS = (
+    "the this that these those there here what when where which whom whose while with without about into onto over under after before between from your yours mine ours their they them "
+    "have having does doing done did will would shall should could must might can may and but for not are was were been being how why who you get got getting make made take taken want need needs "
+    "use used using find please long much many more most some any all out off than then also just very too still work working way ways thing things help know tell ask give show look going good best right"
+).split()
 
 
 def tokens(text: Column) -> Column:
@@ -42,8 +46,8 @@ def entity_tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
 
 
 def out_of_range_year(text: Column, first: int, last: int) -> Column:
-    """The first year of 19xx or 20xx outside first to last, else null."""
-    years = F.transform(F.regexp_extract_all(text, F.lit("((?:19|20)[0-9]{2})"), 1), lambda x: x.cast("int"))
+    """The first year of 19xx or 20xx that stands alone outside first to last, else null."""
+    years = F.transform(F.regexp_extract_all(text, F.lit(r"\b((?:19|20)[0-9]{2})\b"), 1), lambda x: x.cast("int"))
     return F.get(F.filter(years, lambda y: (y < first) | (y > last)), F.lit(0))
 
 
@@ -66,6 +70,34 @@ def strip_reasoning(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?s)<reasoning>.*?</reasoning>", ""))
 
 
+def first_kept(values: Column) -> Column:
+    """An array's distinct values in the order in which they first stand."""
+    return F.array_distinct(values)
+
+
+def without_fragment(url: Column) -> Column:
+    return F.substring_index(url, "#", 1)
+
+
+def joined_url(base: Column, link: Column) -> Column:
+    """A link as it stands on the page at base: whole, from the host's root, or from the page's folder; without its fragment."""
+    root, folder = F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]*)", 1), F.regexp_extract(base, r"^([a-zA-Z]+://[^?#]*/)", 1)
+    whole = F.when(link.rlike("^[a-zA-Z]+://"), link).when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), link)).when(link.startswith("/"), F.concat(root, link))
+    return without_fragment(whole.otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), link)))
+
+
+def course_line(code: Column, title: Column, facts: list[Column]) -> Column:
+    """- CODE: the facts that there are; a line without any says so."""
+    said = F.concat_ws(", ", F.when(title.isNotNull(), F.concat(F.lit("name="), title)), *facts)
+    return F.concat(F.lit("- "), code, F.lit(": "), F.when(said == "", "no offering").otherwise(said))
+
+
+def total_line(total: Column, listed: Column) -> Column:
+    """The heading of a list, which says where it isn't whole; a total under what is listed doesn't count."""
+    n = F.greatest(F.coalesce(total, listed), listed).cast("string")
+    return F.when(n.cast("long") > listed, F.concat(F.lit("Courses ("), n, F.lit(" in total, listing "), listed.cast("string"), F.lit(" below):"))).otherwise(F.concat(F.lit("Courses ("), n, F.lit(" in total):")))
+
+
 def linear_tables(text: Column) -> Column:
     """Rows of Markdown tables as cells with commas; separator rows and empty cells go."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$") | ~F.contains(x, F.lit("|")))

@@ -29,6 +29,15 @@ def best_threshold(swept: DataFrame, highest: bool = True) -> DataFrame:
     return swept.agg(F.max_by("threshold", F.struct("accuracy", tie)).alias("threshold"), F.max("accuracy").alias("accuracy"))
 
 
+def floors(swept: DataFrame, signals: DataFrame) -> DataFrame:
+    """max_keep, the highest threshold that keeps all signals, and best, the lowest with the most signals kept and noise cut, with both numbers."""
+    df = swept.join(F.broadcast(signals.agg(F.count("*").alias("_n"))))
+    right = F.col("passed") + F.col("blocked")
+    first = F.min_by(F.struct("threshold", "passed", "blocked"), F.struct(-right, F.col("threshold")))
+    df = df.agg(F.max(F.when(F.col("passed") == F.col("_n"), F.col("threshold"))).alias("max_keep"), first.alias("_x"))
+    return df.select("max_keep", F.col("_x.threshold").alias("best"), F.col("_x.passed").alias("kept"), F.col("_x.blocked").alias("cut"))
+
+
 def overlap(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """How many negatives reach the least positive score, and how many positives lie at or under the largest negative one."""
     edges = rows.agg(F.min(F.when(positive, F.col(score))).alias("_low"), F.max(F.when(~positive, F.col(score))).alias("_high"))
@@ -36,16 +45,21 @@ def overlap(rows: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 def separability(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """The cut among all scores with the best accuracy, the lowest of equals. Scores are counted; the running sums are over distinct ones
-    by tenths of a thousand, so no more than BINS * 10 rows meet."""
+    """The cut among all scores with the best accuracy, the lowest of equals. Scores are counted first; they fall into BINS bins of their range, whose
+    running sums are a few rows, so that the running sums over scores stay within a bin."""
     from pyspark.sql import Window
 
-    cut = F.round(F.col(score), 4)
-    counts = rows.groupBy(cut.alias("cut")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p_under, n_under = F.coalesce(F.sum("p").over(below), F.lit(0)), F.coalesce(F.sum("n").over(below), F.lit(0))
-    df = counts.withColumns({"ok": F.sum("p").over(whole) - p_under + n_under, "_all": F.sum("p").over(whole) + F.sum("n").over(whole)})
+    counts = rows.groupBy(F.col(score).alias("cut")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
+    edges = counts.agg(F.min("cut").alias("_low"), F.max("cut").alias("_high"), F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    share = F.when(F.col("_high") > F.col("_low"), (F.col("cut") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    counts = counts.join(F.broadcast(edges)).withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = counts.groupBy(F.col("_bin").alias("_b")).agg(F.sum("p").alias("_bp"), F.sum("n").alias("_bn"))
+    bins = bins.select("_b", F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_bn"))
+    inside = Window.partitionBy("_bin").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    under = lambda x: F.coalesce(F.sum(x).over(inside), F.lit(0))
+    df = counts.select("cut", "_bin", "_p", "_n", under("p").alias("_pu"), under("n").alias("_nu")).join(F.broadcast(bins), F.col("_bin") == F.col("_b"))
+    df = df.select("cut", (F.col("_p") - F.col("_bp") - F.col("_pu") + F.col("_bn") + F.col("_nu")).alias("ok"), (F.col("_p") + F.col("_n")).alias("_all"))
     return df.agg(F.max_by("cut", F.struct("ok", -F.col("cut"))).alias("cut"), F.max(F.col("ok") / F.col("_all")).alias("accuracy"))
 
 
@@ -53,12 +67,3 @@ def precision_recall(found: DataFrame, wanted: DataFrame, key: str) -> DataFrame
     both = found.select(key).distinct().withColumn("_f", F.lit(1)).join(wanted.select(key).distinct().withColumn("_w", F.lit(1)), key, "full")
     df = both.agg(F.count_if(F.col("_f").isNotNull() & F.col("_w").isNotNull()).alias("hit"), F.count("_f").alias("nf"), F.count("_w").alias("nw"))
     return df.select((F.col("hit") / F.col("nf")).alias("precision"), (F.col("hit") / F.col("nw")).alias("recall"), ((F.col("hit") == F.col("nf")) & (F.col("hit") == F.col("nw"))).alias("exact"))
-
-
-def unknown_words(questions: DataFrame, words: Column, vocabulary: DataFrame) -> DataFrame:
-    """id, and whether all words of a question are in the vocabulary (word), with those that aren't, in order. A question without words passes."""
-    df = questions.select("id", F.posexplode_outer(words).alias("pos", "word"))
-    known = vocabulary.select("word", F.lit(True).alias("_known")).distinct()
-    df = df.join(known, "word", "left").withColumn("_miss", F.when(F.col("word").isNotNull() & F.col("_known").isNull(), F.struct("pos", "word")))
-    df = df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("_miss")), lambda x: x["word"]).alias("unknown"))
-    return df.select("id", (F.size("unknown") == 0).alias("answerable"), F.array_join("unknown", "|").alias("unknown"))

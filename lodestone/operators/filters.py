@@ -76,6 +76,23 @@ def round_robin(df: DataFrame, stratum: str, order: str, per: int, most: int) ->
     return picked.join(firsts, F.col(stratum).eqNullSafe(F.col("_s"))).orderBy("_n", "_first").limit(most).drop("_s", "_first")
 
 
-def every_nth(df: DataFrame, order: str, step: int) -> DataFrame:
-    """Every step-th row in the order of a column that numbers rows from 0."""
-    return df.filter(F.pmod(F.col(order), F.lit(step)) == 0)
+def every_nth(df: DataFrame, stratum: str, order: str, step: int) -> DataFrame:
+    """Of each stratum the first row in order and every step-th after it."""
+    n = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
+    return df.withColumn("_n", n).filter((F.col("_n") - 1) % step == 0).drop("_n")
+
+
+#: What a free condition may not hold, and text columns that topics don't filter on.
+BANNED = r"(?i)(;|--|/\*|\b(insert|update|delete|drop|alter|create|truncate|grant|revoke)\b)"
+TEXT_COLUMNS = r"(?i)\b(title|description|search_blob|learning_outcomes|topics)\b"
+
+
+def condition_verdict(where: Column) -> Column:
+    """ok, empty, banned or text column, of a condition in words. Nothing runs such a condition; filters take slots."""
+    return F.when(F.trim(F.coalesce(where, F.lit(""))) == "", "empty").when(where.rlike(BANNED), "banned").when(where.rlike(TEXT_COLUMNS), "text column").otherwise("ok")
+
+
+def probed(df: DataFrame, column: str) -> DataFrame:
+    """name, there and n, the values of a column; of one that the table lacks, none."""
+    has = column in df.columns
+    return df.agg(F.count(F.col(column) if has else F.lit(None)).alias("n")).select(F.lit(column).alias("name"), F.lit(has).alias("there"), "n")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,17 @@ def hashed_vector(text: Column, size: int = 8) -> Column:
     """A deterministic stand-in for an embedding provider: of the first 8000 characters."""
     cut = F.substring(text, 1, 8000)
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.round(F.pmod(F.xxhash64(cut, i), F.lit(2001)) / 1000.0 - 1, 6))
+
+
+def with_vectors(base: DataFrame, rows: DataFrame, vectors: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """base after an upsert of the rows that have a vector, and how many were loaded and skipped for want of one."""
+    found, skipped = matched(rows, vectors, key)
+    counts = found.agg(F.count("*").alias("loaded")).join(skipped.agg(F.count("*").alias("skipped")))
+    return upsert(base, found, key, order), counts
+
+
+def replace_groups(base: DataFrame, rows: DataFrame, group: list[str], order: str, key: str) -> DataFrame:
+    """base, in which the rows of each group that comes anew are these, numbered from 0 in order: their key is group-number."""
+    n = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
+    new = rows.withColumn(key, F.concat_ws("-", F.concat_ws("_", *group), n.cast("string"))).select(*base.columns)
+    return base.join(rows.select(*group).distinct(), group, "left_anti").select(*base.columns).unionByName(new)

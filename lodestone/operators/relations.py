@@ -58,3 +58,16 @@ def mandatory(select: Column, minimum: Column, satisfiable: Column, has_items: C
 def permit(excluded: Column, requirement: Column) -> Column:
     """excluded, then core, then elective, else neither."""
     return F.when(excluded, "excluded").when(requirement == "core", "core").when(requirement.isNotNull(), "elective").otherwise("neither")
+
+
+def ordered_distinct(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Of each key the distinct values of a column, in the order in which they first stand. Repeats go before the values meet."""
+    first = rows.groupBy(key, value).agg(F.min(order).alias("_o"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", value))), lambda x: x[value]).alias(value))
+
+
+def listed_programs(rows: DataFrame, rank: str, title: str, key: str) -> DataFrame:
+    """rows numbered (place) by rank, then title, a missing title last, then key: within each rank, so that no task orders all."""
+    from pyspark.sql import Window
+
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(rank).orderBy(F.asc_nulls_last(title), F.asc_nulls_last(key))))

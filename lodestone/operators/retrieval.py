@@ -1,20 +1,32 @@
-"""Vector, keyword and fused retrieval. All searches are exact scans: one pass, and a top-k that leaves each task as k rows."""
+"""Vector, keyword and fused retrieval. All searches are exact scans: one pass, and a top-k that leaves each task as k rows.
+
+Keyword search matches English stems. Its rank is how often the query's stems stand, which is deterministic and not a database's own rank.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.stem import stem, stems
 from lodestone.functions.text import tokens
 from lodestone.functions.vectors import cosine, literal
 
 RRF_K = 60
-#: Query vectors that go to all tasks at once.
-MOST_QUERIES = 4096
+#: English words that keyword search passes over.
+STOPPED = frozenset(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
+    "am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above "
+    "below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very "
+    "s t can will just don should now".split()
+)
+#: Rows of a block of queries and of the corpus.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
 
 
 def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -35,57 +47,115 @@ def knn(df: DataFrame, vector: list[float], k: int, floor: float | None = None,
     return found if floor is None else found.filter(F.col("sim") >= floor)
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, most: int = MOST_QUERIES) -> DataFrame:
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """query_id, id, sim and rank of the k rows of corpus (id, embedding) nearest to each of queries (id, embedding), itself left out.
 
-    The query set is stated and small (more than most raise); the corpus is read once, in blocks, and k rows a query leave a block.
+    Both sides are dealt to blocks of a bounded size; each pair of blocks is one group, from which k rows a query leave.
     """
-    rows = queries.select("id", "embedding").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries: pass them in parts")
-    ids = np.array([r["id"] for r in rows])
-    q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-    held = queries.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(rows) else q))
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = held.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["embedding"]).astype(np.float64)
-            sims = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            own = pdf["id"].to_numpy()
-            for i, s in enumerate(sims):
-                s = np.where(own == ids[i], -np.inf, s)
-                best = np.lexsort((own, -s))[:k]
-                best = best[s[best] > -np.inf]
-                yield pd.DataFrame({"query_id": ids[i], "id": own[best], "sim": s[best]})
-
-    found = corpus.filter("embedding IS NOT NULL").select("id", "embedding").mapInPandas(block, "query_id long, id long, sim double")
+    has = F.col("embedding").isNotNull()
+    queries, corpus = queries.filter(has).select("id", "embedding"), corpus.filter(has).select("id", "embedding")
+    n_q, n_c = queries.count(), corpus.count()
+    q_blocks, c_blocks = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_c // CORPUS_BLOCK))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("q", dealt(q_blocks)).withColumn("c", each(c_blocks))
+    right = corpus.withColumn("c", dealt(c_blocks)).withColumn("q", each(q_blocks))
+
+    def unit(x: pd.Series) -> np.ndarray:
+        x = np.stack(x).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def block(_: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"query_id": [], "id": [], "sim": []}).astype({"query_id": "int64", "id": "int64", "sim": "float64"})
+        c = c.sort_values("id", kind="stable")
+        sims, own, asked = unit(q["embedding"]) @ unit(c["embedding"]).T, c["id"].to_numpy(), q["id"].to_numpy()
+        sims[asked[:, None] == own[None, :]] = -np.inf
+        out = []
+        for i, s in enumerate(sims):
+            if len(s) > k:  # all that reach the k-th, so that ties go by id
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                near = near[np.lexsort((own[near], -s[near]))][:k]
+            else:
+                near = np.lexsort((own, -s))
+            near = near[s[near] > -np.inf]
+            out.append(pd.DataFrame({"query_id": asked[i], "id": own[near], "sim": s[near]}))
+        return pd.concat(out)
+
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(block, "query_id long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def hyperplane_index(df: DataFrame, tables: int = 24, planes: int = 4, seed: int = 7, size: int | None = None) -> DataFrame:
+    """Every vector (id, embedding) once in each of the tables, in the bucket of its sides of a few random planes: g (table and bucket), id, embedding.
+
+    A bucket of a table holds about 1 of 2^planes vectors; more planes make finer buckets, more tables find more."""
+    size = size or df.filter("embedding IS NOT NULL").select(F.size("embedding").alias("n")).first()["n"]
+    normals = np.random.default_rng(seed).normal(size=(tables * planes, size)).round(6)
+    dot = lambda w: F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    sides = [F.when(dot(w) >= 0, 1 << (i % planes)).otherwise(0) for i, w in enumerate(normals)]
+    cells = [F.lit(t << planes) + reduce(lambda a, b: a + b, sides[t * planes : (t + 1) * planes]) for t in range(tables)]
+    return df.filter("embedding IS NOT NULL").select("id", "embedding", F.explode(F.array(*cells)).alias("g"))
+
+
+def index_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, sim and rank of the k nearest of what shares a bucket with each query; the exact search is knn_join."""
+    asked = index.join(queries.select("id"), "id", "left_semi").select("g", F.col("id").alias("query_id"), F.col("embedding").alias("_q"))
+    pairs = asked.join(index, "g").filter(F.col("id") != F.col("query_id")).dropDuplicates(["query_id", "id"])
+    pairs = pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def term_index(df: DataFrame) -> DataFrame:
     """The inverted index (term, id, tf) of id and text."""
     return df.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
 
 
-def term_frequency(text: Column, terms: list[str]) -> tuple[Column, Column]:
-    """How often terms stand in a text, and whether all of them do."""
-    found = F.filter(tokens(text), lambda x: x.isin(*terms))
-    return F.size(found), F.size(F.array_distinct(found)) == len(set(terms))
+def websearch(query: str) -> tuple[list[set[str]], set[str]]:
+    """The stems of a query: groups of alternatives (or) that must all be met, and stems that must not stand (-word). Stop words go; a
+    phrase in quotes counts as its words. A query without a word left raises."""
+    groups, without, either = [], set(), False
+    for mark, word in re.findall(r"(-?)([a-z0-9]+)", query.lower()):
+        if word == "or" and not mark and groups:
+            either = True
+        elif word not in STOPPED:
+            if mark:
+                without.add(stem(word))
+            elif either:
+                groups[-1].add(stem(word))
+            else:
+                groups.append({stem(word)})
+            either = False
+    if not groups:
+        raise ValueError("no words to search for")
+    return groups, without
+
+
+def term_hits(df: DataFrame, query: str) -> DataFrame:
+    """id and tf, how often a word of the query's stems stands, of the rows of df (id, text) that meet the query.
+
+    Only words that begin as a stem does (all but its last two letters, which suffixes may change) leave the texts; the distinct ones of
+    these are stemmed, and the stems joined back.
+    """
+    groups, without = websearch(query)
+    wanted = sorted(set().union(*groups) | without)
+    heads = sorted({w[: max(1, len(w) - 2)] for w in wanted})
+    begins = lambda x: reduce(lambda a, b: a | b, [x.startswith(h) for h in heads])
+    terms = df.select("id", F.explode(F.filter(tokens(F.col("text")), begins)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    known = terms.select("term").distinct().withColumn("stem", stems(F.col("term"))).filter(F.col("stem").isin(wanted))
+    rows = terms.join(known, "term").groupBy("id").agg(F.collect_set("stem").alias("_stems"), F.sum(F.when(~F.col("stem").isin(*without) if without else F.lit(True), F.col("n"))).cast("int").alias("tf"))
+    met = [F.arrays_overlap("_stems", F.array(*map(F.lit, sorted(g)))) for g in groups] + [~F.array_contains("_stems", w) for w in sorted(without)]
+    return rows.filter(reduce(lambda a, b: a & b, met)).select("id", "tf")
 
 
-def keyword_search(df: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """The k rows that hold all terms and hold them most often, with tf; no terms raise."""
-    if not terms:
-        raise ValueError("no terms")
-    n, every = term_frequency(F.col("text"), terms)
-    return top(df.withColumns({"tf": n, "_every": every}).filter("_every").drop("_every"), [F.desc("tf"), F.asc("id")], k)
+def keyword_search(df: DataFrame, query: str, k: int) -> DataFrame:
+    """The k rows that meet a query and hold its words most often, with tf, ties by id; a query without words raises."""
+    return top(df.join(term_hits(df, query), "id"), [F.desc("tf"), F.asc("id")], k)
 
 
-def fused_search(df: DataFrame, vector: list[float], terms: list[str], k: int, min_sim: float = 0.0, where: Column | None = None) -> DataFrame:
+def fused_search(df: DataFrame, vector: list[float], query: str, k: int, min_sim: float = 0.0, where: Column | None = None) -> DataFrame:
     """Reciprocal-rank fusion over df (id, code, text, embedding): the best k codes of the top 3k by vector and by keyword.
 
     Scores are sums of 1 / (RRF_K + rank); ties go by vector rank, then keyword rank; rows under min_sim, whichever list
@@ -95,7 +165,7 @@ def fused_search(df: DataFrame, vector: list[float], terms: list[str], k: int, m
         df = df.filter(where)
     df = df.select("id", "code", "text", cosine(F.col("embedding"), literal(vector)).alias("sim"))
     near = numbered(top(df.filter("sim IS NOT NULL"), [F.desc("sim"), F.asc("id")], 3 * k).select("id", "code", "sim"), [F.desc("sim"), F.asc("id")], "rank")
-    said = numbered(keyword_search(df, terms, 3 * k).select("id", "code", "sim", "tf"), [F.desc("tf"), F.asc("id")], "rank").drop("tf")
+    said = numbered(keyword_search(df, query, 3 * k).select("id", "code", "sim", "tf"), [F.desc("tf"), F.asc("id")], "rank").drop("tf")
     both = near.withColumn("arm", F.lit("v")).unionByName(said.withColumn("arm", F.lit("k")))
     fused = both.groupBy("id", "code").agg(
         F.max("sim").alias("sim"),

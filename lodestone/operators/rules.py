@@ -1,7 +1,7 @@
 """Rules of study plans: prerequisite and formula trees, schedules and the assignment of courses to bins.
 
 A plan is small and its steps depend on each other, so the helpers here are plain functions of one plan; schedules() and assignments()
-run them with a group for each plan, so that plans spread over the tasks.
+run them on a row for each plan, so that plans spread over the tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -166,27 +167,35 @@ def assign(bins: list[dict], units: dict[str, float]) -> dict[str, int]:
     return where
 
 
+def _plans(plans: DataFrame, *columns: str) -> DataFrame:
+    """A row a plan, with its courses in order of code. A plan's size is that of a course of study."""
+    return plans.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("code", *columns))).alias("courses"))
+
+
 def schedules(plans: DataFrame, cap: float = 8.0, n_slots: int = 8) -> DataFrame:
-    """plan_id, code, slot and problem of plans (plan_id, code, units, prerequisite, offered: array): a group for each plan."""
+    """plan_id, code, slot and problem of plans (plan_id, code, units, prerequisite, offered: array)."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("code", kind="stable")
-        trees = {c: parse_prerequisite(p) for c, p in zip(pdf["code"], pdf["prerequisite"], strict=True)}
-        got = schedule(list(pdf["code"]), trees, {c: set(o) for c, o in zip(pdf["code"], pdf["offered"], strict=True)}, dict(zip(pdf["code"], pdf["units"], strict=True)), cap, n_slots)
-        rows = [(key[0], c, i, None) for c, i in sorted(got["place"].items())] + [(key[0], None, None, p) for p in got["problems"]]
-        return pd.DataFrame(rows, columns=["plan_id", "code", "slot", "problem"]).astype({"slot": "Int32", "code": "object", "problem": "object"})
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for plan_id, courses in zip(pdf["plan_id"], pdf["courses"], strict=True):
+                trees = {c["code"]: parse_prerequisite(c["prerequisite"]) for c in courses}
+                got = schedule([c["code"] for c in courses], trees, {c["code"]: set(c["offered"]) for c in courses}, {c["code"]: c["units"] for c in courses}, cap, n_slots)
+                rows += [(plan_id, c, i, None) for c, i in sorted(got["place"].items())] + [(plan_id, None, None, p) for p in got["problems"]]
+            yield pd.DataFrame(rows, columns=["plan_id", "code", "slot", "problem"]).astype({"slot": "Int32", "code": "object", "problem": "object"})
 
-    return plans.groupBy("plan_id").applyInPandas(one, "plan_id long, code string, slot int, problem string")
+    return _plans(plans, "units", "prerequisite", "offered").mapInPandas(place, "plan_id long, code string, slot int, problem string")
 
 
 def assignments(plans: DataFrame) -> DataFrame:
     """plan_id, code and bin of plans (plan_id, code, units, bins: JSON list of codes, need and cap, the same in all rows of a plan)."""
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        got = assign(json.loads(pdf["bins"].iloc[0]), dict(zip(pdf["code"], pdf["units"], strict=True)))
-        return pd.DataFrame([(key[0], c, i) for c, i in sorted(got.items())], columns=["plan_id", "code", "bin"])
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, c, i) for p, courses in zip(pdf["plan_id"], pdf["courses"], strict=True) for c, i in sorted(assign(json.loads(courses[0]["bins"]), {x["code"]: x["units"] for x in courses}).items())]
+            yield pd.DataFrame(rows, columns=["plan_id", "code", "bin"])
 
-    return plans.groupBy("plan_id").applyInPandas(one, "plan_id long, code string, bin int")
+    return _plans(plans, "units", "bins").mapInPandas(place, "plan_id long, code string, bin int")
 
 
 def rule_status(assigned: DataFrame, rules: DataFrame) -> DataFrame:

@@ -10,9 +10,10 @@ from lodestone.functions.vectors import cosine
 from lodestone.operators import filters, retrieval
 from lodestone.registry import query, table
 
-TERMS = ["the", "and"]
-TERMS_SQL = "['the', 'and']"
-QUERY_IDS = 20
+#: A query by keywords, and the words of its two stems, as the SQL finds them.
+KEYWORDS = "erly thinging"
+HIT = "regexp_full_match(x, 'er((ly)?|ly(ed|ing)(ly)?)|thing(es|ed|ing|ly|edly|ingly|ly(ed|ing)(ly)?)?')"
+QUERY_EVERY = 50
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +42,9 @@ Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = {i})"
 def fused_sql(where: str, k: int, floor: float) -> str:
     return f"""
     WITH c AS (SELECT doc_id AS id, source AS code, text, {COS.format(a="embedding", b=Q0.format(i=0))} AS sim FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE {where}),
-    t AS (SELECT id, code, sim, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: list_contains({TERMS_SQL}, x)) AS hits FROM c),
+    t AS (SELECT id, code, sim, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: {HIT}) AS hits FROM c),
     v AS (SELECT id, code, sim, row_number() OVER (ORDER BY sim DESC, id) AS v_rank FROM c WHERE sim IS NOT NULL QUALIFY v_rank <= {3 * k}),
-    w AS (SELECT id, code, sim, row_number() OVER (ORDER BY len(hits) DESC, id) AS k_rank FROM t WHERE len(list_distinct(hits)) = {len(TERMS)} QUALIFY k_rank <= {3 * k}),
+    w AS (SELECT id, code, sim, row_number() OVER (ORDER BY len(hits) DESC, id) AS k_rank FROM t WHERE len(list_distinct(list_transform(hits, lambda x: x[1]))) = 2 QUALIFY k_rank <= {3 * k}),
     f AS (SELECT coalesce(v.id, w.id) AS id, coalesce(v.code, w.code) AS code, coalesce(v.sim, w.sim) AS sim, coalesce(1.0::DOUBLE / (60 + v_rank), 0) + coalesce(1.0::DOUBLE / (60 + k_rank), 0) AS score, v_rank, k_rank FROM v FULL JOIN w ON v.id = w.id),
     g AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY score DESC, v_rank NULLS LAST, k_rank NULLS LAST) AS n FROM f WHERE sim >= {floor})
     SELECT id, code, round(sim, 6) AS sim, round(score, 6) AS score FROM g WHERE n = 1 ORDER BY g.score DESC, v_rank NULLS LAST, k_rank NULLS LAST LIMIT {k}"""
@@ -51,17 +52,17 @@ def fused_sql(where: str, k: int, floor: float) -> str:
 
 @query("rrf01_fused_search", fused_sql("lang IN ('en', 'de')", 8, -1.0))
 def rrf01(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), TERMS, 8, -1.0, F.col("lang").isin("en", "de")).select("id", "code", r6("sim"), r6("score"))
+    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), KEYWORDS, 8, -1.0, F.col("lang").isin("en", "de")).select("id", "code", r6("sim"), r6("score"))
 
 
 @query("rrf02_semantic_search", fused_sql("TRUE", 8, 0.05))
 def rrf02(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), TERMS, 8, 0.05).select("id", "code", r6("sim"), r6("score"))
+    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), KEYWORDS, 8, 0.05).select("id", "code", r6("sim"), r6("score"))
 
 
 @query("rrf03_hybrid_filtered", fused_sql("lang = 'en' AND n_chars > 200", 8, -1.0))
 def rrf03(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), TERMS, 8, -1.0, (F.col("lang") == "en") & (F.col("units") > 200)).select("id", "code", r6("sim"), r6("score"))
+    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), KEYWORDS, 8, -1.0, (F.col("lang") == "en") & (F.col("units") > 200)).select("id", "code", r6("sim"), r6("score"))
 
 
 @query("vec01_cosine", f"SELECT vec_id, round({COS.format(a='embedding', b=Q0.format(i=1))}, 6) AS sim FROM embeddings")
@@ -76,21 +77,21 @@ def vec02(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.knn(near(spark, d), vector(spark, d, 0), 24).select("id", r6("sim"))
 
 
-JOIN_SQL = f"SELECT q.vec_id AS query_id, c.vec_id AS id, q.label AS q_label, c.label AS c_label, {COS.format(a='q.embedding', b='c.embedding')} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='q.embedding', b='c.embedding')} DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < {QUERY_IDS} QUALIFY rank <= 5"
+JOIN_SQL = f"SELECT q.vec_id AS query_id, c.vec_id AS id, q.label AS q_label, c.label AS c_label, {COS.format(a='q.embedding', b='c.embedding')} AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format(a='q.embedding', b='c.embedding')} DESC, c.vec_id) AS rank FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_EVERY} = 0 QUALIFY rank <= 5"
 
 
 @query("joi11_knn_join", f"SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM ({JOIN_SQL})")
 def joi11(spark: SparkSession, d: str) -> DataFrame:
     rows = near(spark, d)
-    return retrieval.knn_join(rows.filter(F.col("id") < QUERY_IDS), rows, 5).select("query_id", "id", "rank", r6("sim"))
+    return retrieval.knn_join(rows.filter(F.col("id") % QUERY_EVERY == 0), rows, 5).select("query_id", "id", "rank", r6("sim"))
 
 
 @query("evl05_hit_at_k", f"SELECT CAST(avg(h1) AS DOUBLE) AS hit_at_1, CAST(avg(h3) AS DOUBLE) AS hit_at_3 FROM (SELECT query_id, max(CASE WHEN rank <= 1 AND q_label = c_label THEN 1.0 ELSE 0.0 END) AS h1, max(CASE WHEN rank <= 3 AND q_label = c_label THEN 1.0 ELSE 0.0 END) AS h3 FROM ({JOIN_SQL}) GROUP BY query_id)")
 def evl05(spark: SparkSession, d: str) -> DataFrame:
     rows = near(spark, d)
     labels = rows.select("id", "label")
-    found = retrieval.knn_join(rows.filter(F.col("id") < QUERY_IDS), rows, 5).join(labels, "id")
-    found = found.join(F.broadcast(labels.filter(F.col("id") < QUERY_IDS).select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
+    found = retrieval.knn_join(rows.filter(F.col("id") % QUERY_EVERY == 0), rows, 5).join(labels, "id")
+    found = found.join((labels.filter(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))), "query_id")
     hit = lambda k: F.max(F.when((F.col("rank") <= k) & (F.col("label") == F.col("wanted")), 1.0).otherwise(0.0))
     return found.groupBy("query_id").agg(hit(1).alias("h1"), hit(3).alias("h3")).agg(F.avg("h1").alias("hit_at_1"), F.avg("h3").alias("hit_at_3"))
 
@@ -123,19 +124,19 @@ def kb05(spark: SparkSession, d: str) -> DataFrame:
     return df.select("code", F.col("row.doc_id").alias("id"), F.col("row.n_chars").alias("units"), "langs")
 
 
-@query("kb06_fallback_arbitration", f"""WITH s AS (SELECT q.vec_id AS query_id, max(CASE WHEN c.label < 5 THEN {COS.format(a='q.embedding', b='c.embedding')} END) AS own_top, max(CASE WHEN c.label >= 5 THEN {COS.format(a='q.embedding', b='c.embedding')} END) AS other_top FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < {QUERY_IDS} GROUP BY q.vec_id)
+@query("kb06_fallback_arbitration", f"""WITH s AS (SELECT q.vec_id AS query_id, max(CASE WHEN c.label < 5 THEN {COS.format(a='q.embedding', b='c.embedding')} END) AS own_top, max(CASE WHEN c.label >= 5 THEN {COS.format(a='q.embedding', b='c.embedding')} END) AS other_top FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % {QUERY_EVERY} = 0 GROUP BY q.vec_id)
     SELECT query_id, CASE WHEN own_top < 0.55 AND other_top > own_top THEN 'other' ELSE 'own' END AS route FROM s""")
 def kb06(spark: SparkSession, d: str) -> DataFrame:
     rows = near(spark, d)
-    queries = rows.filter(F.col("id") < QUERY_IDS)
+    queries = rows.filter(F.col("id") % QUERY_EVERY == 0)
     own = retrieval.knn_join(queries, rows.filter("label < 5"), 1).select("query_id", F.col("sim").alias("own_top"))
     other = retrieval.knn_join(queries, rows.filter("label >= 5"), 1).select("query_id", F.col("sim").alias("other_top"))
     return own.join(other, "query_id", "full").select("query_id", retrieval.arbitrated(F.col("own_top"), F.col("other_top"), 0.55, 0.62, F.lit(False)).alias("route"))
 
 
-@query("fts01_term_match", f"SELECT doc_id AS id, CAST(len(hits) AS INTEGER) AS tf FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: list_contains({TERMS_SQL}, x)) AS hits FROM documents) WHERE len(list_distinct(hits)) = 2 ORDER BY len(hits) DESC, doc_id LIMIT 20")
+@query("fts01_term_match", f"SELECT doc_id AS id, CAST(len(hits) AS INTEGER) AS tf FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: {HIT}) AS hits FROM documents) WHERE len(list_distinct(list_transform(hits, lambda x: x[1]))) = 2 ORDER BY len(hits) DESC, doc_id LIMIT 20")
 def fts01(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_search(corpus(spark, d), TERMS, 20).select("id", "tf")
+    return retrieval.keyword_search(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), KEYWORDS, 20).select("id", "tf")
 
 
 @query("fts02_term_index", "SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY term")
@@ -262,6 +263,56 @@ def srt06(spark: SparkSession, d: str) -> DataFrame:
     return shown.join(total, "source").select("source", "shown", "more")
 
 
-@query("srt07_every_nth", "SELECT doc_id FROM documents WHERE doc_id % 50 = 0")
+@query("srt07_every_nth", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE (n - 1) % 50 = 0")
 def srt07(spark: SparkSession, d: str) -> DataFrame:
-    return filters.every_nth(table(spark, d, "documents").select("doc_id"), "doc_id", 50)
+    return filters.every_nth(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 50)
+
+
+WORDS = ["running shoes", "she runs", "a runner ran", "connection connected", "connecting", "disconnect"]
+
+
+@query("fts03_stemmed_query", "SELECT p_partkey AS id, CAST(CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 1 END AS INTEGER) AS tf FROM part WHERE p_partkey % 6 IN (0, 1, 3, 4) AND NOT (p_partkey % 6 = 1 AND p_type = 'PROMO')")
+def fts03(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives, stop words, inflected forms and a word that must not stand, over all parts."""
+    said = F.get(F.array(*map(F.lit, WORDS)), (F.col("p_partkey") % len(WORDS)).cast("int"))
+    text = F.when((F.col("p_partkey") % 6 == 1) & (F.col("p_type") == "PROMO"), F.concat(said, F.lit(" promos"))).otherwise(said)
+    return retrieval.term_hits(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), "the run OR connections -promo")
+
+
+@query("str24_contains", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') AND NOT contains(lower(p_name), '%')")
+def str24(spark: SparkSession, d: str) -> DataFrame:
+    """A user's text is looked for as it is: a percent sign or an underscore is no wild card."""
+    name = F.lower("p_name")
+    return table(spark, d, "part").filter(F.contains(name, F.lit("ring")) & ~F.contains(name, F.lit("%"))).select("p_partkey")
+
+
+@query("fil06_description", "SELECT 'has_exam = false AND units = 2' AS described, count(*) AS n FROM part")
+def fil06(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").agg(F.count("*").alias("n")).select(F.lit(filters.describe({"has_exam": False, "units": 2})).alias("described"), "n")
+
+
+PHRASES = ["units = 2", "units = 2; drop table x", "title = 'a'", "  ", "level = 'x' -- y", "updated = true"]
+
+
+@query("fil10_where_guard", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'banned' WHEN 2 THEN 'text column' WHEN 3 THEN 'empty' WHEN 4 THEN 'banned' ELSE 'ok' END AS verdict FROM part")
+def fil10(spark: SparkSession, d: str) -> DataFrame:
+    said = F.get(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % len(PHRASES)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", filters.condition_verdict(said).alias("verdict"))
+
+
+@query("fil17_column_probe", "SELECT 'p_size' AS name, true AS there, count(p_size) AS n FROM part UNION ALL SELECT 'nonsense', false, 0")
+def fil17(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return filters.probed(part, "p_size").unionByName(filters.probed(part, "nonsense"))
+
+
+@query("vec03_hyperplane_index", "SELECT count(*) AS n_indexed, true AS recall_reached FROM embeddings")
+def vec03(spark: SparkSession, d: str) -> DataFrame:
+    """An index of signed buckets over all vectors, and whether its search finds nine of ten of the exact nearest."""
+    rows = near(spark, d)
+    index = retrieval.hyperplane_index(rows)
+    queries = rows.filter(F.col("id") % QUERY_EVERY == 0)
+    exact = retrieval.knn_join(queries, rows, 5).select("query_id", "id")
+    found = retrieval.index_search(index, queries, 5).select("query_id", "id")
+    hit = exact.join(found, ["query_id", "id"], "left_semi").agg(F.count("*").alias("hit")).join(exact.agg(F.count("*").alias("of")))
+    return hit.select((F.col("hit") >= 0.9 * F.col("of")).alias("recall_reached")).join(index.agg(F.count_distinct("id").alias("n_indexed"))).select("n_indexed", "recall_reached")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import questions, rules, trees
+from lodestone.operators import rules, trees
 from lodestone.registry import query, table
 from lodestone.sources import files
 
@@ -29,14 +29,14 @@ def jsn04(spark: SparkSession, d: str) -> DataFrame:
 def plans(spark: SparkSession, d: str) -> DataFrame:
     """Orders as plans: a course a part, after the part before it in the order."""
     code = F.concat(F.lit("PART"), F.lpad((F.col("l_partkey") % 10000).cast("string"), 4, "0"))
-    lines = table(spark, d, "lineitem").filter("l_orderkey < 200").select(F.col("l_orderkey").alias("plan_id"), code.alias("code"), F.lit(2.0).alias("units")).distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan_id"), code.alias("code"), F.lit(2.0).alias("units")).distinct()
     from pyspark.sql import Window
 
     before = F.lag("code").over(Window.partitionBy("plan_id").orderBy("code"))
     return lines.select("plan_id", "code", "units", F.coalesce(before, F.lit("")).alias("prerequisite"), F.array(F.lit("S1"), F.lit("S2")).alias("offered"))
 
 
-@query("sim15_schedule", "WITH c AS (SELECT DISTINCT l_orderkey AS plan_id, 'PART' || lpad((l_partkey % 10000)::VARCHAR, 4, '0') AS code FROM lineitem WHERE l_orderkey < 200) SELECT plan_id, code, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY code) - 1 AS INTEGER) AS slot FROM c")
+@query("sim15_schedule", "WITH c AS (SELECT DISTINCT l_orderkey AS plan_id, 'PART' || lpad((l_partkey % 10000)::VARCHAR, 4, '0') AS code FROM lineitem) SELECT plan_id, code, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY code) - 1 AS INTEGER) AS slot FROM c")
 def sim15(spark: SparkSession, d: str) -> DataFrame:
     return rules.schedules(plans(spark, d), n_slots=16).filter("code IS NOT NULL").select("plan_id", "code", "slot")
 
@@ -57,12 +57,6 @@ def sim06(spark: SparkSession, d: str) -> DataFrame:
     return rules.assignments(rows.join(listed.select("plan_id", bins.alias("bins")), "plan_id"))
 
 
-@query("nlp13_plan")
-def nlp13(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
-    return questions.plan(asked).select("conv_id", "turn", "plan.mode", "plan.lang", "plan.semester")
-
-
 @query("str13_html_chunks")
 def str13(spark: SparkSession, d: str) -> DataFrame:
     return files.chunks(files.page_texts(table(spark, d, "pages")), "page_id")

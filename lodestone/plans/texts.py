@@ -21,30 +21,33 @@ def str01(spark: SparkSession, d: str) -> DataFrame:
     return df.filter("lang = 'en'")
 
 
-@query("str02_code_extract", "SELECT doc_id, upper(regexp_extract(s, '(?:^|[^A-Za-z0-9])([A-Za-z]{4}[0-9]{4})(?:[^A-Za-z0-9]|$)', 1)) AS code FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'see abcd' || lpad(doc_id::VARCHAR, 4, '0') || '.' ELSE 'xabcd' || lpad(doc_id::VARCHAR, 4, '0') END AS s FROM documents WHERE doc_id < 9999)")
+@query("str02_code_extract", "SELECT doc_id, upper(regexp_extract(s, '(?:^|[^A-Za-z0-9])([A-Za-z]{4}[0-9]{4})(?:[^A-Za-z0-9]|$)', 1)) AS code FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'see abcd' || lpad(doc_id::VARCHAR, 4, '0') || '.' ELSE 'xabcd' || lpad(doc_id::VARCHAR, 4, '0') END AS s FROM documents)")
 def str02(spark: SparkSession, d: str) -> DataFrame:
     number = F.lpad(F.col("doc_id").cast("string"), 4, "0")
     s = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("see abcd"), number, F.lit("."))).otherwise(F.concat(F.lit("xabcd"), number))
-    return docs(spark, d).filter("doc_id < 9999").select("doc_id", text.course_code(s).alias("code"))
+    return docs(spark, d).select("doc_id", text.course_code(s).alias("code"))
 
 
-ASSESSMENTS = "SELECT o_orderkey, list({'task': CASE l_linestatus WHEN 'O' THEN 'mid test' ELSE 'final exam' END, 'category': CASE l_returnflag WHEN 'A' THEN 'Thesis, thesis' WHEN 'R' THEN 'group exam' ELSE 'essay' END}) AS a FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"
+TITLES = ["Industry Research Placement", "Teaching Research Methods", "Honours Research Project", "Dissertation Seminar", "Laboratory Skills in Genetic Research", "Fieldwork in Geology", "Capstone", None]
+TASKS = ["In-Semester Exam", "Quiz", "Final Exam", "End of Semester Test", "Midway reflection", "Group essay", "Teamwork diary", "Contest", None]
 
 
 def assessments(spark: SparkSession, d: str) -> DataFrame:
-    task = F.when(F.col("l_linestatus") == "O", "mid test").otherwise("final exam")
-    category = F.when(F.col("l_returnflag") == "A", "Thesis, thesis").when(F.col("l_returnflag") == "R", "group exam").otherwise("essay")
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(task.alias("task"), category.alias("category"))).alias("a"))
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return orders.join(rows, orders.o_orderkey == rows.l_orderkey, "left").select("o_orderkey", "o_orderpriority", "a")
+    """Orders as courses: a title by number, and an assessment for each line, whose task goes by its part."""
+    pick = lambda xs, n: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), (F.col(n) % len(xs)).cast("int"))
+    category = F.when(F.col("l_partkey") % len(TASKS) == 4, "Examination").when(F.col("l_returnflag") == "A", "Thesis, thesis ").when(F.col("l_returnflag") == "R", "Project, Thesis").otherwise("Essay")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(pick(TASKS, "l_partkey").alias("task"), category.alias("category"))).alias("a"))
+    orders = table(spark, d, "orders").select("o_orderkey", pick(TITLES, "o_orderkey").alias("title"))
+    return orders.join(rows, orders.o_orderkey == rows.l_orderkey, "left").select("o_orderkey", "title", "a")
 
 
-@query("str03_course_type", """SELECT o_orderkey, CASE WHEN lower(o_orderpriority) LIKE '%urgent%' AND false THEN '' WHEN bool_or(l_returnflag = 'A') THEN 'thesis' ELSE 'coursework' END AS course_type FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, o_orderpriority""")
+@query("str03_course_type", """SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (0, 5) THEN 'placement' WHEN o_orderkey % 8 = 3 OR bool_or(l_returnflag = 'A' AND l_partkey % 9 <> 4) THEN 'thesis' WHEN o_orderkey % 8 = 2 THEN 'research' ELSE 'coursework' END AS course_type FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def str03(spark: SparkSession, d: str) -> DataFrame:
-    return assessments(spark, d).select("o_orderkey", derive.course_type(F.col("o_orderpriority"), F.col("a")).alias("course_type"))
+    return assessments(spark, d).select("o_orderkey", derive.course_type(F.col("title"), F.col("a")).alias("course_type"))
 
 
-@query("str04_midterm", "SELECT o_orderkey, CASE WHEN count(l_orderkey) = 0 THEN 'unknown' WHEN bool_or(l_linestatus = 'O') THEN 'has' ELSE 'none' END AS midterm, CASE WHEN count(l_orderkey) = 0 THEN 'unknown' WHEN bool_or(l_returnflag = 'R') THEN 'has' ELSE 'none' END AS grouped FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("str04_midterm", """SELECT o_orderkey, CASE WHEN bool_or(l_partkey % 9 = 0) THEN 'has' WHEN bool_or(l_partkey % 9 IN (1, 4)) THEN 'unknown' ELSE 'none' END AS midterm,
+    CASE WHEN count(l_orderkey) = 0 THEN 'unknown' WHEN bool_or(l_partkey % 9 = 5) THEN 'has' ELSE 'none' END AS grouped FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def str04(spark: SparkSession, d: str) -> DataFrame:
     return assessments(spark, d).select("o_orderkey", derive.midterm_status(F.col("a")).alias("midterm"), derive.group_status(F.col("a")).alias("grouped"))
 
@@ -80,9 +83,9 @@ def str15(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(text.entity_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("str16_year_range", "SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1998 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders")
+@query("str16_year_range", "SELECT o_orderkey, CASE WHEN year(o_orderdate) < 1998 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders")  # what touches letters or digits is no year
 def str16(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("in 1999 or "), F.date_format("o_orderdate", "yyyy"))
+    said = F.concat(F.lit("code 120199 x, 2031a, in 1999 or "), F.date_format("o_orderdate", "yyyy"))
     return table(spark, d, "orders").select("o_orderkey", text.out_of_range_year(said, 1998, 2028).alias("year"))
 
 
@@ -128,16 +131,18 @@ def str25(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.strip_reasoning(F.concat(F.lit("<reasoning>a\nb</reasoning> "), F.col("text")))).alias("h"))
 
 
-@query("str28_normalise", "SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(upper(text), '[.,;:]', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS h FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("str28_normalise", "SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[.,;:]', '', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS h FROM conversations")
 def str28(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z")).select("conv_id", "turn", F.md5(text.squeezed(F.regexp_replace(F.upper(F.col("text")), "[.,;:]", ""))).alias("h"))
+    # Engines upper-case letters such as the sharp s differently: A-Z here.
+    upper = F.translate(F.col("text"), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.squeezed(F.regexp_replace(upper, "[.,;:]", ""))).alias("h"))
 
 
 @query("str29_bare_dates")
 def str29(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("年2月, "), F.col("text"))
-    orders = table(spark, d, "orders").filter("o_orderkey < 200").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    return docs(spark, d).join(orders, "doc_id").select("doc_id", text.bare_dates(F.concat(said, F.lit(" 提交 3月"))).alias("found"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
+    return docs(spark, d).join(orders, "doc_id", "left").select("doc_id", text.bare_dates(F.concat(said, F.lit(" 提交 3月"))).alias("found"))
 
 
 @query("dat01_span_days", "SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate, l_shipdate) >= 240 AS long FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus <> 'P'")
@@ -217,21 +222,17 @@ def evl02(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.overlap(scored(spark, d), "score", F.col("pos"))
 
 
-@query("evl03_floor", f"SELECT max(threshold) AS threshold, round(max(accuracy), 6) AS accuracy FROM {SWEPT} WHERE accuracy = (SELECT max(accuracy) FROM {SWEPT})")
-def evl03(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.best_threshold(evaluation.sweep(scored(spark, d), "score", F.col("pos"), 5, 90, 100.0)).withColumn("accuracy", F.round("accuracy", 6))
+FLOORS = f"(SELECT step / 1000.0::DOUBLE AS floor, count(*) FILTER (WHERE pos AND round(score * 1000, 6) >= step) AS kept, count(*) FILTER (WHERE NOT pos AND round(score * 1000, 6) < step) AS cut, count(*) FILTER (WHERE pos) AS n_signals, count(*) AS n FROM range(1, 901) t(step), {SCORED} GROUP BY step)"
 
 
-@query("evl04_separability", f"WITH s AS (SELECT pos, round(score, 4) AS cut FROM {SCORED}), c AS (SELECT DISTINCT cut FROM s), a AS (SELECT c.cut, avg(CASE WHEN pos = (s.cut >= c.cut) THEN 1.0 ELSE 0.0 END) AS accuracy FROM c, s GROUP BY 1) SELECT arg_max(cut, (accuracy, -cut)) AS cut, round(max(accuracy), 6) AS accuracy FROM a")
-def evl04(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.separability(scored(spark, d), "score", F.col("pos")).withColumn("accuracy", F.round("accuracy", 6))
+@query("evl03_floor", f"""SELECT (SELECT max(floor) FROM {FLOORS} WHERE kept = n_signals) AS max_keep, arg_min(floor, (-(kept + cut), floor)) AS best, arg_min(kept, (-(kept + cut), floor)) AS kept, arg_min(cut, (-(kept + cut), floor)) AS cut FROM {FLOORS}""")
+def evl03(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.floors(evaluation.sweep(scored(spark, d), "score", F.col("pos"), 1, 900, 1000.0), scored(spark, d).filter("pos"))
 
 
-@query("ans01_gate", f"WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]+')) AS w FROM documents), q AS (SELECT item_id AS id, list_distinct({ENTITIES}) AS ws FROM benchmark) SELECT id, NOT EXISTS (SELECT 1 FROM (SELECT unnest(ws) AS w) WHERE w NOT IN (SELECT w FROM v)) AS answerable FROM q")
-def ans01(spark: SparkSession, d: str) -> DataFrame:
-    vocabulary = docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z][a-z0-9]+)"), 1)).alias("word"))
-    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return evaluation.unknown_words(questions, text.entity_tokens(F.col("text")), vocabulary).select("id", "answerable")
+@query("evl04_separability", f"WITH s AS (SELECT * FROM {SCORED}), c AS (SELECT DISTINCT score AS cut FROM s), a AS (SELECT c.cut, count(*) FILTER (WHERE pos = (s.score >= c.cut)) AS ok, count(*) AS n FROM c, s GROUP BY 1) SELECT round(arg_max(cut, (ok, -cut)), 9) AS cut, round(max(ok / n), 6) AS accuracy FROM a")
+def evl04(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.separability(scored(spark, d), "score", F.col("pos")).select(F.round("cut", 9).alias("cut"), F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("win05_rate_limit", "SELECT event_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) <= 2 AS allowed FROM events")

@@ -169,3 +169,173 @@ def chunks(pages: DataFrame, id_column: str, most: int = 200, least: int = 10) -
 
     df = pages.select(F.col(id_column).cast("string").alias("id"), "_title", "_text")
     return df.mapInPandas(cut, "chunk_id string, id string, heading string, text string, tokens int, short boolean")
+
+
+def url_list(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV list with a header: all columns as text. A file without the column url raises."""
+    df = spark.read.option("header", True).csv(path)
+    if "url" not in df.columns:
+        raise ValueError(f"no column url in {path}")
+    return df
+
+
+def write_url_list(df: DataFrame, path: str) -> None:
+    df.write.option("header", True).csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    df.write.json(path)
+
+
+def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
+    """Rows without a header, as vocabularies are kept."""
+    df.write.option("sep", sep).csv(path)
+
+
+def markdown_lines(df: DataFrame, order: str) -> DataFrame:
+    """place and line of a Markdown table: the header, the rule under it, and a row for each of df in order (place, line), cells with their bars escaped."""
+    names = [c for c in df.columns if c != order]
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit(r"\|"))
+    bar = lambda xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(-2, f"| {' | '.join(names)} |"), (-1, f"|{'---|' * len(names)}")], "place long, line string")
+    return head.unionByName(df.select(F.col(order).cast("long").alias("place"), bar([cell(c) for c in names]).alias("line")))
+
+
+def sitemap_rows(sitemaps: DataFrame) -> DataFrame:
+    """kind (sitemapindex or urlset), loc and lastmod of the entries of sitemaps (url, body: bytes, gzip or not); what can't be read has none."""
+    import gzip
+    import zlib
+    from xml.etree import ElementTree
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local = lambda e: e.tag.rpartition("}")[2]
+        for pdf in batches:
+            rows = []
+            for url, body in zip(pdf["url"], pdf["body"], strict=True):
+                try:
+                    root = ElementTree.fromstring(gzip.decompress(body) if bytes(body[:2]) == b"\x1f\x8b" else bytes(body))
+                except (ElementTree.ParseError, OSError, EOFError, zlib.error, TypeError):
+                    continue
+                for entry in root:
+                    found = {local(e): (e.text or "").strip() for e in entry}
+                    if found.get("loc"):
+                        rows.append((url, local(root), found["loc"], found.get("lastmod", "")))
+            yield pd.DataFrame(rows, columns=["url", "kind", "loc", "lastmod"])
+
+    return sitemaps.mapInPandas(read, "url string, kind string, loc string, lastmod string")
+
+
+def expanded_sitemaps(seeds: DataFrame, sitemaps: DataFrame, depth: int = 8) -> DataFrame:
+    """The distinct loc and lastmod of the pages that seeds (url) reach over sitemaps (url, body) held in a table; an index is followed once. Deeper than depth raises."""
+    rows = sitemap_rows(sitemaps)
+    edges, seen = rows.filter("kind = 'sitemapindex'").select("url", "loc").distinct(), seeds.select("url").distinct()
+    for _ in range(depth):
+        wider = seen.unionByName(edges.join(seen, "url").select(F.col("loc").alias("url"))).distinct()
+        if wider.count() == seen.count():
+            return rows.filter("kind = 'urlset'").join(seen, "url", "left_semi").select("loc", "lastmod").distinct()
+        seen = wider
+    raise ValueError(f"sitemaps more than {depth} deep")
+
+
+def offerings(rows: DataFrame, period: str, location: str = "", mode: str = "") -> DataFrame:
+    """Rows (href, cells: of a table's row) of the offerings of a period (a pattern), place and mode (whole, in any case; empty is any): offering_id, location, mode."""
+    cell = lambda i: F.trim(F.regexp_replace(F.get("cells", F.lit(i)), r"\s+", " "))
+    same = lambda i, v: F.lower(cell(i)) == v.lower() if v else F.lit(True)
+    ok = F.contains("href", F.lit("/course-profiles/")) & (F.size("cells") >= 3) & cell(0).rlike(period) & same(1, location) & same(2, mode)
+    return rows.filter(ok).select(F.regexp_extract(F.rtrim("href", F.lit("/")), "([^/]+)$", 1).alias("offering_id"), cell(1).alias("location"), cell(2).alias("mode"))
+
+
+class _Tree(HTMLParser):
+    """The text blocks of a page in order, each with its tag, and its tables as rows of cells."""
+
+    BLOCKS = {"h1", "h2", "h3", "h4", "p", "dt", "dd", "li", "th", "td", "label", "div", "span"}
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[list[str]] = []
+        self.tables: list[list[list[str]]] = []
+        self.cell: list[str] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "table":
+            self.tables.append([])
+        elif tag == "tr" and self.tables:
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables and self.tables[-1]:
+            self.cell = []
+        if tag in self.BLOCKS:
+            self.blocks.append([tag, ""])
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("td", "th") and self.cell is not None:
+            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
+            self.cell = None
+        if tag in self.BLOCKS:
+            self.blocks.append(["", ""])
+
+    def handle_data(self, data: str) -> None:
+        if self.cell is not None:
+            self.cell.append(data)
+        if not self.blocks:
+            self.blocks.append(["", ""])
+        self.blocks[-1][1] += data
+
+
+COURSE = (
+    "code string, title string, fields map<string, string>, incompatible array<string>, prerequisite string, "
+    "assessments array<struct<task: string, category: string, weight: double, hurdle: boolean>>, activities array<struct<period: string, activity_type: string, topic: string, learning_outcomes: array<string>>>"
+)
+#: The labels of a course page, and words of its tables.
+LABELS = ["Study period", "Location", "Attendance mode", "Study level", "Units", "Coordinating unit"]
+
+
+def read_course(html: str | None, offering_id: str) -> dict:
+    """The blocks and tables of a course page as fields; what the page lacks is null or empty."""
+    import re
+
+    page = _Tree()
+    page.feed(html or "")
+    page.close()
+    blocks = [(tag, " ".join(x.split())) for tag, x in page.blocks if x.strip()]
+    head = next((x for tag, x in blocks if tag == "h1"), "")
+    named = re.search(r"\(([A-Z]{2,4}\d{4})\)", head)
+    after = lambda i: next((x for _, x in blocks[i + 1 : i + 2]), None)
+    fields = {}
+    for label in LABELS:
+        at = next((i for i, (_, x) in enumerate(blocks) if x.rstrip(":").lower() == label.lower()), None)
+        if at is not None and after(at):
+            fields[label] = after(at)
+    section = lambda pattern: next((i for i, (_, x) in enumerate(blocks) if re.fullmatch(pattern, x, re.I)), None)
+    paragraphs = lambda i: [x for tag, x in blocks[i + 1 :] if tag == "p"][:4] if i is not None else []
+    codes = next((c for x in paragraphs(section("Incompatible")) if (c := re.findall(r"[A-Z]{2,4}\d{4}", x))), [])
+    said = [re.sub(r"^You'?ll need to complete.*?:\s*", "", x, flags=re.I).strip() for x in paragraphs(section("Prerequisites?"))]
+    said = [x for x in said if x]
+    prerequisite = next((x for x in said if re.search(r"[A-Z]{2,4}\d{4}", x)), said[0] if said else "")
+    table = lambda *words: next((t[1:] for t in page.tables if t and all(w in " ".join(t[0]) for w in words)), [])
+    assessments = []
+    for cells in table("Assessment task", "Weight"):
+        if len(cells) >= 3:
+            weight = re.search(r"(\d+(?:\.\d+)?)\s*%", cells[2])
+            task = re.sub(r"(Hurdle|Identity Verified|In-person)", "", cells[1]).strip()
+            assessments.append({"task": task, "category": cells[0], "weight": float(weight[1]) if weight else None, "hurdle": "hurdle" in cells[1].lower()})
+    activities = []
+    for cells in table("Topic", "Activity type"):
+        if cells:
+            period, activity, topic = cells[:3] if len(cells) >= 3 else ["", *cells] if len(cells) == 2 else ["", "", cells[0]]
+            topic, *outcomes = re.split(r"Learning outcomes\s*:?", topic, flags=re.I)
+            topic = re.sub(r"^\s*Week\s*\d+\s*", "", topic)
+            topic = re.sub(rf"^\s*{re.escape(activity)}s?\b\s*", "", topic, flags=re.I) if activity else topic
+            activities.append({"period": period, "activity_type": activity, "topic": topic.strip(" ."), "learning_outcomes": re.findall(r"L0?\d+", outcomes[0]) if outcomes else []})
+    return {
+        "code": named[1] if named else offering_id.split("-")[0], "title": re.sub(r"\s*\([A-Z]{2,4}\d{4}\)\s*$", "", head).strip(), "fields": fields, "incompatible": codes,
+        "prerequisite": prerequisite, "assessments": assessments, "activities": activities,
+    }
+
+
+def course_pages(pages: DataFrame, id_column: str, html: str = "html") -> DataFrame:
+    """pages' id as offering_id, and course (COURSE): fields by their labels, tables of assessments and activities, a row a page."""
+
+    def read(ids: pd.Series, values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_course(x, i) for i, x in zip(ids, values, strict=True)], columns=[x.split()[0] for x in ("code", "title", "fields", "incompatible", "prerequisite", "assessments", "activities")])
+
+    return pages.select(F.col(id_column).cast("string").alias("offering_id"), F.pandas_udf(read, COURSE)(F.col(id_column).cast("string"), F.col(html)).alias("course"))

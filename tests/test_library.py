@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import derive, text
-from lodestone.operators import filters, ingest, questions, retrieval, rules
+from lodestone.functions.stem import stem
+from lodestone.operators import answers, filters, ingest, planner, retrieval, rules
 from lodestone.sources import files
 from lodestone.streaming import increments, limiter
 
@@ -17,15 +18,15 @@ def column(spark, values, f):
 
 
 def test_prerequisites():
-    tree = rules.parse_prerequisite("(CSSE1001 or ENGG1001) and MATH1061")
-    assert rules.satisfied(tree, {"ENGG1001", "MATH1061"}) == (True, None)
-    assert rules.satisfied(tree, {"ENGG1001"}) == (False, "MATH1061")
-    assert rules.parse_prerequisite("ACCT1110 or 1111") == {"op": "or", "of": [{"op": "is", "of": "ACCT1110"}, {"op": "is", "of": "ACCT1111"}]}
+    tree = rules.parse_prerequisite("(OBOE2200 or LUTE2300) and HARP3100")
+    assert rules.satisfied(tree, {"LUTE2300", "HARP3100"}) == (True, None)
+    assert rules.satisfied(tree, {"LUTE2300"}) == (False, "HARP3100")
+    assert rules.parse_prerequisite("FLUT4010 or 4020") == {"op": "or", "of": [{"op": "is", "of": "FLUT4010"}, {"op": "is", "of": "FLUT4020"}]}
     assert rules.parse_prerequisite("A or") == {"op": "raw", "of": "A or"} and rules.parse_prerequisite(" ") is None
-    assert rules.parse_prerequisite("MATH1051, MATH1061 + STAT1201 & CSSE1001")["op"] == "and"
-    assert rules.satisfied({"op": "raw", "of": "Permission"}, set()) == (True, "check: Permission")
-    assert rules.parse_formula("Part A AND ( Part B OR Part C ) AND Part D")["op"] == "and"
-    assert rules.parse_formula("AND Part A AND Part B") is None and rules.parse_formula("(Part A") is None and rules.parse_formula("Part A 16 units") is None
+    assert rules.parse_prerequisite("HARP3000, HARP3100 + VIOL1200 & OBOE2200")["op"] == "and"
+    assert rules.satisfied({"op": "raw", "of": "Ask us"}, set()) == (True, "check: Ask us")
+    assert rules.parse_formula("Part K AND ( Part L OR Part M )")["op"] == "and"
+    assert rules.parse_formula("AND Part K") is None and rules.parse_formula("(Part K") is None and rules.parse_formula("Part K and 9 points") is None
 
 
 def test_schedule():
@@ -56,7 +57,7 @@ def test_text(spark):
     assert column(spark, ["a" * 50, "", "  "], lambda c: F.size(text.hard_split(c, 5, 1))) == [4, 0, 0]
     assert column(spark, ["- •  ok", None, "a long enough answer"], lambda c: text.is_empty_answer(c, "no information")) == [True, True, False]
     assert column(spark, ["see [X1]\nsee [Y2]\nnone"], lambda c: text.guard_citations(c, F.array(F.lit("X1")), r"\[(\w+)\]")) == ["see [X1]\nnone"]
-    assert column(spark, ["in 1999", "2024 and 2031", "none"], lambda c: text.out_of_range_year(c, 2020, 2028)) == [1999, 2031, None]
+    assert column(spark, ["in 1999", "2024 and 2031", "none", "code 120199 x, 2031a"], lambda c: text.out_of_range_year(c, 2020, 2028)) == [1999, 2031, None, None]
 
 
 def test_derived(spark):
@@ -64,10 +65,13 @@ def test_derived(spark):
     assert column(spark, ["Summer Semester, 2024", "Semester 2, 2025"], lambda c: derive.semester_and_year(c)[0]) == ["Summer", "S2"]
     assert column(spark, ["2024-01-01", "bad", None], lambda c: derive.stale(c, F.lit("2025-01-01").cast("date"))) == [True, False, False]
     schema = "title string, a array<struct<task: string, category: string>>"
-    rows = [("Intro", [("essay", "Thesis, thesis")]), ("Thesis research", []), ("Research methods", None), ("Industry Placement thesis", []), (None, [("Quiz", "quiz"), ("Final exam", "exam")])]
+    rows = [
+        ("Intro", [("essay", "Thesis, thesis")]), ("Thesis research", []), ("Ways of research", None), ("Internship thesis", []), (None, [("Quiz", "quiz"), ("Final exam", "exam")]),
+        ("Capstone research", [("In-class test", None)]), ("Researching honours", [("Exam halfway", "exam"), ("End-of-semester paper", "Exam")]), ("Studio", [("Final test", "x"), (None, None)]),
+    ]
     df = spark.createDataFrame(rows, schema)
-    assert [r[0] for r in df.select(derive.course_type(F.col("title"), F.col("a"))).collect()] == ["thesis", "thesis", "research", "placement", "coursework"]
-    assert [r[0] for r in df.select(derive.midterm_status(F.col("a"))).collect()] == ["none", "unknown", "unknown", "unknown", "unknown"]
+    assert [r[0] for r in df.select(derive.course_type(F.col("title"), F.col("a"))).collect()] == ["thesis", "thesis", "coursework", "placement", "coursework", "research", "coursework", "coursework"]
+    assert [r[0] for r in df.select(derive.midterm_status(F.col("a"))).collect()] == ["none", "none", "none", "none", "unknown", "has", "unknown", "none"]
 
 
 def test_filters_raise_on_nothing(spark):
@@ -81,9 +85,7 @@ def test_filters_raise_on_nothing(spark):
 def test_retrieval_limits(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, embedding array<double>")
     with pytest.raises(ValueError):
-        retrieval.knn_join(df, df, 2, most=3)
-    with pytest.raises(ValueError):
-        retrieval.keyword_search(df, [], 3)
+        retrieval.keyword_search(df, "the", 3)
     assert retrieval.knn_join(df.limit(0), df, 2).count() == 0
 
 
@@ -115,11 +117,54 @@ def test_sources(spark, tmp_path):
     assert [r["heading"] for r in files.chunks(files.page_texts(df), "id", most=2, least=1).collect()] == ["T > A", "T > A > B"]
 
 
-def test_plan(spark):
-    asked = ["Which courses have no exam in semester 1?", "What programs include CSSE1001?", "Can I take CSSE1001 in the bachelor program?", "", "courses about machine learning", "Tell me CSSE1001"]
-    plans = column(spark, asked, lambda c: F.lit(1)) and [r["plan"] for r in questions.plan(spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "i int, question string")).orderBy("i").collect()]
-    assert [p["mode"] for p in plans] == ["filter", "program", "program", "empty", "semantic", "course_detail"]
-    assert plans[0]["has_exam"] is False and plans[0]["semester"] == "S1" and plans[1]["direction"] == "course_to_programs" and plans[2]["direction"] == "permit"
+def test_plan_without_a_draft(spark):
+    asked = ["tell me about OBOE2200", "which programs is oboe2200 elective in", "can I take LUTE2300 in the Master of Music", "", "courses about machine learning", "easy stuff", None, "business and both s1 and s2"]
+    df = planner.plan(spark.createDataFrame(list(enumerate(asked)), "i int, question string"))
+    plans = [r["plan"] for r in df.orderBy("i").collect()]
+    assert [p["mode"] for p in plans] == ["course_detail", "program", "program", "empty", "semantic", "empty", "empty", "semantic"]
+    assert plans[1]["direction"] == "course_to_programs" and plans[2]["direction"] == "permit" and plans[2]["program_name"] == "Master of Music"
+    assert plans[7]["both_semesters"] and plans[7]["coord_units"] == ["Business School", "Economics School"] and plans[7]["slots"]["semester"] is None
+
+
+def test_stems_and_queries():
+    words = {"relational": "relat", "hopping": "hop", "hoping": "hope", "skies": "sky", "dying": "die", "happily": "happili", "generously": "generous", "cries": "cri", "ties": "tie", "controlling": "control", "inning": "inning"}
+    assert {w: stem(w) for w in words} == words
+    assert retrieval.websearch("the running OR jumped dogs -cats") == ([{"run", "jump"}, {"dog"}], {"cat"})
+    with pytest.raises(ValueError):
+        retrieval.websearch("the of and")
+
+
+def test_gate(spark):
+    questions = spark.createDataFrame([(1, "what is a gizmo in 2024"), (2, "a gizmo from 2031"), (3, "the widget"), (4, "when"), (5, "gadget 120199")], "id long, question string")
+    found = spark.createDataFrame([(3, "A Widget is here"), (5, None)], "id long, text string")
+    vocabulary = spark.createDataFrame([("gizmo",)], "word string")
+    assert [tuple(r) for r in answers.gate(questions, found, vocabulary).orderBy("id").collect()] == [(1, True, "ok", ""), (2, False, "year", "2031"), (3, True, "ok", ""), (4, True, "ok", ""), (5, False, "entity", "gadget")]
+
+
+def test_lists_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("https://x.example/a,b", "t")], "url string, title string")
+    files.write_url_list(df, str(tmp_path / "list"))
+    assert files.url_list(spark, str(tmp_path / "list")).collect() == df.collect()
+    with pytest.raises(ValueError):
+        files.url_list(spark, str(tmp_path / "list"), ).drop("url").write.option("header", True).csv(str(tmp_path / "bad"))
+        files.url_list(spark, str(tmp_path / "bad"))
+    files.write_json_lines(df, str(tmp_path / "lines"))
+    assert files.json_lines(spark, str(tmp_path / "lines"), df.schema).collect() == df.collect()
+    words = spark.createDataFrame([("a", 3), ("b", 1)], "word string, freq long")
+    files.write_table(words, str(tmp_path / "vocabulary"))
+    assert sorted(files.vocabulary(spark, str(tmp_path / "vocabulary")).collect()) == sorted(words.collect())
+
+
+def test_knn_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 5)
+    df = spark.createDataFrame([(i, [float(i % 4 + 1), 1.0, float(i // 7)]) for i in range(23)] + [(99, None)], "id long, embedding array<double>")
+    rows = {r["id"]: r["embedding"] for r in df.collect() if r["embedding"]}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    found = retrieval.knn_join(df, df, 4).collect()
+    for q, v in rows.items():
+        wanted = sorted((-round(cos(v, w), 9), i) for i, w in rows.items() if i != q)[:4]
+        assert sorted((-round(r["sim"], 9), r["id"]) for r in found if r["query_id"] == q) == wanted
 
 
 def test_stream_equals_table(spark, tmp_path):
