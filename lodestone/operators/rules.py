@@ -12,7 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CODE = re.compile(r"[A-Z]{4}[0-9]{4}\b")
@@ -93,6 +93,32 @@ def codes_of(tree: dict | None) -> set[str]:
     return {tree["of"]} if tree["op"] == "is" else set().union(*map(codes_of, tree["of"]))
 
 
+def _json(tree: dict | None) -> str | None:
+    return None if tree is None else json.dumps(tree, ensure_ascii=False)
+
+
+def expanded_codes(text: Column) -> Column:
+    return F.pandas_udf(lambda xs: pd.Series([expand_codes(x or "") for x in xs], dtype="object"), "string")(text)
+
+
+def prerequisite_trees(text: Column) -> Column:
+    """The trees of prerequisites, as JSON."""
+    return F.pandas_udf(lambda xs: pd.Series([_json(parse_prerequisite(x)) for x in xs], dtype="object"), "string")(text)
+
+
+def formula_trees(text: Column) -> Column:
+    return F.pandas_udf(lambda xs: pd.Series([_json(parse_formula(x)) for x in xs], dtype="object"), "string")(text)
+
+
+def satisfactions(text: Column, have: Column) -> Column:
+    """ok and said of prerequisites, given the codes that one has."""
+
+    def check(xs: pd.Series, codes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([satisfied(parse_prerequisite(x), set(c)) for x, c in zip(xs, codes, strict=True)], columns=["ok", "said"]).astype({"said": "object"})
+
+    return F.pandas_udf(check, "ok boolean, said string")(text, have)
+
+
 def levels(codes: list[str], trees: dict[str, dict | None]) -> dict[str, int]:
     """The length of the longest chain of prerequisites within the plan before each code; codes on a cycle have none."""
     needs = {c: codes_of(trees.get(c)) & set(codes) - {c} for c in codes}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import ingest, relations
+from lodestone.operators import ingest, relations, rules
+from lodestone.plans.questions import asked, stated
 from lodestone.registry import query, table
 from lodestone.sources import files
 
@@ -129,3 +130,115 @@ def str22_joined(spark: SparkSession, d: str) -> DataFrame:
     base = F.concat(F.lit("https://x.example/p/"), F.col("p_size").cast("string"), F.lit("/page.html?q=/1"))
     link = F.get(F.array(*map(F.lit, LINKS)), (F.col("p_partkey") % 4).cast("int"))
     return table(spark, d, "part").select("p_partkey", text.joined_url(base, link).alias("url"))
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """df (one column, value) as lines of text in a folder of its own."""
+    path = files.scratch(spark, name)
+    df.write.text(path)
+    return path
+
+
+@query("src01_json_lines", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def src01(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as JSON lines, with a blank line after each."""
+    lines = table(spark, d, "nation").select(F.concat(F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))), F.lit("\n  ")).alias("value"))
+    return files.json_lines(spark, written(spark, lines, "json-lines"), "id int, name string")
+
+
+@query("src02_word_set", "SELECT DISTINCT unnest(regexp_extract_all(p_name, '[^ \\t\\n]+')) AS word FROM part")
+def src02(spark: SparkSession, d: str) -> DataFrame:
+    there = files.word_set(spark, written(spark, table(spark, d, "part").select(F.col("p_name").alias("value")), "words"))
+    return there.unionByName(files.word_set(spark, files.scratch(spark, "nothing")))
+
+
+@query("src03_vocabulary", "SELECT p_type AS word, count(*) AS freq FROM part GROUP BY 1")
+def src03(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "vocabulary")
+    files.write_table(table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n")), path)
+    return files.vocabulary(spark, path)
+
+
+@query("src04_overrides", "SELECT p_brand AS id, count(*) AS n FROM part GROUP BY 1")
+def src04(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).coalesce(1)
+    line = lambda n: F.to_json(F.struct(F.col("p_brand").alias("id"), n.alias("n")))
+    lines = counts.select(F.concat(line(F.col("n") + 1), F.lit("\n"), line(F.col("n"))).alias("value"))
+    return files.overrides(spark, written(spark, lines, "overrides"), "id", "n long")
+
+
+@query("src08_url_list", "SELECT DISTINCT url, CASE WHEN contains(url, ',') THEN 'comma' ELSE 'plain' END AS kind FROM pages")
+def src08(spark: SparkSession, d: str) -> DataFrame:
+    path = files.scratch(spark, "urls")
+    files.write_url_list(table(spark, d, "pages").select("url", F.when(F.contains("url", F.lit(",")), "comma").otherwise("plain").alias("kind")).distinct(), path)
+    return files.url_list(spark, path)
+
+
+@query("src10_embedded_object", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '{"n": ' || p_size || '}' END AS object FROM part""")
+def src10(spark: SparkSession, d: str) -> DataFrame:
+    html = F.concat(F.lit("<script>var a = 1; window.Data = {\"n\": "), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "}; more = {}").otherwise(" no end"), F.lit("</script>"))
+    return table(spark, d, "part").select("p_partkey", files.embedded_object(html, "Data").alias("object"))
+
+
+@query("src05_guides", "SELECT 'ABCD' || lpad(n_nationkey::VARCHAR, 4, '0') AS code, n_name AS note, 'about ' || n_name AS body FROM nation")
+def src05(spark: SparkSession, d: str) -> DataFrame:
+    """A guide a nation, in a file of its name; a file of another name is none."""
+    code = F.concat(F.lit("ABCD"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"))
+    rows = table(spark, d, "nation").select(code.alias("code"), F.concat(F.lit("---\ncode: "), code, F.lit("\nnote: "), "n_name", F.lit("\n---\nabout "), "n_name").alias("body"))
+    found = files.parsed_guides(rows.select(F.concat("code", F.lit("_2025.md")).alias("name"), "body").unionByName(rows.select(F.lit("README.md").alias("name"), F.lit("none").alias("body"))))
+    return found.select(F.col("front")["code"].alias("code"), F.col("front")["note"].alias("note"), "body")
+
+
+BIG = "a" * 70
+MARKDOWN = ["# One\nshort text\n## Two\nmore", f"## Big\n{BIG}", f"intro words here\n### Sub\n{'b' * 30}", "## Only\n\n", None]
+
+
+@query("str12_packed_sections", stated("headings VARCHAR, sizes VARCHAR", [("One", "16"), ("Big|Big|Big", "40|38|6"), ("|Sub", "16|30"), ("", ""), ("", "")]))
+def str12(spark: SparkSession, d: str) -> DataFrame:
+    df = asked(spark, d, _text=MARKDOWN).withColumn("_title", F.lit(""))
+    found = files.chunks(df, "p_partkey", most=10, least=1, overlap=2)
+    parts = F.array_sort(F.collect_list(F.struct("chunk_id", "heading", F.length("text").cast("string").alias("n"))))
+    per_page = found.groupBy(F.col("id").cast("long").alias("p_partkey")).agg(parts.alias("x"))
+    joined = lambda k: F.coalesce(F.array_join(F.transform("x", lambda p: p[k]), "|"), F.lit(""))
+    return df.select("p_partkey").join(per_page, "p_partkey", "left").select("p_partkey", joined("heading").alias("headings"), joined("n").alias("sizes"))
+
+
+PREREQUISITES = ["(OBOE2200 or 2300) and HARP3100", "OBOE2200, HARP3100", "ask the teacher", None, "HARP3100 + OBOE2200 or LUTE1000."]
+
+
+@query("str07_expanded_codes", stated("expanded VARCHAR", [("(OBOE2200 or OBOE2300) and HARP3100",), ("OBOE2200, HARP3100",), ("ask the teacher",), ("",), ("HARP3100 + OBOE2200 or LUTE1000.",)]))
+def str07(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d, said=PREREQUISITES).select("p_partkey", rules.expanded_codes(F.col("said")).alias("expanded"))
+
+
+@query("jsn08_prerequisite_trees", stated("tree VARCHAR", [
+    ('{"op": "and", "of": [{"op": "or", "of": [{"op": "is", "of": "OBOE2200"}, {"op": "is", "of": "OBOE2300"}]}, {"op": "is", "of": "HARP3100"}]}',), ('{"op": "and", "of": [{"op": "is", "of": "OBOE2200"}, {"op": "is", "of": "HARP3100"}]}',),
+    ('{"op": "raw", "of": "ask the teacher"}',), (None,), ('{"op": "or", "of": [{"op": "and", "of": [{"op": "is", "of": "HARP3100"}, {"op": "is", "of": "OBOE2200"}]}, {"op": "is", "of": "LUTE1000"}]}',),
+]))
+def jsn08(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d, said=PREREQUISITES).select("p_partkey", rules.prerequisite_trees(F.col("said")).alias("tree"))
+
+
+@query("jsn09_satisfied", stated("ok BOOLEAN, said VARCHAR", [(True, None), (True, None), (True, "check: ask the teacher"), (True, None), (True, None)]).replace("CAST(v.ok AS BOOLEAN) AS ok", "v.k IN (2, 3) OR p_size % 2 = 0 AS ok").replace("CAST(v.said AS VARCHAR) AS said", "CASE WHEN v.k IN (0, 1) AND p_size % 2 = 1 THEN 'HARP3100' WHEN v.k = 4 AND p_size % 2 = 1 THEN 'HARP3100 or LUTE1000' ELSE v.said END AS said"))
+def jsn09(spark: SparkSession, d: str) -> DataFrame:
+    """Who has OBOE2200, and where a part's size is even HARP3100 too."""
+    have = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("OBOE2200"), F.lit("HARP3100"))).otherwise(F.array(F.lit("OBOE2200")))
+    df = asked(spark, d, said=PREREQUISITES).join(table(spark, d, "part").select("p_partkey", have.alias("have")), "p_partkey")
+    return df.select("p_partkey", rules.satisfactions(F.col("said"), F.col("have")).alias("x")).select("p_partkey", "x.ok", "x.said")
+
+
+FORMULAS = ["Part A AND ( Part B OR Part C )", "Part A AND", "16 units of Part A", None]
+
+
+@query("jsn10_formula_trees", stated("tree VARCHAR", [('{"op": "and", "of": [{"op": "is", "of": "Part A"}, {"op": "or", "of": [{"op": "is", "of": "Part B"}, {"op": "is", "of": "Part C"}]}]}',), (None,), (None,), (None,)]))
+def jsn10(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d, said=FORMULAS).select("p_partkey", rules.formula_trees(F.col("said")).alias("tree"))
+
+
+HTML = ["<title>A  b</title><nav>menu</nav><h1>One</h1><p>x &amp; y<br>z</p><script>no()</script>", "<p>open <b>bold", "", None]
+
+
+@query("src07_html_texts", stated("title VARCHAR, text VARCHAR", [("A b", "# One~x & y~z"), ("", "open bold"), ("", ""), ("", "")]))
+def src07(spark: SparkSession, d: str) -> DataFrame:
+    df = files.page_texts(asked(spark, d, html=HTML))
+    return df.select("p_partkey", F.col("_title").alias("title"), F.replace("_text", F.lit("\n"), F.lit("~")).alias("text"))

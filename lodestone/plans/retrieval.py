@@ -316,3 +316,11 @@ def vec03(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.index_search(index, queries, 5).select("query_id", "id")
     hit = exact.join(found, ["query_id", "id"], "left_semi").agg(F.count("*").alias("hit")).join(exact.agg(F.count("*").alias("of")))
     return hit.select((F.col("hit") >= 0.9 * F.col("of")).alias("recall_reached")).join(index.agg(F.count_distinct("id").alias("n_indexed"))).select("n_indexed", "recall_reached")
+
+
+@query("kb06_filter_fallback", "SELECT vec_id, CASE WHEN label < 5 AND vec_id % 2 = 0 AND label / 4.0 >= 0.62 OR label >= 5 AND label / 10.0 > coalesce(CASE WHEN vec_id % 2 = 1 THEN 0.5 END, -1) THEN 'other' ELSE 'own' END AS route FROM embeddings")
+def kb06_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as questions: the lower labels were filters, of which every other found nothing; the others were searches with weak results."""
+    is_filter, label = F.col("label") < 5, F.col("label").cast("double")
+    own = F.when(F.col("vec_id") % 2 == 1, 0.5)
+    return table(spark, d, "embeddings").select("vec_id", retrieval.arbitrated(own, F.when(is_filter, label / 4.0).otherwise(label / 10.0), 0.55, 0.62, is_filter).alias("route"))

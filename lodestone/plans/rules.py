@@ -62,6 +62,8 @@ def str13(spark: SparkSession, d: str) -> DataFrame:
     return files.chunks(files.page_texts(table(spark, d, "pages")), "page_id")
 
 
-@query("src07_page_texts")
+@query("src07_page_texts", "SELECT count(*) AS n FROM pages")
 def src07(spark: SparkSession, d: str) -> DataFrame:
-    return files.page_texts(table(spark, d, "pages")).select("page_id", F.col("_title").alias("title"), F.length("_text").alias("n_chars"))
+    """All pages are read; what is read of them is in src07_html_texts."""
+    df = files.page_texts(table(spark, d, "pages"))
+    return df.agg(F.count(F.when(F.col("_text").isNotNull() & F.col("_title").isNotNull(), 1)).alias("n"))

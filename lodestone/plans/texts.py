@@ -64,7 +64,7 @@ def str08(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", text.approx_tokens(F.col("text")).alias("tokens"), F.size(text.hard_split(F.col("text"), 100, 10)).cast("long").alias("chunks"))
 
 
-@query("str10_linear_tables")
+@query("str10_linear_tables", "SELECT p_partkey, 'name, size' || chr(10) || p_name || ', ' || p_size AS lines FROM part")
 def str10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.linear_tables(F.concat(F.lit("| name | size |\n|---|---|\n| "), "p_name", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))).alias("lines"))
 
@@ -138,11 +138,13 @@ def str28(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(text.squeezed(F.regexp_replace(upper, "[.,;:]", ""))).alias("h"))
 
 
-@query("str29_bare_dates")
+@query("str29_bare_dates", "SELECT o_orderkey, 1 AS n, CASE WHEN o_orderkey % 2 = 0 THEN '3月' ELSE '11 月' END AS month FROM orders")
 def str29(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("年2月, "), F.col("text"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    return docs(spark, d).join(orders, "doc_id", "left").select("doc_id", text.bare_dates(F.concat(said, F.lit(" 提交 3月"))).alias("found"))
+    """A month with its year beside it, and one far from any year."""
+    month = F.when(F.col("o_orderkey") % 2 == 0, "3月").otherwise("11 月")
+    said = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("年2月, and then, a good deal later, hand in by "), month, F.lit(" at noon"))
+    found = table(spark, d, "orders").select("o_orderkey", text.bare_dates(said).alias("x"))
+    return found.select("o_orderkey", F.size("x").alias("n"), F.regexp_extract(F.get("x", F.lit(0)), "([0-9]+ *月)", 1).alias("month"))
 
 
 @query("dat01_span_days", "SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate, l_shipdate) >= 240 AS long FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus <> 'P'")

@@ -50,8 +50,13 @@ def overrides(spark: SparkSession, path: str, key: str, columns: str) -> DataFra
 
 def guides(spark: SparkSession, path: str) -> DataFrame:
     """name, front (map of the lines between the --- marks) and body of guides NAME_YEAR.md; one without front matter raises."""
-    df = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).withColumn("name", F.col("_metadata.file_name"))
-    df = df.filter(F.col("name").rlike(r"^[A-Za-z]{4}[0-9]{4}_[0-9]{4}\.md$"))
+    df = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    return parsed_guides(df.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("body")))
+
+
+def parsed_guides(rows: DataFrame) -> DataFrame:
+    """name, front and body of rows (name, body: the whole file)."""
+    df = rows.filter(F.col("name").rlike(r"^[A-Za-z]{4}[0-9]{4}_[0-9]{4}\.md$")).withColumnRenamed("body", "value")
     pattern = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z"
     front = F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1)).otherwise(F.raise_error(F.concat(F.lit("no front matter: "), F.col("name"))))
     lines = F.filter(F.split(front, r"\r?\n"), lambda x: x.rlike(r"^[\w-]+\s*:"))
@@ -127,50 +132,69 @@ def embedded_object(html: Column, name: str) -> Column:
     return F.pandas_udf(first, "string")(html)
 
 
-def packed(sections: list[tuple[str, str]], most: int) -> Iterator[tuple[str, str]]:
-    """Sections (heading, text) joined up to most tokens (of four characters); a longer one stands alone. The heading is the first one's."""
-    held: list[tuple[str, str]] = []
-    size = lambda x: max(1, len(x) // 4)
-    for section in sections:
-        if held and (size(section[1]) > most or sum(size(t) for _, t in held) + size(section[1]) > most):
-            yield held[0][0], "\n".join(t for _, t in held)
-            held = []
-        held.append(section)
+def sections(markdown: str) -> Iterator[tuple[str, str, str]]:
+    """(h2, h3, body) of the parts of a text: # and ## begin one and clear h3, ### begins one under the same h2; empty ones go."""
+    h2 = h3 = ""
+    held: list[str] = []
+    for line in [*markdown.splitlines(), "# "]:
+        mark = len(line) - len(line.lstrip("#"))
+        if not (1 <= mark <= 3 and line[mark : mark + 1] in (" ", "\t")):
+            held.append(line)
+            continue
+        if body := "\n".join(held).strip():
+            yield h2, h3, body
+        held = []
+        h2, h3 = (h2, line[mark:].strip()) if mark == 3 else (line[mark:].strip(), "")
+
+
+def tokens(x: str) -> int:
+    return max(1, len(x) // 4)
+
+
+def packed(parts: Iterator[tuple[str, str, str]], most: int, overlap: int = 0) -> Iterator[tuple[str, str, str]]:
+    """Parts joined while they hold no more than most tokens (of four characters), under the headings of the first; a longer one is cut into windows that overlap."""
+    held: tuple[str, str, str] | None = None
+    for h2, h3, body in parts:
+        if tokens(body) > most:
+            if held:
+                yield held
+            held = None
+            for i in range(0, len(body), (most - overlap) * 4):
+                if piece := body[i : i + most * 4].strip():
+                    yield h2, h3, piece
+        elif held and tokens(held[2]) + tokens(body) <= most:
+            held = (*held[:2], f"{held[2]}\n\n{body}")
+        else:
+            if held:
+                yield held
+            held = (h2, h3, body)
     if held:
-        yield held[0][0], "\n".join(t for _, t in held)
+        yield held
 
 
-def chunks(pages: DataFrame, id_column: str, most: int = 200, least: int = 10) -> DataFrame:
+def chunks(pages: DataFrame, id_column: str, most: int = 200, least: int = 10, overlap: int = 20) -> DataFrame:
     """chunk_id, id, heading, text, tokens and short of the chunks of pages (_title, _text): sections by headings, packed; under least tokens they go."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, title, body in zip(pdf["id"], pdf["_title"], pdf["_text"], strict=True):
-                sections, heads, lines = [], {}, []
-                for line in [*body.split("\n"), "# "]:
-                    mark = len(line) - len(line.lstrip("#"))
-                    if 1 <= mark <= 3 and line[mark : mark + 1] == " ":
-                        if lines:
-                            path = dict.fromkeys(x for x in (title, *heads.values()) if x)
-                            sections.append((" > ".join(path), "\n".join(lines)))
-                        heads = {k: v for k, v in heads.items() if k < mark} | {mark: line[mark:].strip()}
-                        lines = []
-                    elif line:
-                        lines.append(line)
-                n = 0
-                for heading, text in packed(sections, most):
-                    tokens = max(1, len(text) // 4)
-                    if tokens >= least:
-                        rows.append((f"{key}-{n}", key, heading, text, tokens, tokens < 30))
-                        n += 1
-            if rows:
-                yield pd.DataFrame(rows, columns=["chunk_id", "id", "heading", "text", "tokens", "short"])
+                kept = [(" > ".join(dict.fromkeys(x for x in (title, h2, h3) if x)), x) for h2, h3, x in packed(sections(body or ""), most, overlap) if tokens(x) >= least]
+                rows += [(f"{key}-{n}", key, heading, x, tokens(x), tokens(x) < 30) for n, (heading, x) in enumerate(kept)]
+            yield pd.DataFrame(rows, columns=["chunk_id", "id", "heading", "text", "tokens", "short"])
 
     df = pages.select(F.col(id_column).cast("string").alias("id"), "_title", "_text")
     return df.mapInPandas(cut, "chunk_id string, id string, heading string, text string, tokens int, short boolean")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files that executors share: under spark.checkpoint.dir, or, of a session in one process without it, under the warehouse."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """A CSV list with a header: all columns as text. A file without the column url raises."""
     df = spark.read.option("header", True).csv(path)
