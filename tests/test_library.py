@@ -114,7 +114,7 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, html), (2, None)], "id int, html string")
     assert [r["_text"] for r in files.page_texts(df).orderBy("id").collect()] == ["# A\none & two\n## B\nthree", ""]
     assert [r[0] for r in df.orderBy("id").select(files.embedded_object(F.col("html"), "D")).collect()] == ['{"a": {"b": 1}}', None]
-    assert [r["heading"] for r in files.chunks(files.page_texts(df), "id", most=2, least=1, overlap=0).collect()] == ["T > A", "T > A", "T > B"]
+    assert [r["heading"] for r in files.chunks(files.page_texts(df), "id", most=2, least=1, overlap=0).collect()] == ["T > A", "T > B"]
     assert list(files.packed(files.sections("# A\n## B\n### C\nx\n# D\ny\n####  no\n"), 9)) == [("B", "C", "x\n\ny\n####  no")]
 
 
