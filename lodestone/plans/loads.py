@@ -186,7 +186,7 @@ def src05(spark: SparkSession, d: str) -> DataFrame:
     code = F.concat(F.lit("ABCD"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0"))
     rows = table(spark, d, "nation").select(code.alias("code"), F.concat(F.lit("---\ncode: "), code, F.lit("\nnote: "), "n_name", F.lit("\n---\nabout "), "n_name").alias("body"))
     found = files.parsed_guides(rows.select(F.concat("code", F.lit("_2025.md")).alias("name"), "body").unionByName(rows.select(F.lit("README.md").alias("name"), F.lit("none").alias("body"))))
-    return found.select(F.col("front")["code"].alias("code"), F.col("front")["note"].alias("note"), "body")
+    return found.select(F.variant_get(files.front_variant(F.col("front_text")), "$.code", "string").alias("code"), F.col("front")["note"].alias("note"), "body")
 
 
 BIG = "a" * 70
@@ -242,3 +242,31 @@ HTML = ["<title>A  b</title><nav>menu</nav><h1>One</h1><p>x &amp; y<br>z</p><scr
 def src07(spark: SparkSession, d: str) -> DataFrame:
     df = files.page_texts(asked(spark, d, html=HTML))
     return df.select("p_partkey", F.col("_title").alias("title"), F.replace("_text", F.lit("\n"), F.lit("~")).alias("text"))
+
+
+FRONT = """course_code: {code}
+year: 2025
+checked: yes
+tags: [easy, 'two words']
+claims:
+  prereq: "OBOE2200: or more"
+  assessment:
+    - name: Essay
+      weight: 40
+    - name: Exam
+      weight: 59.5
+      hurdle: true
+"""
+
+
+@query("src05_front_matter", "SELECT p_partkey, 2025 AS year, true AS checked, 'two words' AS tag, 'OBOE2200: or more' AS prereq, CAST(2 AS BIGINT) AS n, 59.5::DOUBLE AS weight, true AS hurdle FROM part")
+def src05_front(spark: SparkSession, d: str) -> DataFrame:
+    front = F.replace(F.lit(FRONT), F.lit("{code}"), F.concat(F.lit("PART"), F.col("p_partkey").cast("string")))
+    v = files.front_variant(front)
+    got = lambda path, kind: F.variant_get(F.col("v"), path, kind)
+    df = table(spark, d, "part").select("p_partkey", v.alias("v"))
+    items = got("$.claims.assessment", "array<struct<name string, weight double, hurdle boolean>>")
+    return df.select(
+        "p_partkey", got("$.year", "int").alias("year"), got("$.checked", "boolean").alias("checked"), got("$.tags[1]", "string").alias("tag"), got("$.claims.prereq", "string").alias("prereq"),
+        F.size(items).cast("long").alias("n"), items[1]["weight"].alias("weight"), items[1]["hurdle"].alias("hurdle"),
+    )

@@ -61,7 +61,82 @@ def parsed_guides(rows: DataFrame) -> DataFrame:
     front = F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1)).otherwise(F.raise_error(F.concat(F.lit("no front matter: "), F.col("name"))))
     lines = F.filter(F.split(front, r"\r?\n"), lambda x: x.rlike(r"^[\w-]+\s*:"))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    return df.select("name", F.map_from_entries(pairs).alias("front"), F.regexp_extract("value", pattern, 2).alias("body"))
+    return df.select("name", F.map_from_entries(pairs).alias("front"), F.regexp_extract("value", pattern, 2).alias("body"), front.alias("front_text"))
+
+
+def _scalar(x: str) -> object:
+    x = x.strip()
+    if x[:1] in "\"'" and x[-1:] == x[:1] and len(x) > 1:
+        return x[1:-1]
+    if x.startswith("[") and x.endswith("]"):
+        return [_scalar(y) for y in x[1:-1].split(",") if y.strip()]
+    low = x.lower()
+    if low in ("", "~", "null"):
+        return None
+    if low in ("true", "yes", "on", "false", "no", "off"):
+        return low in ("true", "yes", "on")
+    for kind in (int, float):
+        try:
+            return kind(x)
+        except ValueError:
+            pass
+    return x
+
+
+def front_matter(text: str) -> object:
+    """Maps and lists by indentation, with plain, quoted and bracketed values: what front matter is made of. Anything else raises."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+
+    def block(i: int, depth: int) -> tuple[object, int]:
+        if lines[i][1].startswith("- ") or lines[i][1] == "-":
+            out: list = []
+            while i < len(lines) and lines[i][0] == depth and lines[i][1].startswith("-"):
+                rest = lines[i][1][1:].strip()
+                inner = depth + len(lines[i][1]) - len(rest)
+                if not rest:
+                    value, i = block(i + 1, lines[i + 1][0])
+                elif _entry(rest):
+                    lines[i] = (inner, rest)  # a map that begins beside its dash
+                    value, i = block(i, inner)
+                else:
+                    value, i = _scalar(rest), i + 1
+                out.append(value)
+            return out, i
+        found: dict = {}
+        while i < len(lines) and lines[i][0] == depth and (entry := _entry(lines[i][1])):
+            key, rest = entry
+            if rest:
+                found[key], i = _scalar(rest), i + 1
+            elif i + 1 < len(lines) and (lines[i + 1][0] > depth or lines[i + 1][0] == depth and lines[i + 1][1].startswith("-")):
+                found[key], i = block(i + 1, lines[i + 1][0])
+            else:
+                found[key], i = None, i + 1
+        return found, i
+
+    if not lines:
+        return {}
+    value, end = block(0, lines[0][0])
+    if end < len(lines):
+        raise ValueError(f"front matter can't be read: {lines[end][1]}")
+    return value
+
+
+def _entry(line: str) -> tuple[str, str] | None:
+    key, colon, rest = line.partition(":")
+    plain = colon and key.replace("_", "").replace("-", "").isalnum() and (not rest or rest[0] == " ")
+    return (key.strip(), rest.strip()) if plain else None
+
+
+def front_variant(text: Column) -> Column:
+    """Front matter as a variant; one that isn't a map raises."""
+
+    def read(values: pd.Series) -> pd.Series:
+        out = [front_matter(x or "") for x in values]
+        if not all(isinstance(x, dict) for x in out):
+            raise ValueError("front matter isn't a map")
+        return pd.Series([json.dumps(x, ensure_ascii=False) for x in out], dtype="object")
+
+    return F.parse_json(F.pandas_udf(read, "string")(text))
 
 
 class _Page(HTMLParser):
