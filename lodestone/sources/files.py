@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -263,10 +266,12 @@ def chunks(pages: DataFrame, id_column: str, most: int = 200, least: int = 10, o
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for files that executors share: under spark.checkpoint.dir, or, of a session in one process without it, under the warehouse."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder for files that executors share: under spark.checkpoint.dir. A session in one process may do without the setting; any other raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-lodestone-')}"
     return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
@@ -390,8 +395,6 @@ LABELS = ["Study period", "Location", "Attendance mode", "Study level", "Units",
 
 def read_course(html: str | None, offering_id: str) -> dict:
     """The blocks and tables of a course page as fields; what the page lacks is null or empty."""
-    import re
-
     page = _Tree()
     page.feed(html or "")
     page.close()
