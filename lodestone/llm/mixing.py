@@ -8,7 +8,7 @@ The order is total, but no source is ever sorted whole: keys fall into buckets o
 prefix-summed, and only the one bucket per source in which the rest ends is sorted. A bucket of a single
 source holds under 0.4 % of it at the default, and less the more rows there are.
 
-Defined results: a null or empty text has size 0 and is taken 0 times over (0 words); a null source is a
+Defined results: a null or empty text has size 0 and is never taken; a null source is a
 source of its own, the last; a null doc_id is hashed as such; rows with equal doc_id and text have equal keys and
 are taken in any order among themselves; an empty table gives an empty table; a source of size 0 has target 0.
 """
@@ -86,4 +86,5 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weight: Column | None =
     whole = df.filter(~inside).withColumn("_times", F.col("_epochs") + F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)).cast("long"))
     upto = F.sum("_size").over(Window.partitionBy("_source").orderBy("_key", "_tie", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     part = df.filter(inside).withColumn("_times", F.col("_epochs") + (F.col("_before") + upto - F.col("_size") / 2 <= F.col("_rest")).cast("long"))
-    return whole.select(*out).unionByName(part.select(*out))
+    df = whole.select(*out).unionByName(part.select(*out))
+    return df.withColumn("_times", F.when(F.col("_size") > 0, F.col("_times")).otherwise(F.lit(0).cast("long")))

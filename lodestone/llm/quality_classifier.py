@@ -10,7 +10,8 @@ the documented bound; only the numbers of their indicators are collected. Scorin
 
 Defined results: a null text counts as empty; an empty text has no indicators and gets the score of the bias; a label other than
 0 or 1, or a null one, is not learnt from; where a label is missing all scores are the share of label 1, or 1.0 without
-any label; several labels of a document all count; repeated rows are scored alike; an empty table gives an empty table.
+any label; several labels of a document all count; repeated rows are scored alike and learnt
+from once; texts that share a doc_id share its labels; an empty table gives an empty table; a text of any length is scored whole; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -191,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
     label = label.filter(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id"))).withColumn("_key", F.xxhash64(F.lit(5), "_id"))
     picked = label.orderBy("_key", "_id", "_label").limit(max_rows)
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(picked), "_id")
-    found = rows.select("_key", "_label", "_text").mapInPandas(_rows, "key long, label int, row binary").toPandas().sort_values(["key", "label", "row"])
+    found = rows.select("_key", "_label", "_text").mapInPandas(_rows, "key long, label int, row binary").dropDuplicates(["key", "label", "row"])
+    found = found.orderBy("key", "label", "row").limit(max_rows).toPandas()  # a doc_id may stand for many texts
     return fit([np.frombuffer(x, dtype=np.int32) for x in found["row"]], found["label"].to_numpy())
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import TEXTS, cut, parallelism
+from lodestone.llm.common import TEXTS, cut, discard, parallelism
 from lodestone.llm.components import components
 
 SEED = 42
@@ -197,5 +197,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     roots = cut(roots.join(nodes, "node", "right").select("node", "_least", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
     least = roots.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
     known = cut(roots.join(least, F.col("root") == F.col("_r")).select("node", "component_id"), "fingerprint-components")
+    discard(nodes, roots)
     df = df.join(known, F.col("fp") == F.col("node"))
     return df.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -553,3 +553,28 @@ def test_all_operators_take_odd_rows(docs, rows):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     assert quality_classifier.quality_scores(docs, labels, keep=["doc_id", "_text"]).count() == len(rows)
     assert license_scan.license_scan(docs).count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    """One text of 150,000 words and 3 million characters in all, cut by no operator."""
+    rng = random.Random(41)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 12))) for _ in range(150_000)]
+    text = " ".join(words) + " mit license " + "y" * 2_000_000
+    docs = spark.createDataFrame([(1, text, "en", "s"), (2, "short " + " ".join(words[-80:]), "en", "s")], "doc_id long, text string, lang string, source string")
+    own = {x.doc_id: x for x in license_scan.license_scan(docs).collect()}
+    assert (own[1].n_words, own[1].first_word, own[1].labels) == (150_003, 150_000, "mit")
+    assert {x.doc_id: x.fingerprint for x in simhash.near_duplicates(docs).collect()}[1] == f"{brute_fingerprint(text):016x}"
+    found = {x.doc_id: x for x in quality_rules.quality_rules(docs).collect()}
+    assert found[1].n_words == 150_003 and found[1].word_chars == sum(map(len, text.split()))
+    cover = brute_cover_of_run(text, words[-80:])
+    spans = {x.doc_id: [(s["from"], s["to"]) for s in x._spans] for x in repeats.remove_repeats(docs, 400, keep_first=False).select("doc_id", "_spans").collect()}
+    assert spans[1][0] == cover and spans[1][-1][1] - spans[1][-1][0] >= 1_999_000
+    assert sum(x._size for x in mixing.mix(docs).collect()) == 150_003 + 81
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_classifier.quality_scores(docs, labels).count() == 2
+
+
+def brute_cover_of_run(text, words):
+    """Where the run of words stands in the text, with the space before it that the other text has too."""
+    run = " " + " ".join(words)
+    return text.index(run), text.index(run) + len(run)
