@@ -17,6 +17,7 @@ empty table; only vec_id and embedding are looked at, whatever other columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, pool: int =
 
     small, large = CANDIDATE_BLOCK
     c_blocks, q_blocks = max(-(-n // large), min(parallelism(spark), -(-n // small))), -(-n_queries // QUERY_BLOCK)
+    # Vectors are dealt at random: a block holds its part of a query's pool, give or take; so much leaves it.
+    share = min(pool, math.ceil(pool / c_blocks + 5 * math.sqrt(pool / c_blocks)) + top)
     dealt = lambda blocks: F.pmod(F.xxhash64(F.lit(2), "v"), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     codes = distinct.select("v", "w", "embedding").mapInPandas(coded, "v long, w long, code binary")
@@ -161,7 +164,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, pool: int =
             return pd.DataFrame({"v": [], "w": [], "x": [], "y": [], "s": []}).astype({k: "int64" for k in "vwxy"} | {"s": "float32"})
         left = left.sort_values(["v", "w"], kind="stable")
         packed = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
-        at, s = best(packed, tables(np.stack(right["embedding"]), books.value), pool)
+        at, s = best(packed, tables(np.stack(right["embedding"]), books.value), share)
         own = {k: np.broadcast_to(right[k].to_numpy(), at.shape).ravel() for k in "vw"}
         return pd.DataFrame(own | {"x": left["v"].to_numpy()[at].ravel(), "y": left["w"].to_numpy()[at].ravel(), "s": s.ravel()})
 
