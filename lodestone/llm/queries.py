@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import license_scan, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, url_filter, vector_search, warc
+from lodestone.llm import fill_in_middle, license_scan, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, url_filter, vector_search, warc
 from lodestone.llm.common import table
 
 
@@ -66,6 +66,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    sha = lambda c: F.sha2(F.col(c), 256)
+    return df.select(
+        "doc_id",
+        F.col("_n").alias("n"),
+        F.col("_form").alias("form"),
+        F.col("_prefix_units").alias("prefix_chars"),
+        F.col("_middle_units").alias("middle_chars"),
+        sha("_output").alias("output_sha256"),
+        sha("_restored").alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -77,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: A digest in base 32: each five of its hexadecimal digits are four characters.
@@ -86,4 +101,11 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages)
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN page_id <> kept THEN kept END AS refers_to FROM p""",
+    "op13_fill_in_middle": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+        h AS (SELECT *, {", ".join(f"('0x' || substr(s, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substr(t, 1, a) AS x, substr(t, a + 1, b - a) AS y, substr(t, b + 1) AS z FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
