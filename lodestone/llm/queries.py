@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import block_search, fill_in_middle, license_scan, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, url_filter, vector_search, warc
+from lodestone.llm import block_search, fill_in_middle, license_scan, mixing, pieces, quality_classifier, quality_rules, repeats, simhash, tiered_search, url_filter, vector_search, warc
 from lodestone.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.top_products(table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op11_tiered_search": op11_tiered_search,
     "op12_block_search": op12_block_search,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -106,6 +111,14 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS kept FROM pages)
         SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN page_id <> kept THEN kept END AS refers_to FROM p""",
+    "op11_tiered_search": r"""WITH w AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        c AS (SELECT count(*) AS n_docs, sum(len(ts)) AS n_terms FROM w WHERE len(ts) > 0),
+        p AS (SELECT d, doc_id, t, n, count(*) AS tf FROM (SELECT d, doc_id, len(ts) AS n, unnest(ts) AS t FROM w) GROUP BY ALL),
+        i AS (SELECT item_id, k, t, count(*) AS times FROM (SELECT item_id, row_number() OVER () AS k, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+        f AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, n_docs),
+        s AS (SELECT i.item_id, i.k, p.d, p.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM i JOIN p USING (t) JOIN f USING (t), c GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST, d) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
     "op12_block_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
