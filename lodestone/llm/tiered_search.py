@@ -21,7 +21,6 @@ doc_id, item_id and text are looked at, whatever other columns are called. Texts
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -39,7 +38,7 @@ TOP = 10
 #: Parts of the greatest possible impact at which tiers end.
 LEVELS = (1 / 4, 1 / 12)
 #: Terms in which a shard's last document begins, and documents of a shard, at most.
-SHARD_TERMS, SHARD_DOCS = 1_000_000, 4096
+SHARD_TERMS, SHARD_DOCS = 500_000, 4096
 #: Items of a block, and their distinct terms, about.
 ITEM_BLOCK, BLOCK_TERMS = 1024, 200_000
 #: Documents of an item that are completed to get its bound from below.
@@ -50,11 +49,11 @@ SHARDS_AT_ONCE = 4
 #: Fixed values of the ranking: what occurrences add is SCALE * tf div (1000 * tf + 8 * m), m = 100 - SLOPE + (SLOPE * n * N) div L.
 SCALE, SLOPE = 1_000_000_000, 75
 #: Terms are runs of ASCII letters and digits and of all characters beyond ASCII; only A-Z are lower-cased.
-_TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
+_AS_TERMS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 
 def terms(text: str | None) -> list[bytes]:
-    return _TERM.findall((text or "").encode().lower())
+    return (text or "").encode().translate(_AS_TERMS).split()
 
 
 def _names(schema: str) -> list[str]:
@@ -114,45 +113,50 @@ def _tiered(batches: Iterator[pd.DataFrame], n_docs: int, n_terms: int, cuts: li
             adds = (SCALE * tf) // (1000 * tf + 8 * m[doc])
             term, word = np.repeat(np.arange(len(row.term)), row.df), np.array(row.term, dtype=object)
             weight = np.empty(len(word), dtype=np.int64)
-            weight[np.array(row.at)] = row.weight
+            weight[np.array(row.weights) >> 32] = np.array(row.weights) & 0xFFFFFFFF
             impact = weight[term] * adds
             tier = np.zeros(len(impact), dtype=np.int64)
             for c in cuts:
                 tier += impact < c
-            out, of, at, most = {"shard": row.shard, "row": row.row, "id": row.id, "known": row.known}, [], [], []
+            out, most = {"shard": row.shard, "row": row.row, "id": row.id, "known": row.known}, np.zeros((len(word), len(cuts) + 1), dtype=np.int64)
             for k in range(len(cuts) + 1):
                 own = np.flatnonzero(tier == k)
                 there, first = np.unique(term[own], return_index=True)
                 parts = [word[there].tolist(), weight[there].astype(np.int32), np.append(first[1:], len(own))[: len(there)].astype(np.int32), doc[own].astype(np.int32), adds[own].astype(np.int32)]
                 out |= dict(zip(_columns([k]), parts, strict=True))
-                of += parts[0]
-                at += [k] * len(there)
-                most += np.maximum.reduceat(impact[own], first).tolist() if len(own) else []
-            yield pd.DataFrame([out | {"of": of, "at": at, "most": most}])
+                if len(own):
+                    most[there, k] = np.maximum.reduceat(impact[own], first)
+            # What the tiers below each one hold at most.
+            below = np.maximum.accumulate(np.append(most, np.zeros((len(word), 1), dtype=np.int64), axis=1)[:, ::-1], axis=1)[:, ::-1][:, 1:]
+            yield pd.DataFrame([out | {"term": row.term} | {f"below{k}": below[:, k] for k in range(len(cuts))}])
 
 
-def tiered_index(docs: DataFrame, levels: tuple[float, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """The shards, and for each term its weight and its residual bounds below each tier (term, weight, residuals)."""
+def tiered_index(docs: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """The shards. Besides tiers they hold, of all their terms (term), the greatest impacts below each tier but the last (below0, below1 ...)."""
     own = F.col("doc_id").cast("long")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(own, F.lit(0)).alias("id"), own.isNotNull().alias("known"), "text")
     raw = cut(numbered.mapInPandas(_postings, RAW), "postings", batch=TEXTS)
     n_docs, n_terms = raw.agg(F.sum(F.size("row").cast("long")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
     n_docs, n_terms = n_docs or 0, n_terms or 1
     local = raw.select("shard", F.posexplode(F.arrays_zip("term", "df")).alias("at", "x")).select("shard", "at", "x.term", "x.df")
-    of_df = lambda df: F.floor(1000 * F.log((F.lit(2.0) * n_docs + 2) / (2 * df + 1))).cast("int")
-    weights = cut(local.groupBy("term").agg(of_df(F.sum("df")).alias("weight")), "term-weights")
-    pairs = local.join(weights, "term").groupBy(F.col("shard").alias("_s")).agg(F.collect_list(F.struct("at", "weight")).alias("x"))  # the terms of one shard
-    ready = raw.join(pairs, F.col("shard") == F.col("_s")).withColumns({"at": F.col("x.at"), "weight": F.col("x.weight")}).drop("_s", "x")
+    weight = F.floor(1000 * F.log((F.lit(2.0) * n_docs + 2) / (2 * F.sum("df").over(Window.partitionBy("term")) + 1)))  # a row a shard at most in a term's window
+    pairs = local.select("shard", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(weight).alias("x")).groupBy(F.col("shard").alias("_s")).agg(F.collect_list("x").alias("weights"))  # the terms of one shard
+    ready = raw.join(pairs, F.col("shard") == F.col("_s")).drop("_s")
     greatest = 1_000_000 * math.floor(1000 * math.log((2.0 * n_docs + 2) / 3)) if n_docs else 0
     cuts = [max(1, int(greatest * x)) for x in levels]
     last = len(cuts)
-    schema = ", ".join([f"shard long, {DOCS}", *(f"{c}{k} {t}" for k in range(last + 1) for c, t in _TIER.items()), "of array<string>, at array<int>, most array<long>"])
+    schema = ", ".join([f"shard long, {DOCS}", *(f"{c}{k} {t}" for k in range(last + 1) for c, t in _TIER.items()), "term array<string>", *(f"below{k} array<long>" for k in range(last))])
     shards = cut(ready.mapInPandas(lambda b: _tiered(b, n_docs, n_terms, cuts), schema), "tiers", batch=SHARDS_AT_ONCE)
-    most = shards.select(F.explode(F.arrays_zip("of", "at", "most")).alias("x")).select("x.*").groupBy("of")
-    most = most.agg(F.array(*[F.coalesce(F.max(F.when(F.col("at") > k, F.col("most"))), F.lit(0).cast("long")) for k in range(last + 1)]).alias("residuals"))
-    bounds = cut(weights.join(most, F.col("term") == F.col("of")).select("term", "weight", "residuals"), "term-bounds")
-    discard(raw, weights)
-    return shards.drop("of", "at", "most"), bounds
+    discard(raw)
+    return shards
+
+
+def bounds(shards: DataFrame, terms: DataFrame, n_tiers: int) -> DataFrame:
+    """The residual bounds below each tier of terms (term) that the index knows: term and residuals."""
+    below = [f"below{k}" for k in range(n_tiers - 1)]
+    every = shards.select(F.explode(F.arrays_zip("term", *below)).alias("x")).select("x.*")
+    found = every.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term")
+    return found.agg(F.array(*[F.max(c) for c in below], F.lit(0).cast("long")).alias("residuals"))
 
 
 class Asked:
@@ -301,17 +305,18 @@ class Search:
 
 def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """item_id, rank, doc_id and score: the top documents of each item."""
-    spark = docs.sparkSession
-    shards, bounds = tiered_index(docs, levels)
-    return search(shards, bounds, items, top, len(levels) + 1) if bounds.head(1) else spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    shards = tiered_index(docs, levels)
+    out = search(shards, items, top, len(levels) + 1)
+    discard(shards)
+    return out
 
 
-def search(shards: DataFrame, bounds: DataFrame, items: DataFrame, top: int, n_tiers: int) -> DataFrame:
+def search(shards: DataFrame, items: DataFrame, top: int, n_tiers: int) -> DataFrame:
     spark = shards.sparkSession
     words = F.pandas_udf(lambda xs: pd.Series([[w.decode() for w in terms(x)] for x in xs]), "array<string>")
     asked = cut(items.select(F.monotonically_increasing_id().alias("item"), "item_id", words("text").alias("words")), "items", batch=TEXTS)
-    counted = asked.select("item", F.explode("words").alias("term")).groupBy("item", "term").agg(F.count("*").alias("times")).join(bounds, "term")
-    counted = cut(counted, "item-terms")
+    counted = asked.select("item", F.explode("words").alias("term")).groupBy("item", "term").agg(F.count("*").alias("times"))
+    counted = cut(counted.join(bounds(shards, counted, n_tiers), "term"), "item-terms")
     n_items, n_pairs = asked.count(), counted.count()
     n_blocks = max(1, -(-n_items // ITEM_BLOCK), -(-n_pairs // BLOCK_TERMS))
     block = F.pmod(F.xxhash64("item"), F.lit(n_blocks))

@@ -79,11 +79,11 @@ def test_items_end_in_every_tier(spark, monkeypatch):
     rng = random.Random(2)
     docs = [(i, " ".join([f"c{rng.randint(0, 5)}" for _ in range(rng.randint(5, 60))] + ([f"r{i % 40}"] * rng.randint(1, 9) if i % 2 else []))) for i in range(1600)]
     items = [(i, f"r{i}") for i in range(10)] + [(20 + i, f"r{i} c{i % 6}") for i in range(10)] + [(40 + i, f"c{i} c{(i + 1) % 6} c{(i + 2) % 6}") for i in range(6)]
-    index, bounds = tiered_search.tiered_index(spark.createDataFrame(docs, "doc_id long, text string"), (1 / 4, 1 / 16))
+    index = tiered_search.tiered_index(spark.createDataFrame(docs, "doc_id long, text string"), (1 / 4, 1 / 16))
     ended = []
     run = tiered_search.Search.run
     monkeypatch.setattr(tiered_search.Search, "run", lambda self: (run(self), ended.extend(self.ended))[0])
-    assert plain(tiered_search.search(index, bounds, spark.createDataFrame(items, "item_id long, text string"), 10, 3)) == brute(docs, items)
+    assert plain(tiered_search.search(index, spark.createDataFrame(items, "item_id long, text string"), 10, 3)) == brute(docs, items)
     assert len(ended) == sum(any(w in {x for _, d in docs for x in d.split()} for w in t.split()) for _, t in items) and {0, 2} <= set(ended)
     most: dict = {}
     for row in index.collect():
@@ -93,5 +93,7 @@ def test_items_end_in_every_tier(spark, monkeypatch):
                 for x in row[f"adds{k}"][ends[j - 1] if j else 0 : ends[j]]:
                     for above in range(k):
                         most[t, above] = max(most.get((t, above), 0), w * x)
-    for r in bounds.collect():
+    known = tiered_search.bounds(index, spark.createDataFrame([(t,) for t, _ in most] + [("unknown",)], "term string"), 3).collect()
+    assert len(known) == len({t for t, _ in most})
+    for r in known:
         assert list(r.residuals) == [most.get((r.term, k), 0) for k in range(3)]
