@@ -42,6 +42,7 @@ FIT_ROWS = 4096
 CENTRES = 128
 #: Rows that go to Python at once, where a row holds a whole shard.
 SHARDS_AT_ONCE = 4
+SHARDS_PER_TASK = 64
 _LONG = (-(2**63), 2**63 - 1)
 
 
@@ -173,14 +174,28 @@ FOUND = "tile long, i int, query_id long, vec_id long, score long"
 
 
 def _search(batches: Iterator[pd.DataFrame], width: int, top: int) -> Iterator[pd.DataFrame]:
-    """What shards hold for tiles' queries: a row is a tile, a shard, and which queries (wanted: i and floor) look there."""
+    """What shards hold for tiles' queries: a row is a tile, a shard, and which queries (wanted: i and floor) look there. Rows of a tile come side by side:
+    what one shard has found is a floor for the next, and the top of all of them leaves the task."""
+    tile, held, floors = None, None, {}
     for pdf in batches:
         for row in pdf.itertuples(index=False):
+            if row.tile != tile:
+                if held is not None:
+                    yield held
+                tile, held, floors = row.tile, None, {}
             asked, ids = np.frombuffer(row.q_ids, dtype=np.int64), np.frombuffer(row.ids, dtype=np.int64)
-            at, floor = (np.array([w[k] for w in row.wanted], dtype=np.int64) for k in ("i", "floor"))
+            at = np.array([w["i"] for w in row.wanted], dtype=np.int64)
+            floor = np.array([max(w["floor"], floors.get(w["i"], w["floor"])) for w in row.wanted], dtype=np.int64)
             high, low = (np.frombuffer(v, dtype=np.float64).reshape(-1, width) for v in (row.high, row.low))
             i, j, score, _ = search_shard(_matrix(row.q_rows, len(asked), width)[at], asked[at], floor, ids, _matrix(row.rows, len(ids), width), high, low, np.array(row.ends), top)
-            yield pd.DataFrame({"tile": row.tile, "i": at[i].astype(np.int32), "query_id": asked[at][i], "vec_id": ids[j], "score": score})
+            found = pd.DataFrame({"tile": row.tile, "i": at[i].astype(np.int32), "query_id": asked[at][i], "vec_id": ids[j], "score": score})
+            if held is not None:
+                found = pd.concat([held, found]).sort_values(["i", "score", "vec_id"], ascending=[True, False, True])
+                found = found[found.groupby("i").cumcount() < top]
+            full = found.groupby("i")["score"].agg(["size", "min"])
+            held, floors = found, full.loc[full["size"] >= top, "min"].to_dict()
+    if held is not None:
+        yield held
 
 
 WANTED = "tile long, shard long, wanted array<struct<i: int, floor: long>>"
@@ -232,13 +247,17 @@ def top_products(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale:
     # Of a row that repeats, as many as a result can hold.
     shards = packs(placed.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(top))))), n, 4 * BLOCK, SHARD, "terms-shards")
     tiles = packs(placed.filter(asked), n_queries, BLOCK, QUERY_TILE, "terms-tiles").select(F.col("shard").alias("tile"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    groups = -(-(shards.agg(F.max("shard")).first()[0] + 1) // SHARD_GROUP)
+    n_shards, n_tiles = shards.agg(F.max("shard")).first()[0] + 1, tiles.count()
+    groups = -(-n_shards // SHARD_GROUP)
     maxima = shards.groupBy((F.col("shard") % groups).alias("g")).agg(F.collect_list(F.struct("shard", "most", "least")).alias("shards"))  # SHARD_GROUP rows at most
     grid = tiles.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(maxima, "g")
 
     def searched(wanted: DataFrame, label: str) -> DataFrame:
+        """The shards of a tile are dealt to few tasks, SHARDS_PER_TASK or so to each."""
+        pieces = max(-(-n_shards // SHARDS_PER_TASK), -(-parallelism(spark) // n_tiles))
         pairs = wanted.join(tiles.withColumnRenamed("tile", "_t"), F.col("tile") == F.col("_t")).join(shards.drop("most", "least").withColumnRenamed("shard", "_s"), F.col("shard") == F.col("_s"))
-        return cut(pairs.drop("_t", "_s").mapInPandas(lambda b: _search(b, width, top), FOUND), label, batch=SHARDS_AT_ONCE)
+        pairs = pairs.drop("_t", "_s").repartition(parallelism(spark), "tile", F.pmod(F.xxhash64("shard"), F.lit(pieces))).sortWithinPartitions("tile", "shard")
+        return cut(pairs.mapInPandas(lambda b: _search(b, width, top), FOUND), label, batch=SHARDS_AT_ONCE)
 
     seeds = cut(grid.mapInPandas(lambda b: _wanted(b, width, True), WANTED), "terms-seeds", batch=SHARDS_AT_ONCE)
     near = searched(seeds, "terms-near")

@@ -72,6 +72,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def digest(text: Column) -> Column:
+    """128 bits of a text's SHA-256: what stands for a text wherever it is only told from others. A null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text, as an array; none for a null."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

@@ -1,7 +1,7 @@
 """Suffix-array dedup: longest previous factors of all positions, by buckets of the suffix order.
 
 A window is the first `length` bytes of a suffix. A position is a copy if its longest previous factor (the longest stretch from it that also
-starts at an earlier position) reaches the length; without keep_first, if its longest factor at any other position does. Suffixes are
+starts at an earlier position) reaches the length; without keep_first, also if its longest later factor does. Suffixes are
 dealt to buckets in such a way that equal windows meet: a window goes by its anchor, the substring of `anchor` bytes with the least
 hash in it (the leftmost of equals). Neighbouring windows mostly share their anchor, so a run of them travels as one segment.
 
@@ -9,7 +9,8 @@ hash in it (the leftmost of equals). Neighbouring windows mostly share their anc
    cryptographic digest of their bytes) are a kind; its first and its last one enter the bucket, and the copies between have the
    longest previous factors of the last.
 2. In a bucket, suffixes that share what lies before the anchor are put in the order of what follows (suffix order), with their
-   longest common prefixes. The previous and the next smaller position in that order give the longest previous factor of each.
+   longest common prefixes. The previous and the next smaller position in that order give the longest previous factor of each, the
+   previous and the next greater one the longest later factor.
 3. An anchor whose segments pass BUCKET bytes isn't compared in one task: equal segments of it are copies whole, and one of each kind is
    split again by longer anchors, at last by whole windows, where equal anchors are equal windows.
 
@@ -32,11 +33,11 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from lodestone.llm.common import TEXTS, cut, discard, parallelism
+from lodestone.llm.common import TEXTS, cut, digest, discard, parallelism
 
 LENGTH = 400
 #: Bytes of a unit, where passages are measured in words, and bytes of a word in it.
@@ -50,6 +51,8 @@ CHUNK = 1 << 20
 #: Bytes of texts that are looked at together, and windows (fewer than 2^24, with a window's length).
 SLICE = 1 << 19
 PIECE = 1 << 20
+#: Keys of texts that share half a digest, as far as they are sent to all tasks (none, but by design of the texts).
+TWINS = 100_000
 
 _RNG = np.random.default_rng(97)
 _BYTES = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -267,16 +270,13 @@ def factors(bucket: list[int], k: np.ndarray, n: np.ndarray, place: np.ndarray,
         a, z = np.minimum(at[own], at[other]), np.maximum(at[own], at[other])
         out[own] = np.maximum(out[own], b[own] + _least(tables, a + 1, z))
 
-    if keep_first:
-        own = np.flatnonzero((prev := _smaller(place[row], group)) >= 0)
+    # The previous and the next smaller position in suffix order give the longest previous factor; in the order from the last text to the first, the longest later one.
+    last = len(row) - 1
+    for value in [place[row]] if keep_first else [place[row], -place[row]]:
+        own = np.flatnonzero((prev := _smaller(value, group)) >= 0)
         raised(own, prev[own])
-        last = len(row) - 1
-        own = np.flatnonzero((prev := _smaller(place[row][::-1], group[::-1])[::-1]) >= 0)
+        own = np.flatnonzero((prev := _smaller(value[::-1], group[::-1])[::-1]) >= 0)
         raised(own, last - prev[own])
-    else:
-        own = np.flatnonzero(group[1:] == group[:-1])
-        raised(own, own + 1)
-        raised(own + 1, own)
     return row, k[row] - b, out
 
 
@@ -438,6 +438,25 @@ def _lists(spans: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]).astype(np.int32)), fields)
 
 
+def _halves(text: Column) -> list[Column]:
+    return [F.conv(F.hex(F.substring(digest(text), at, 8)), 16, -10).cast("long") for at in (1, 9)]
+
+
+def keyed_texts(docs: DataFrame, row: Column) -> DataFrame:
+    """_row, _text, _d (the doc_id; the least long for a null) and _t, which tell texts apart: _t is negative where there is no doc_id, and has 63 bits of the
+    text's digest. Texts of one doc_id that agree in these are told by 63 other bits, so that all but the sign of 128 bits must agree to take two for one."""
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    signed = [F.when(doc_id.isNull(), x.bitwiseOR(F.lit(-(2**63)))).otherwise(x.bitwiseAND(F.lit(2**63 - 1))) for x in _halves(text)]
+    own_d = F.coalesce(doc_id, F.lit(-(2**63)))
+    own = docs.select(own_d.alias("_d"), signed[0].alias("_t"), digest(text).alias("x")).groupBy("_d", "_t").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    twins = cut(own.filter("a != b").select(F.col("_d").alias("_d2"), F.col("_t").alias("_t2")), "twins")
+    df = docs.select(row.alias("_row"), text.alias("_text"), own_d.alias("_d"), signed[0].alias("_t"), signed[1].alias("_other"))
+    if (n := twins.count()) == 0:
+        return df.drop("_other")
+    df = df.join(F.broadcast(twins) if n <= TWINS else twins, (F.col("_d") == F.col("_d2")) & (F.col("_t") == F.col("_t2")), "left")
+    return df.select("_row", "_text", "_d", F.when(F.col("_t2").isNotNull(), F.col("_other")).otherwise(F.col("_t")).alias("_t"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, words: int = 0, report: int = 0, keep: list[str] | None = None) -> DataFrame:
     """keep (all columns) with _bytes (of the text), _spans (the stretches removed: from, to, in bytes), _rest (the bytes that are left),
     _rest_text, these as text without the parts of characters that a span has cut through, and _passages. Columns of these names are replaced.
@@ -445,9 +464,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     With words, passages of that many words are looked for, and length isn't used. With report, passages of that many words
     are looked for too, and stand in _passages (from, to), but stay in the text.
     """
-    text = F.coalesce("text", F.lit(""))
     own = [c for c in keep or docs.columns if c not in ("_bytes", "_spans", "_rest", "_rest_text", "_passages")]
-    keyed = docs.select(F.struct(*own).alias("_row"), text.alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_t"))
+    keyed = keyed_texts(docs, F.struct(*own))
     texts = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("base"), F.lit(-1).alias("m"), F.col("_text").cast("binary").alias("data"))
     found = copies(texts, [(words, UNIT) if words else (length, 1), *[(report, UNIT)] * bool(report)], keep_first)
     runs = cut(found.groupBy("d", "t").agg(*[F.collect_set(F.when(F.col("i") == i, F.struct("a", "b"))).alias(f"_runs{i}") for i in (0, 1)]), "runs")

@@ -1,9 +1,9 @@
 """Nearest neighbours by anisotropic quantisation: four-bit table scans, then exact reranking.
 
-Nearness by Euclidean distance is a maximum inner product of (q, 1) with (x, -|x|^2 / 2). A residual of the quantisation that lies
-along x changes the product with those queries for which x scores high, so the codebooks weigh it ETA times as much as one
-across x. A vector is cut into pairs of components, each coded by one of 16 words (four bits); two codes share a byte. A scan adds up
-table entries by byte and keeps the POOL best rows of a block for each query; these are compared exactly, in double precision.
+Nearness by Euclidean distance is a maximum of q.x - |x|^2 / 2, whatever point both are measured from: they are measured from the sample's mean. A residual of the
+quantisation that lies along x changes the product with those queries for which x scores high, so the codebooks weigh it ETA times as much as one
+across x. A vector is cut into pairs of components, each coded by one of 16 words (four bits); two codes share a byte, and |x|^2 / 2 stands beside them as it is. A scan adds up
+table entries by byte and keeps the POOL best rows of a block for each query; these are compared exactly, in double precision, on the original vectors.
 
 The codebooks are fitted on the driver on at most fit_rows vectors (those with the smallest hashes); all vectors are coded and
 searched. Equal vectors are searched as one. Queries meet codes in blocks: both sides are dealt to block numbers, and each pair of
@@ -57,14 +57,14 @@ def _parts(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), -1, 2)
 
 
-def _augmented(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([x, -0.5 * (x * x).sum(axis=1, keepdims=True)], axis=1)
+def _unit(p: np.ndarray) -> np.ndarray:
+    return p / np.maximum(np.sqrt((p * p).sum(axis=(1, 2), keepdims=True)), 1e-300)
 
 
 def encode(x: np.ndarray, books: np.ndarray, eta: float = ETA, sweeps: int = 2) -> np.ndarray:
     """Codes of rows: per pair first the nearest word, then the word with the least anisotropic loss given the other pairs."""
     p = _parts(x)
-    unit = p / np.sqrt((p * p).sum(axis=(1, 2), keepdims=True))
+    unit = _unit(p)
     n, m = p.shape[:2]
     codes = np.empty((n, m), dtype=np.uint8)
     along = np.zeros(n)
@@ -86,7 +86,7 @@ def encode(x: np.ndarray, books: np.ndarray, eta: float = ETA, sweeps: int = 2)
 def fit(x: np.ndarray, eta: float = ETA, rounds: int = ROUNDS) -> np.ndarray:
     """Books of WORDS words for each pair. A word is the solution of the anisotropic least squares of its rows' own parts."""
     p = _parts(x)
-    unit = p / np.sqrt((p * p).sum(axis=(1, 2), keepdims=True))
+    unit = _unit(p)
     rng = np.random.default_rng(3)
     books = p[rng.permutation(len(p))[np.arange(WORDS) % len(p)]].transpose(1, 0, 2).copy()
     for _ in range(rounds):
@@ -108,17 +108,17 @@ def pack(codes: np.ndarray) -> np.ndarray:
 
 def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     """For each byte of a code and each of its values, the products with all queries."""
-    single = np.einsum("qmd,mkd->mkq", _parts(np.concatenate([q, np.ones((len(q), 1))], axis=1)), books).astype(np.float32)
+    single = np.einsum("qmd,mkd->mkq", _parts(q), books).astype(np.float32)
     return (single[::2, :, None, :] + single[1::2, None, :, :]).reshape(len(single) // 2, WORDS * WORDS, len(q))
 
 
-def best(packed: np.ndarray, look: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pool rows with the largest scan scores for each query (rows x queries), and the scores."""
+def best(packed: np.ndarray, half: np.ndarray, look: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pool rows with the largest scan scores (products less half the squared length) for each query (rows x queries), and the scores."""
     n = look.shape[2]
     rows, kept = np.zeros((0, n), dtype=np.int64), np.zeros((0, n), dtype=np.float32)
     for begin in range(0, len(packed), STRIP):
         part = packed[begin : begin + STRIP]
-        score = np.zeros((len(part), n), dtype=np.float32)
+        score = np.repeat(-half[begin : begin + STRIP, None], n, axis=1)
         for j in range(part.shape[1]):
             score += look[j][part[:, j]]
         rows = np.concatenate([rows, np.broadcast_to(np.arange(begin, begin + len(part))[:, None], score.shape)])
@@ -141,13 +141,17 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, pool: int =
     n, n_queries = distinct.count(), distinct.filter("asked").count()
     if not len(sample) or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = spark.sparkContext.broadcast(fit(_augmented(np.stack(sample["embedding"]))))
+    sample = np.stack(sample["embedding"])
+    mean = sample.mean(axis=0)
+    scale = np.sqrt(((sample - mean) ** 2).sum(axis=1).mean()) or 1.0
+    books = spark.sparkContext.broadcast((mean, scale, fit((sample - mean) / scale)))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                codes = pack(encode(_augmented(np.stack(pdf["embedding"])), books.value))
-                yield pd.DataFrame({"v": pdf["v"], "w": pdf["w"], "code": [r.tobytes() for r in codes]})
+                mean, scale, words = books.value
+                x = (np.stack(pdf["embedding"]) - mean) / scale
+                yield pd.DataFrame({"v": pdf["v"], "w": pdf["w"], "code": [r.tobytes() for r in pack(encode(x, words))], "half": (0.5 * (x * x).sum(axis=1)).astype(np.float32)})
 
     small, large = CANDIDATE_BLOCK
     c_blocks, q_blocks = max(-(-n // large), min(parallelism(spark), -(-n // small))), -(-n_queries // QUERY_BLOCK)
@@ -155,8 +159,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, pool: int =
     share = min(pool, math.ceil(pool / c_blocks + 5 * math.sqrt(pool / c_blocks)) + top)
     dealt = lambda blocks: F.pmod(F.xxhash64(F.lit(2), "v"), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    codes = distinct.select("v", "w", "embedding").mapInPandas(coded, "v long, w long, code binary")
-    c = codes.select(dealt(c_blocks).alias("c"), each(q_blocks).alias("q"), "v", "w", "code")
+    codes = distinct.select("v", "w", "embedding").mapInPandas(coded, "v long, w long, code binary, half float")
+    c = codes.select(dealt(c_blocks).alias("c"), each(q_blocks).alias("q"), "v", "w", "code", "half")
     q = distinct.filter("asked").select(each(c_blocks).alias("c"), dealt(q_blocks).alias("q"), "v", "w", "embedding")
 
     def scan(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -164,7 +168,8 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, pool: int =
             return pd.DataFrame({"v": [], "w": [], "x": [], "y": [], "s": []}).astype({k: "int64" for k in "vwxy"} | {"s": "float32"})
         left = left.sort_values(["v", "w"], kind="stable")
         packed = np.frombuffer(b"".join(left["code"]), dtype=np.uint8).reshape(len(left), -1)
-        at, s = best(packed, tables(np.stack(right["embedding"]), books.value), share)
+        mean, scale, words = books.value
+        at, s = best(packed, left["half"].to_numpy(np.float32), tables((np.stack(right["embedding"]) - mean) / scale, words), share)
         own = {k: np.broadcast_to(right[k].to_numpy(), at.shape).ravel() for k in "vw"}
         return pd.DataFrame(own | {"x": left["v"].to_numpy()[at].ravel(), "y": left["w"].to_numpy()[at].ravel(), "s": s.ravel()})
 

@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 import xxhash
@@ -86,7 +88,7 @@ def test_repeats_keep_first_of_repeated_rows(spark, bucket, monkeypatch):
     passage = prose(rng, 60)
     one, two, three = (f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(3))
     rows = [(None, one), (None, one), (None, one), (3, two), (3, two), (4, three), (4, one)]
-    distinct = [(None, one), (3, two), *sorted([(4, three), (4, one)], key=lambda r: spark.sql("SELECT xxhash64(:t)", {"t": r[1]}).first()[0])]
+    distinct = [(None, one), (3, two), *sorted([(4, three), (4, one)], key=lambda r: int.from_bytes(hashlib.sha256(r[1].encode()).digest()[:8]) & (2**63 - 1))]
     texts = [t.encode() for _, t in distinct]
     rest = {r: bytes(b for b, h in zip(t, c) if not h) for r, t, c in zip(distinct, texts, brute_cover(texts, 60, True))}
     found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 60).collect()
@@ -95,6 +97,37 @@ def test_repeats_keep_first_of_repeated_rows(spark, bucket, monkeypatch):
         assert bytes(x._rest) == rest[x.doc_id, x.text], x.doc_id
 
 
+def colliding(rng):
+    """Two texts of 64 ASCII characters, alike but for bytes 0 to 8 and 32 to 40, with one xxhash64 (whatever follows, by Spark's seed): a lane's second word makes up for its first."""
+    p1, p2, full = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+    step = lambda acc, w: ((((acc + w * p2) & full) << 31 | ((acc + w * p2) & full) >> 33) & full) * p1 & full
+    while True:
+        one = bytes(rng.randrange(97, 123) for _ in range(64))
+        other = bytes(rng.randrange(97, 123) for _ in range(8))
+        start = (42 + p1 + p2) & full
+        a, b = step(start, int.from_bytes(one[:8], "little")), step(start, int.from_bytes(other, "little"))
+        second = (int.from_bytes(one[32:40], "little") + (a - b) * pow(p2, -1, 1 << 64)) & full
+        raw = second.to_bytes(8, "little")
+        if all(32 < c < 127 for c in raw):
+            return one.decode(), (other + one[8:32] + raw + one[40:]).decode()
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_texts_whose_hashes_collide(spark, halves, monkeypatch):
+    one, two = colliding(random.Random(7))
+    assert one != two and spark.sql("SELECT xxhash64(:a) = xxhash64(:b)", {"a": one, "b": two}).first()[0]
+    if halves:  # all texts agree in the first half of their digests
+        own = repeats._halves
+        monkeypatch.setattr(repeats, "_halves", lambda text: [F.lit(5).cast("long"), own(text)[1]])
+    tail = prose(random.Random(8), 130)
+    rows = [(None, one + tail), (None, two + tail), (-(2**63), one + tail), (None, one + tail)]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 400, keep_first=False).collect()
+    wanted = [bytes(b for b, h in zip(t.encode(), c) if not h) for (_, t), c in zip(rows, brute_cover([t.encode() for _, t in rows], 400, False))]
+    assert sorted((str(x.doc_id), x.text, bytes(x._rest)) for x in found) == sorted((str(i), t, w) for (i, t), w in zip(rows, wanted))
+    found = {(x.doc_id, x.text): bytes(x._rest) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()}
+    assert sorted(len(found[None, t + tail]) for t in (one, two)) == [40, 64 + len(tail.encode())] and found[-(2**63), one + tail] == b""
+
+
 def test_texts_whose_polynomial_sums_collide(spark):
     """Two texts of which no 400 bytes agree, made so that sums of powers modulo 2^64 do: nothing may go."""
     word = [0]
@@ -436,6 +469,28 @@ def test_vector_search_with_many_copies(spark, monkeypatch):
     assert hits >= 0.95 * wanted
 
 
+@pytest.mark.parametrize("kind", ["shifted", "log-normal norms", "heaps", "huge"])
+def test_vector_search_recall(spark, kind):
+    """At least nine of ten of the true neighbours, wherever the vectors lie and however long they are."""
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(20_000, 32 if kind != "shifted" else 16))
+    if kind == "shifted":
+        x += 10
+    elif kind == "log-normal norms":
+        x *= np.exp(rng.normal(size=(len(x), 1)))
+    elif kind == "heaps":
+        x = rng.normal(size=(50, 32))[rng.integers(0, 50, len(x))] * 3 + x
+    else:
+        x *= 1e25
+    found = vector_search.nearest(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")).toPandas()
+    hits = 0
+    for q in range(0, len(x), 100):
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far, kind="stable")[:10].tolist()) & set(found.loc[found["query_id"] == q, "vec_id"].tolist()))
+    assert hits >= 0.9 * 10 * 200, hits
+
+
 def test_vector_search_recall_on_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
     import numpy as np
