@@ -1,9 +1,10 @@
 """Ranked lexical search over a tiered index, with results proved exact.
 
 The index is a table of shards: each holds some documents of one task, the postings of all their terms, and these in tiers by impact. The impact of a
-posting is its term's weight times what the occurrences add; tier 0 holds those of at least LEVELS[0] of the greatest possible impact, the next tiers lower
-ones, the last the rest. A tier is a column, so a search that stops early never reads the lower ones. For each term and tier the index keeps the residual bound: the greatest
-impact of the term in any lower tier.
+posting is its term's weight times what the occurrences add; for its tier a shard takes the weight that the term would have by the shard's own counts, so that an index needs no
+shuffle. Tier 0 holds the postings of at least LEVELS[0] of the greatest possible impact, the next tiers lower ones, the last the rest. A tier is a few columns, so a search
+that stops early never reads the lower ones. For each term and tier a shard keeps the most that an occurrence adds in any lower tier: over all shards, and times the term's true weight,
+that is its residual bound. Bounds and scores are exact; the levels, and the shard's own weights, decide only how early an item ends.
 
 Round k searches the open items in tiers 0 to k:
 1. The best documents by what these tiers hold are completed from the lower tiers of their shards. Their k-th score bounds an item's k-th score from below.
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 from lodestone.llm.common import TEXTS, cut, discard
 
 TOP = 10
-#: Parts of the greatest possible impact at which tiers end.
+#: Parts of the greatest possible impact (of a term that stands once) at which tiers end.
 LEVELS = (1 / 4, 1 / 12)
 #: Terms in which a shard's last document begins, and documents of a shard, at most.
 SHARD_TERMS, SHARD_DOCS = 500_000, 4096
@@ -62,11 +63,22 @@ def _names(schema: str) -> list[str]:
 
 #: A document has a row (its number), an id (0 if it has none) and known (whether it has one); its place is where it stands in these lists.
 DOCS = "row array<long>, id array<long>, known array<boolean>"
-RAW = f"shard long, {DOCS}, n array<long>, term array<string>, df array<int>, doc array<int>, tf array<int>"
+#: A tier: its terms side by side, where each one's postings end, and these: places of documents, and what the occurrences add.
+_TIER = {"term": "string", "ends": "array<int>", "doc": "array<int>", "adds": "array<int>"}
 
 
-def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents (row, id, known, text) as shards: the terms in order, and for each the places of its documents and how often it stands there."""
+def _columns(tiers: Iterable[int]) -> list[str]:
+    return [f"{c}{k}" for k in tiers for c in _TIER]
+
+
+def _schema(n_tiers: int) -> str:
+    """Besides tiers a shard has all its terms (term, side by side), in how many of its documents each stands, and the most that any lower tier than each adds."""
+    tiers = [f"{c}{k} {t}" for k in range(n_tiers) for c, t in _TIER.items()]
+    return ", ".join([f"shard long, n_docs long, {DOCS}", *tiers, "term string, df array<int>", *(f"below{k} array<int>" for k in range(n_tiers - 1))])
+
+
+def _shards(batches: Iterator[pd.DataFrame], n_docs: int, n_terms: int, levels: tuple[float, ...]) -> Iterator[pd.DataFrame]:
+    """Documents (row, id, known, text) as shards of tiers."""
     numbers: dict[bytes, int] = {}
     rows, own, count, total = [], [], [], 0  # rows: row, id, known, n
 
@@ -74,11 +86,28 @@ def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = sorted(numbers)
         place = np.empty(len(words), dtype=np.int64)
         place[[numbers[w] for w in words]] = np.arange(len(words))
-        term, doc = place[np.concatenate(own)], np.repeat(np.arange(len(rows)), [len(x) for x in own])
+        term, doc, tf = place[np.concatenate(own)], np.repeat(np.arange(len(rows)), [len(x) for x in own]), np.concatenate(count)
         order = np.lexsort((doc, term))
+        term, doc, tf = term[order], doc[order], tf[order]
+        row, ids, known, n = (np.array(x) for x in zip(*rows, strict=True))
+        m = 100 - SLOPE + (SLOPE * n.astype(np.int64) * n_docs) // n_terms
+        adds = (SCALE * tf) // (1000 * tf + 8 * m[doc])
         df = np.bincount(term, minlength=len(words))
-        columns = [rows[0][0], *map(list, zip(*rows, strict=True)), [w.decode() for w in words], df.astype(np.int32), doc[order].astype(np.int32), np.concatenate(count)[order].astype(np.int32)]
-        return pd.DataFrame([columns], columns=_names(RAW))
+        impact = np.log((2.0 * len(rows) + 2) / (2 * df + 1))[term] * adds
+        greatest = 1e6 * math.log((2.0 * len(rows) + 2) / 3)
+        tier = np.zeros(len(term), dtype=np.int64)
+        for x in levels:
+            tier += impact < x * greatest
+        word, most = np.array([w.decode() for w in words], dtype=object), np.zeros((len(words), len(levels) + 2), dtype=np.int64)
+        out = {"shard": int(row[0]), "n_docs": n_docs, "row": row.astype(np.int64), "id": ids.astype(np.int64), "known": known.astype(bool)}
+        for k in range(len(levels) + 1):
+            at = np.flatnonzero(tier == k)
+            there, first = np.unique(term[at], return_index=True)
+            out |= dict(zip(_columns([k]), [" ".join(word[there]), np.append(first[1:], len(at))[: len(there)].astype(np.int32), doc[at].astype(np.int32), adds[at].astype(np.int32)], strict=True))
+            if len(at):
+                most[there, k] = np.maximum.reduceat(adds[at], first)
+        below = np.maximum.accumulate(most[:, ::-1], axis=1)[:, ::-1][:, 1:]
+        return pd.DataFrame([out | {"term": " ".join(word), "df": df.astype(np.int32)} | {f"below{k}": below[:, k].astype(np.int32) for k in range(len(levels))}])
 
     for pdf in batches:
         for row, own_id, known, text in zip(*(pdf[c].tolist() for c in ("row", "id", "known", "text")), strict=True):
@@ -97,66 +126,24 @@ def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield shard()
 
 
-_TIER = {"term": "array<string>", "weight": "array<int>", "ends": "array<int>", "doc": "array<int>", "adds": "array<int>"}
-
-
-def _columns(tiers: Iterable[int]) -> list[str]:
-    return [f"{c}{k}" for k in tiers for c in _TIER]
-
-
-def _tiered(batches: Iterator[pd.DataFrame], n_docs: int, n_terms: int, cuts: list[int]) -> Iterator[pd.DataFrame]:
-    """Shards with their terms' weights as shards of tiers, with the greatest impact of each term in each tier."""
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            m = 100 - SLOPE + (SLOPE * np.array(row.n, dtype=np.int64) * n_docs) // n_terms
-            tf, doc = np.array(row.tf, dtype=np.int64), np.array(row.doc, dtype=np.int64)
-            adds = (SCALE * tf) // (1000 * tf + 8 * m[doc])
-            term, word = np.repeat(np.arange(len(row.term)), row.df), np.array(row.term, dtype=object)
-            weight = np.empty(len(word), dtype=np.int64)
-            weight[np.array(row.weights) >> 32] = np.array(row.weights) & 0xFFFFFFFF
-            impact = weight[term] * adds
-            tier = np.zeros(len(impact), dtype=np.int64)
-            for c in cuts:
-                tier += impact < c
-            out, most = {"shard": row.shard, "row": row.row, "id": row.id, "known": row.known}, np.zeros((len(word), len(cuts) + 1), dtype=np.int64)
-            for k in range(len(cuts) + 1):
-                own = np.flatnonzero(tier == k)
-                there, first = np.unique(term[own], return_index=True)
-                parts = [word[there].tolist(), weight[there].astype(np.int32), np.append(first[1:], len(own))[: len(there)].astype(np.int32), doc[own].astype(np.int32), adds[own].astype(np.int32)]
-                out |= dict(zip(_columns([k]), parts, strict=True))
-                if len(own):
-                    most[there, k] = np.maximum.reduceat(impact[own], first)
-            # What the tiers below each one hold at most.
-            below = np.maximum.accumulate(np.append(most, np.zeros((len(word), 1), dtype=np.int64), axis=1)[:, ::-1], axis=1)[:, ::-1][:, 1:]
-            yield pd.DataFrame([out | {"term": row.term} | {f"below{k}": below[:, k] for k in range(len(cuts))}])
-
-
 def tiered_index(docs: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """The shards. Besides tiers they hold, of all their terms (term), the greatest impacts below each tier but the last (below0, below1 ...)."""
+    """The shards of docs: two passes over the texts, the first of which counts documents and terms."""
+    size = F.pandas_udf(lambda texts: pd.Series([len(terms(x)) for x in texts], dtype="int64"), "long")
+    sizes = cut(docs.select(size("text").alias("n")).filter("n > 0"), "text-sizes", batch=TEXTS)
+    n_docs, n_terms = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
+    discard(sizes)
     own = F.col("doc_id").cast("long")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(own, F.lit(0)).alias("id"), own.isNotNull().alias("known"), "text")
-    raw = cut(numbered.mapInPandas(_postings, RAW), "postings", batch=TEXTS)
-    n_docs, n_terms = raw.agg(F.sum(F.size("row").cast("long")), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()
-    n_docs, n_terms = n_docs or 0, n_terms or 1
-    local = raw.select("shard", F.posexplode(F.arrays_zip("term", "df")).alias("at", "x")).select("shard", "at", "x.term", "x.df")
-    weight = F.floor(1000 * F.log((F.lit(2.0) * n_docs + 2) / (2 * F.sum("df").over(Window.partitionBy("term")) + 1)))  # a row a shard at most in a term's window
-    pairs = local.select("shard", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(weight).alias("x")).groupBy(F.col("shard").alias("_s")).agg(F.collect_list("x").alias("weights"))  # the terms of one shard
-    ready = raw.join(pairs, F.col("shard") == F.col("_s")).drop("_s")
-    greatest = 1_000_000 * math.floor(1000 * math.log((2.0 * n_docs + 2) / 3)) if n_docs else 0
-    cuts = [max(1, int(greatest * x)) for x in levels]
-    last = len(cuts)
-    schema = ", ".join([f"shard long, {DOCS}", *(f"{c}{k} {t}" for k in range(last + 1) for c, t in _TIER.items()), "term array<string>", *(f"below{k} array<long>" for k in range(last))])
-    shards = cut(ready.mapInPandas(lambda b: _tiered(b, n_docs, n_terms, cuts), schema), "tiers", batch=SHARDS_AT_ONCE)
-    discard(raw)
-    return shards
+    return cut(numbered.mapInPandas(lambda b: _shards(b, n_docs, n_terms, levels), _schema(len(levels) + 1)), "tiers", batch=TEXTS)
 
 
 def bounds(shards: DataFrame, terms: DataFrame, n_tiers: int) -> DataFrame:
-    """The residual bounds below each tier of terms (term) that the index knows: term and residuals."""
+    """Of terms (term) that the index knows: term, weight, and the residual bounds below each tier."""
     below = [f"below{k}" for k in range(n_tiers - 1)]
-    every = shards.select(F.explode(F.arrays_zip("term", *below)).alias("x")).select("x.*")
-    found = every.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term")
-    return found.agg(F.array(*[F.max(c) for c in below], F.lit(0).cast("long")).alias("residuals"))
+    every = shards.select("n_docs", F.explode(F.arrays_zip(F.split("term", " ").alias("term"), "df", *below)).alias("x")).select("n_docs", "x.*")
+    found = every.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("n_docs").alias("n"), F.sum("df").alias("df"), *[F.max(c).cast("long").alias(c) for c in below])
+    found = found.withColumn("weight", F.floor(1000 * F.log((F.lit(2.0) * F.col("n") + 2) / (2 * F.col("df") + 1))))
+    return found.select("term", "weight", F.array(*[F.col("weight") * F.col(c) for c in below], F.lit(0).cast("long")).alias("residuals"))
 
 
 class Asked:
@@ -166,11 +153,12 @@ class Asked:
         self.by_item: dict[int, list[tuple[str, int]]] = {}
         self.by_term: dict[str, list[tuple[int, int]]] = {}
         self.residual: dict[str, list[int]] = {}
+        self.weight: dict[str, int] = {}
         self.rest: dict[int, list[int]] = {}
         for r in rows:
             self.by_item.setdefault(r["i"], []).append((r["term"], r["times"]))
             self.by_term.setdefault(r["term"], []).append((r["i"], r["times"]))
-            self.residual[r["term"]] = list(r["residuals"])
+            self.residual[r["term"]], self.weight[r["term"]] = list(r["residuals"]), r["weight"]
             self.rest[r["i"]] = [a + r["times"] * b for a, b in zip(self.rest.get(r["i"], [0] * n_tiers), r["residuals"], strict=True)]
 
 
@@ -184,15 +172,15 @@ def _known_part(row, tiers: int, asked: Asked, items: np.ndarray, with_rest: boo
     slot = {int(i): k for k, i in enumerate(items)}
     total = np.zeros((len(items), len(row.row)), dtype=np.int64)
     rest = np.repeat(np.array([asked.rest[int(i)][tiers] for i in items], dtype=np.int64)[:, None], total.shape[1], axis=1) if with_rest else None
+    asking = {t: pairs for t, every in asked.by_term.items() if (pairs := [(slot[i], n) for i, n in every if i in slot])}
     for k in range(tiers + 1):
-        term, weight, ends, doc, adds = (getattr(row, c) for c in _columns([k]))
-        for j, (t, w) in enumerate(zip(term, weight, strict=True)):
-            pairs = [(slot[i], n) for i, n in asked.by_term.get(t, ()) if i in slot]
-            if pairs:
+        term, ends, doc, adds = (getattr(row, c) for c in _columns([k]))
+        for j, t in enumerate(term.split(" ") if term else ()):
+            if (pairs := asking.get(t)) is not None:
                 own = slice(ends[j - 1] if j else 0, ends[j])
                 at, times = np.array(pairs, dtype=np.int64).T
                 cells = (at[:, None], doc[own][None, :])
-                total[cells] += times[:, None] * (int(w) * adds[own].astype(np.int64))[None, :]
+                total[cells] += times[:, None] * (asked.weight[t] * adds[own].astype(np.int64))[None, :]
                 if rest is not None:
                     rest[cells] -= times[:, None] * asked.residual[t][tiers]
     return total, rest
@@ -242,14 +230,14 @@ def _completed(batches: Iterator[pd.DataFrame], tiers: list[int], asked: Broadca
             place, score, who = (found[c].to_numpy(np.int64) for c in ("place", "score", "i"))
             edges = np.flatnonzero(np.concatenate([[True], np.diff(who) != 0, [True]]))
             for k in tiers:
-                term, weight, ends, doc, adds = (getattr(row, c) for c in _columns([k]))
-                number = {t: j for j, t in enumerate(term)}
+                term, ends, doc, adds = (getattr(row, c) for c in _columns([k]))
+                number = {t: j for j, t in enumerate(term.split(" ")) if t in asked.value.by_term}
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     for t, times in asked.value.by_item[int(who[a])]:
                         if (j := number.get(t)) is not None:
                             own = slice(ends[j - 1] if j else 0, ends[j])
                             at = np.minimum(np.searchsorted(doc[own], place[a:b]), ends[j] - own.start - 1)
-                            score[a:b] += np.where(doc[own][at] == place[a:b], times * int(weight[j]) * adds[own][at].astype(np.int64), 0)
+                            score[a:b] += np.where(doc[own][at] == place[a:b], times * asked.value.weight[t] * adds[own][at].astype(np.int64), 0)
             yield found.assign(score=score)[_names(FOUND)].astype({"i": "int32", "place": "int32"})
 
 
@@ -325,7 +313,7 @@ def search(shards: DataFrame, items: DataFrame, top: int, n_tiers: int) -> DataF
     counted = counted.join(placed, "item")
     out = []
     for b in range(n_blocks):
-        rows = counted.filter(F.col("block") == b).select("i", "term", "times", "residuals").collect()  # the items of one block
+        rows = counted.filter(F.col("block") == b).select("i", "term", "times", "weight", "residuals").collect()  # the items of one block
         for part in Search(shards, n_tiers, rows, top).run() if rows else []:
             out.append(part.join(placed.filter(F.col("block") == b).select("item_id", F.col("i").alias("_i")), F.col("i") == F.col("_i")))
     if not out:

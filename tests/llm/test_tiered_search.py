@@ -85,15 +85,18 @@ def test_items_end_in_every_tier(spark, monkeypatch):
     monkeypatch.setattr(tiered_search.Search, "run", lambda self: (run(self), ended.extend(self.ended))[0])
     assert plain(tiered_search.search(index, spark.createDataFrame(items, "item_id long, text string"), 10, 3)) == brute(docs, items)
     assert len(ended) == sum(any(w in {x for _, d in docs for x in d.split()} for w in t.split()) for _, t in items) and {0, 2} <= set(ended)
+    known = tiered_search.bounds(index, spark.createDataFrame([(w,) for w in {w for _, d in docs for w in d.split()}] + [("unknown",)], "term string"), 3).collect()
+    weight = {r.term: r.weight for r in known}
+    n_docs = sum(1 for _, d in docs if d)
+    df = {w: sum(w in d.split() for _, d in docs) for w in weight}
+    assert weight == {w: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for w, n in df.items()} and len(weight) == len({w for _, d in docs for w in d.split()})
     most: dict = {}
     for row in index.collect():
         for k in range(3):
             ends = row[f"ends{k}"]
-            for j, (t, w) in enumerate(zip(row[f"term{k}"], row[f"weight{k}"])):
+            for j, t in enumerate(row[f"term{k}"].split()):
                 for x in row[f"adds{k}"][ends[j - 1] if j else 0 : ends[j]]:
                     for above in range(k):
-                        most[t, above] = max(most.get((t, above), 0), w * x)
-    known = tiered_search.bounds(index, spark.createDataFrame([(t,) for t, _ in most] + [("unknown",)], "term string"), 3).collect()
-    assert len(known) == len({t for t, _ in most})
+                        most[t, above] = max(most.get((t, above), 0), weight[t] * x)
     for r in known:
         assert list(r.residuals) == [most.get((r.term, k), 0) for k in range(3)]
