@@ -1,4 +1,4 @@
-"""Vector, keyword and fused retrieval. All searches are exact scans: one pass, and a top-k that leaves each task as k rows.
+"""Vector, keyword and fused retrieval. Searches are exact scans: one pass, and a top-k that leaves each task as k rows; text_index has keyword search through an index.
 
 Keyword search matches English stems. Its rank is how often the query's stems stand, which is deterministic and not a database's own rank.
 """
@@ -6,6 +6,7 @@ Keyword search matches English stems. Its rank is how often the query's stems st
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -155,18 +156,22 @@ def keyword_search(df: DataFrame, query: str, k: int) -> DataFrame:
     return top(df.join(term_hits(df, query), "id"), [F.desc("tf"), F.asc("id")], k)
 
 
-def fused_search(df: DataFrame, vector: list[float], query: str, k: int, min_sim: float = 0.0, where: Column | None = None) -> DataFrame:
-    """Reciprocal-rank fusion over df (id, code, text, embedding): the best k codes of the top 3k by vector and by keyword.
+def fused_search(df: DataFrame, vector: list[float], query: str, k: int, min_sim: float = 0.0, where: Column | None = None, said: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Reciprocal-rank fusion over df (id, code, text, embedding): the best k codes of the top 3k by vector and by keyword. said gives the keyword list (id, rank) of
+    some ids, such as a search of an index does; df needs no text then.
 
     Scores are sums of 1 / (RRF_K + rank); ties go by vector rank, then keyword rank; rows under min_sim, whichever list
     they are of, go before one row a code is kept. Rows without a vector can't be compared and go too.
     """
     if where is not None:
         df = df.filter(where)
-    df = df.select("id", "code", "text", cosine(F.col("embedding"), literal(vector)).alias("sim"))
+    df = df.select("id", "code", *["text"] * (said is None), cosine(F.col("embedding"), literal(vector)).alias("sim"))
     near = numbered(top(df.filter("sim IS NOT NULL"), [F.desc("sim"), F.asc("id")], 3 * k).select("id", "code", "sim"), [F.desc("sim"), F.asc("id")], "rank")
-    said = numbered(keyword_search(df, query, 3 * k).select("id", "code", "sim", "tf"), [F.desc("tf"), F.asc("id")], "rank").drop("tf")
-    both = near.withColumn("arm", F.lit("v")).unionByName(said.withColumn("arm", F.lit("k")))
+    if said is None:
+        words = numbered(keyword_search(df, query, 3 * k).select("id", "code", "sim", "tf"), [F.desc("tf"), F.asc("id")], "rank").drop("tf")
+    else:
+        words = df.join(F.broadcast(said(df.select("id"), 3 * k).select("id", "rank")), "id").select("id", "code", "sim", "rank")  # 3k rows
+    both = near.withColumn("arm", F.lit("v")).unionByName(words.withColumn("arm", F.lit("k")))
     fused = both.groupBy("id", "code").agg(
         F.max("sim").alias("sim"),
         F.sum(1.0 / (F.col("rank") + RRF_K)).alias("score"),

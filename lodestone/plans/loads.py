@@ -19,8 +19,8 @@ def snk02(spark: SparkSession, d: str) -> DataFrame:
     return ingest.upsert(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), new, "c_custkey", "at")
 
 
-def chunked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    base = table(spark, d, "labels").select("doc_id", F.lit("old").alias("text"), F.lit(None).cast("int").alias("label"))
+def chunked(spark: SparkSession, d: str, base: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    base = base if base is not None else table(spark, d, "labels").select("doc_id", F.lit("old").alias("text"), F.lit(None).cast("int").alias("label"))
     rows = table(spark, d, "documents").select("doc_id", F.lit("new").alias("text"), F.lit(1).alias("at"))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     return ingest.with_vectors(base, rows, vectors, "doc_id", "at")

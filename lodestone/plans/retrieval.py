@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens, url_parts
 from lodestone.functions.vectors import cosine
-from lodestone.operators import filters, retrieval
+from lodestone.operators import filters, retrieval, text_index
 from lodestone.registry import query, table
+from lodestone.sources.files import identity, scratch
+from lodestone.sources.published import Published
 
 #: A query by keywords, and the words of its two stems, as the SQL finds them.
 KEYWORDS = "erly thinging"
 HIT = "regexp_full_match(x, 'er((ly)?|ly(ed|ing)(ly)?)|thing(es|ed|ing|ly|edly|ingly|ly(ed|ing)(ly)?)?')"
+#: A phrase over a stop word, and its words as the SQL finds them at places i to i + 2.
+PHRASE = '"attion to thanedble"'
+PHRASE_HIT = "regexp_full_match(w[i], 'attion(er|es|ed|ing|ly|edly|ingly|ering|lyed)?') AND w[i + 2] = 'thanedble'"
 QUERY_EVERY = 50
 
 
@@ -23,6 +28,28 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(vectors, "id", "left")
 
 
+_INDEXES: dict[tuple, tuple[Published, Published]] = {}
+
+
+def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The published index of documents' texts, and the other columns of the corpus, so that a search never reads documents. Both are made once for each state of the
+    tables' files in an application."""
+    key = (spark.sparkContext.applicationId, identity(spark, f"{d}/documents.parquet"), identity(spark, f"{d}/embeddings.parquet"))
+    if key not in _INDEXES:
+        texts = text_index.build(spark, scratch(spark, "text-index"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+        rest = Published(spark, scratch(spark, "corpus"))
+        rest.load(0, lambda _: corpus(spark, d).drop("text"))
+        _INDEXES[key] = texts, rest
+    texts, rest = _INDEXES[key]
+    return texts.read(), rest.read()
+
+
+def fused(spark: SparkSession, d: str, floor: float, where: F.Column | None = None) -> DataFrame:
+    texts, rows = indexed(spark, d)
+    found = retrieval.fused_search(rows, vector(spark, d, 0), KEYWORDS, 8, floor, where, lambda of, k: text_index.search(texts, KEYWORDS, k, of if where is not None else None))
+    return found.select("id", "code", r6("sim"), r6("score"))
+
+
 def vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
     return table(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"]
 
@@ -52,17 +79,17 @@ def fused_sql(where: str, k: int, floor: float) -> str:
 
 @query("rrf01_fused_search", fused_sql("lang IN ('en', 'de')", 8, -1.0))
 def rrf01(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), KEYWORDS, 8, -1.0, F.col("lang").isin("en", "de")).select("id", "code", r6("sim"), r6("score"))
+    return fused(spark, d, -1.0, F.col("lang").isin("en", "de"))
 
 
 @query("rrf02_semantic_search", fused_sql("TRUE", 8, 0.05))
 def rrf02(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), KEYWORDS, 8, 0.05).select("id", "code", r6("sim"), r6("score"))
+    return fused(spark, d, 0.05)
 
 
 @query("rrf03_hybrid_filtered", fused_sql("lang = 'en' AND n_chars > 200", 8, -1.0))
 def rrf03(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fused_search(corpus(spark, d), vector(spark, d, 0), KEYWORDS, 8, -1.0, (F.col("lang") == "en") & (F.col("units") > 200)).select("id", "code", r6("sim"), r6("score"))
+    return fused(spark, d, -1.0, (F.col("lang") == "en") & (F.col("units") > 200))
 
 
 @query("vec01_cosine", f"SELECT vec_id, round({COS.format(a='embedding', b=Q0.format(i=1))}, 6) AS sim FROM embeddings")
@@ -136,7 +163,24 @@ def kb06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fts01_term_match", f"SELECT doc_id AS id, CAST(len(hits) AS INTEGER) AS tf FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: {HIT}) AS hits FROM documents) WHERE len(list_distinct(list_transform(hits, lambda x: x[1]))) = 2 ORDER BY len(hits) DESC, doc_id LIMIT 20")
 def fts01(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_search(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), KEYWORDS, 20).select("id", "tf")
+    return text_index.search(indexed(spark, d)[0], KEYWORDS, 20).select("id", "tf")
+
+
+@query("fts01_phrase_match", f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+    h AS (SELECT doc_id, len(list_filter(range(1, len(w) - 1), lambda i: {PHRASE_HIT})) AS n, len(list_filter(w, lambda x: {HIT})) AS other FROM t)
+    SELECT doc_id AS id, CAST(n AS INTEGER) AS tf, CAST(row_number() OVER (ORDER BY n DESC, doc_id) AS INTEGER) AS rank FROM h WHERE n > 0 AND other = 0 QUALIFY rank <= 40""")
+def fts01_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return text_index.search(indexed(spark, d)[0], f"{PHRASE} -erly -thinging", 40)
+
+
+@query("fts03_index_totals", "SELECT count(DISTINCT doc_id) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words, CAST(sum(len(w) * (len(w) - 1) / 2) AS BIGINT) AS places FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) > 0")
+def fts03(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of every text stands in the index, at its place: a new index, as it is written, against counts of the texts."""
+    rows = text_index.build(spark, scratch(spark, "text-index"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).read()
+    sums = F.aggregate(F.flatten("places"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n_words"), F.sum(sums).alias("places")).join(
+        rows.select(F.explode("ids").alias("id")).agg(F.count_distinct("id").alias("n_docs"))
+    )
 
 
 @query("fts02_term_index", "SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY term")

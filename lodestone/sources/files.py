@@ -275,6 +275,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+def identity(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a file or folder from another: the names, sizes and times of its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
+    return tuple(sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in files))
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """A CSV list with a header: all columns as text. A file without the column url raises."""
     df = spark.read.option("header", True).csv(path)
