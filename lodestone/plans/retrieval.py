@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens, url_parts
 from lodestone.functions.vectors import cosine
-from lodestone.operators import filters, retrieval, text_index
+from lodestone.operators import filters, graph_index, retrieval, text_index
 from lodestone.registry import query, table
 from lodestone.sources.files import identity, scratch
 from lodestone.sources.published import Published
@@ -362,6 +362,19 @@ def vec03(spark: SparkSession, d: str) -> DataFrame:
     return hit.select((F.col("hit") >= 0.9 * F.col("of")).alias("recall_reached")).join(index.agg(F.count_distinct("id").alias("n_indexed"))).select("n_indexed", "recall_reached")
 
 
+@query("vec03_graph_index", "SELECT count(*) AS n_indexed, true AS recall_reached, true AS fewer_than_all FROM embeddings")
+def vec03_graph(spark: SparkSession, d: str) -> DataFrame:
+    """A graph over all vectors; whether walks find nine of ten of the exact nearest, and compare fewer pairs than there are."""
+    rows = near(spark, d)
+    vectors, edges = graph_index.build(rows)
+    asked = F.col("id") % QUERY_EVERY == 0
+    found, compared = graph_index.search(vectors, edges, vectors.filter(asked), 5)
+    exact = retrieval.knn_join(rows.filter(asked), rows, 5).select("query_id", "id")
+    hit = exact.join(found, ["query_id", "id"], "left_semi").agg(F.count("*").alias("hit")).join(exact.agg(F.count("*").alias("of")))
+    count = vectors.agg(F.count("*").alias("n_indexed"), F.count_if(asked).alias("asked")).join(compared.agg(F.count("*").alias("compared")))
+    return count.join(hit).select("n_indexed", (F.col("hit") >= 0.9 * F.col("of")).alias("recall_reached"), (F.col("compared") < F.col("asked") * (F.col("n_indexed") - 1)).alias("fewer_than_all"))
+
+
 @query("kb06_filter_fallback", "SELECT vec_id, CASE WHEN label < 5 AND vec_id % 2 = 0 AND label / 4.0 >= 0.62 OR label >= 5 AND label / 10.0 > coalesce(CASE WHEN vec_id % 2 = 1 THEN 0.5 END, -1) THEN 'other' ELSE 'own' END AS route FROM embeddings")
 def kb06_filter(spark: SparkSession, d: str) -> DataFrame:
     """Vectors as questions: the lower labels were filters, of which every other found nothing; the others were searches with weak results."""

@@ -97,6 +97,54 @@ class _Limiter(StatefulProcessor):
         pass
 
 
+class _BoundedLimiter(StatefulProcessor):
+    """Of a share of the keys: each one's window, the attempts in it and when it was last seen; no more than `most` of them after a batch. Keys whose window is over go
+    first, then those that were seen longest ago: a key that stays, and one that comes anew after its window, are decided as if nothing had gone."""
+
+    def __init__(self, key: str, seconds: int, cap: int, most: int) -> None:
+        self.key, self.seconds, self.cap, self.most = key, seconds, cap, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", "k string", "slot long, n long, seen long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {k[0]: tuple(v) for k, v in self.held.iterator()}
+        pdf = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        out, touched = [], set()
+        for k, us in zip(pdf["k"], pdf["us"], strict=True):
+            now = int(us) // (self.seconds * 1_000_000)
+            slot, n, _ = held.get(k, (now, 0, 0))
+            held[k] = (now, n + 1 if slot == now else 1, int(us))
+            touched.add(k)
+            out.append(held[k][1] <= self.cap or self.cap <= 0)
+        latest = max(v[0] for v in held.values())
+        going = sorted(held, key=lambda k: (held[k][0] == latest, held[k][2], k))[: max(0, len(held) - self.most)]
+        for k in going:
+            del held[k]
+            if self.held.containsKey((k,)):
+                self.held.removeKey((k,))
+        for k in touched & held.keys():
+            self.held.updateValue((k,), held[k])
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "allowed": out, "held": len(held)})
+
+    def close(self) -> None:
+        pass
+
+
+#: Shares that keys are dealt to, each with its part of the bound.
+SHARES = 16
+
+
+def bounded_allowed(events: DataFrame, key: str, seconds: int, cap: int, most: int, shares: int = SHARES) -> DataFrame:
+    """The decisions of stream_allowed with at most `most` keys in the state after any batch, and held, how many a share's state holds then. Keys are dealt to shares by a hash; a
+    share keeps most / shares of them."""
+    if most < shares:
+        raise ValueError("a bound below the number of shares holds no key")
+    df = events.select(F.col(key).cast("string").alias("k"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    df = df.withColumn("share", F.pmod(F.xxhash64("k"), F.lit(shares)))
+    return df.groupBy("share").transformWithStateInPandas(_BoundedLimiter(key, seconds, cap, most // shares), outputStructType=f"{DECISION}, held long", outputMode="Append", timeMode="None")
+
+
 def stream_allowed(events: DataFrame, key: str, seconds: int, cap: int) -> DataFrame:
     """The same decisions as window_allowed over a stream (key, event_id, ts) whose batches come in order of time."""
     df = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
