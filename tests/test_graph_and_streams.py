@@ -72,10 +72,11 @@ def test_stream_join_counts_what_is_late(spark):
     parts = [
         rows([(1, 1, "a", "2024-01-01 00:00:00"), (2, 1, "b", "2024-01-01 00:05:00"), (3, 2, "a", "2024-01-01 00:06:00")]),
         rows([(4, 1, "b", "2024-01-01 02:00:00"), (5, 2, "a", "2024-01-01 02:00:00")]),
-        rows([(6, 2, "b", "2024-01-01 00:07:00"), (7, 9, "a", "2024-01-01 00:00:01")]),  # too late
+        rows([(8, 5, "a", "2024-01-01 02:30:00"), (9, 5, "b", "2024-01-01 02:30:01")]),
+        rows([(6, 2, "b", "2024-01-01 00:07:00"), (7, 9, "a", "2024-01-01 00:00:01")]),  # too late: rows are held against the time that stood when the batch before began
         rows([(-1, -1, "a", "2024-01-03 00:00:00"), (-2, -2, "b", "2024-01-03 00:00:00")]),
     ]
     stream = in_batches(spark, parts)
     found, ended = run(spark, joins.followed(stream.filter("kind = 'a'"), stream.filter("kind = 'b'"), "u", 600, "10 minutes"))
-    assert sorted(map(tuple, found.filter("event_id > 0").collect()), key=str) == [(1, 2), (3, None), (5, None)]
+    assert sorted(map(tuple, found.filter("event_id > 0").collect()), key=str) == [(1, 2), (3, None), (5, None), (8, 9)]
     assert joins.dropped(ended) == 2
