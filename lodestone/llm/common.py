@@ -50,7 +50,7 @@ def cut(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     if batch:
         conf.set(_BATCH, str(batch))
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if batch:
             conf.set(_BATCH, before)

@@ -79,6 +79,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
 
+def lines(text: str | None) -> list[list[bytes]]:
+    """The words of each line; side by side they are those of the text."""
+    return [x.split() for x in (text or "").encode().translate(_LINES).split(b"\n")]
+
+
 def places(joined: bytes, phrase: bytes) -> list[int]:
     """The word numbers at which a phrase stands in b" " + words + b" "."""
     out, word, last, at = [], 0, 0, joined.find(phrase)
@@ -94,11 +99,12 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float) -> None:
         self.rank = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in words(t)}, key=lambda w: (frequency.get(w, 0), w)))}
-        self.items, self.prefix = [], {}
+        self.items, self.prefix, self.place = [], {}, []
         for k, (label, text) in enumerate(templates):
             ranks = sorted({self.rank[w] for w in words(text)})
             need = max(1, math.ceil(threshold * len(ranks) - 1e-9))
             self.items.append((label, frozenset(ranks), ranks, need, len(words(text))))
+            self.place.append({r: at for at, r in enumerate(ranks)})
             for position, r in enumerate(ranks[: len(ranks) - need + 1]):
                 self.prefix.setdefault(r, []).append((k, position))
 
@@ -122,35 +128,44 @@ class Templates:
                         best[k] = max(best.get(k, 0.0), common / len(order))
 
     def windows(self, block: list[bytes], best: dict[int, float]) -> None:
-        """found() for a whole text: of its words only those of templates, by place."""
-        rank = self.rank
-        hits = [(i, rank[w]) for i, w in enumerate(block) if w in rank]
-        held = {r for _, r in hits}
-        for k, (_, own, order, need, length) in enumerate(self.items):
-            if len(own & held) < need:
-                continue
-            parts: dict[int, set[int]] = {}
-            for i, r in hits:
-                if r in own:
-                    parts.setdefault(i // length, set()).add(r)
-            # A window is two parts of the template's length; one that begins with an empty part is within the next.
-            common = max(len(part | parts.get(n + 1, set())) for n, part in parts.items())
-            if common >= need:
-                best[k] = max(best.get(k, 0.0), common / len(order))
+        """found() for a whole text, by places: windows are two neighbouring parts of a template's length, and only those that hold a word of its prefix are looked at."""
+        hits = [(i, self.rank[w]) for i, w in enumerate(block) if w in self.rank]
+        parts: dict[int, dict[int, set[int]]] = {}  # by a template's length: the words of each part
+        looked: set[tuple[int, int]] = set()
+        for i, r in hits:
+            for k, _ in self.prefix.get(r, ()):
+                _, own, order, need, length = self.items[k]
+                if length not in parts:
+                    parts[length] = {}
+                    for at, word in hits:
+                        parts[length].setdefault(at // length, set()).add(word)
+                for n in (i // length, i // length - 1):
+                    # A window that begins with an empty part lies within the next.
+                    if (k, n) in looked or n not in parts[length]:
+                        continue
+                    looked.add((k, n))
+                    there = parts[length][n] | parts[length].get(n + 1, set())
+                    if len(there) < need:
+                        continue
+                    ranks = sorted(there)
+                    first = next(at for at, x in enumerate(ranks) if x in own)
+                    if 1 + min(len(order) - self.place[k][ranks[first]] - 1, len(ranks) - first - 1) < need:
+                        continue
+                    common = len(own & there)
+                    if common >= need:
+                        best[k] = max(best.get(k, 0.0), common / len(order))
 
     def scan(self, text: str | None) -> dict[int, float]:
+        return self.blocks(lines(text))
+
+    def blocks(self, split: list[list[bytes]]) -> dict[int, float]:
+        """The largest containment of each template that a line, or a window of the whole, meets."""
         best: dict[int, float] = {}
-        raw = (text or "").encode()
-        if not raw:
-            return best
-        rare = [w for w, r in self.rank.items() if r in self.prefix]
-        lower = raw.translate(_LINES)
-        if any(w in lower for w in rare):
-            for line in lower.split(b"\n"):
-                block = line.split()
-                if block and not self.prefix_words.isdisjoint(block):
-                    self.found(block, best)
-            self.windows(lower.split(), best)
+        held = [block for block in split if not self.prefix_words.isdisjoint(block)]
+        for block in held:
+            self.found(block, best)
+        if held:
+            self.windows([w for block in split for w in block], best)
         return best
 
     @property
@@ -190,14 +205,15 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     def scan(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            ws = words(text)
+            split = lines(text)
+            ws = [w for line in split for w in line]
             joined = b" " + b" ".join(ws) + b" "
             base, labels = [], set()
             for phrase, label in wanted:
                 if at := places(joined, phrase):
                     base += at
                     labels.add(label)
-            best = join.scan(text)
+            best = join.blocks(split)
             every = labels | {join.items[k][0] for k in best}
             rows.append((len(ws), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), 1.0 if labels else max(best.values(), default=0.0)))
         out = pd.DataFrame(rows, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])

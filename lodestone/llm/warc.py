@@ -99,9 +99,11 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, url, _payload and _refers, the page_id of the response where a row is a revisit."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("_payload")).withColumns({"_sha": F.sha1("_payload"), "_n": F.length("_payload")})
-    same = df.filter(F.col("_n") >= min_bytes).groupBy(F.col("_sha").alias("_s"), F.col("_n").alias("_m")).agg(F.max("page_id").alias("_first"), F.count("*").alias("_copies"))
+    # Different payloads with one SHA-1 are known; equal ones agree in two digests and the length.
+    df = df.withColumn("_second", F.substring(F.unhex(F.sha2("_payload", 256)), 1, 16))
+    same = df.filter(F.col("_n") >= min_bytes).groupBy(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), F.col("_second").alias("_s2")).agg(F.max("page_id").alias("_first"), F.count("*").alias("_copies"))
     same = cut(same.filter("_copies > 1").drop("_copies"), "warc-copies")
-    df = df.join(same, (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left")
+    df = df.join(same, (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")) & (F.col("_second") == F.col("_s2")), "left")
     return df.withColumn("_refers", F.when(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))).select("page_id", "url", "_payload", "_sha", "_n", "_refers")
 
 
