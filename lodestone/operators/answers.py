@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +153,16 @@ def modes(planned: DataFrame, searches: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _first_object(text: str | None) -> str | None:
+    at, read = -1, json.JSONDecoder(parse_constant=lambda x: None).raw_decode
+    while (at := (text or "").find("{", at + 1)) >= 0:
+        try:
+            return json.dumps(read(text, at)[0], ensure_ascii=False)
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
 def first_object(x: Column) -> Column:
-    """The first JSON object that can be read in a text, as a variant; null without one."""
-    return planner.parsed(x)
+    """The first JSON object that can be read in a text, whatever stands before and after it, as a variant; null without one. Of a key that repeats the last value counts."""
+    return F.try_parse_json(F.pandas_udf(lambda xs: pd.Series([_first_object(x) for x in xs], dtype="object"), "string")(x))
\ No newline at end of file

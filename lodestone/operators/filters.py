@@ -54,6 +54,20 @@ def describe(slots: dict) -> str:
     return " AND ".join(said)
 
 
+def described(slots: dict[str, Column]) -> Column:
+    """describe() of slots that are columns (booleans, numbers, texts, or lists of texts), row by row; a null slot or an empty list says nothing."""
+    said = []
+    for k, v in slots.items():
+        kind = lambda x: F.typeof(x)
+        quoted = F.concat(F.lit("'"), v.cast("string"), F.lit("'"))
+        if k == "course_type_exclude" or k.endswith("_only"):
+            name = "course_type NOT IN (" if k == "course_type_exclude" else f"{k.removesuffix('_only')} IN ("
+            said.append(F.when(F.size(v) > 0, F.concat(F.lit(name), F.array_join(F.transform(v, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit(")"))))
+        else:
+            said.append(F.when(v.isNotNull(), F.concat(F.lit(f"{k} = "), F.when(kind(v) == "string", quoted).otherwise(v.cast("string")))))
+    return F.concat_ws(" AND ", *said)
+
+
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))

@@ -183,9 +183,28 @@ def fused_search(df: DataFrame, vector: list[float], query: str, k: int, min_sim
     return top(fused.filter(F.col("sim") >= min_sim).withColumn("_n", first).filter("_n = 1").drop("_n"), order, k)
 
 
-def rerank(candidates: DataFrame, score: Column | None, order: list[Column]) -> DataFrame:
-    """Candidates by score, equal ones in the order they had; without a score as they were."""
-    return candidates.orderBy(*([F.desc(score)] if score is not None else []), *order)
+def rerank(candidates: DataFrame, score: Column | Callable[[pd.Series], pd.Series] | None, order: list[Column], text: str = "text", group: str | None = None) -> DataFrame:
+    """Candidates by score, equal ones in the order they had; without a score as they were.
+
+    score is a column, or a function of a batch of texts that may fail (a model, say): candidates of a question (group; all, without one) of which any score fails, or
+    of which there is only one, stay as they were. Nothing is added or removed.
+    """
+    if score is None:
+        return candidates.orderBy(*order)
+    if isinstance(score, Column):
+        return candidates.orderBy(F.desc(score), *order)
+
+    def tried(texts: pd.Series) -> pd.Series:
+        try:
+            found = pd.Series(score(texts.fillna("")), dtype="float64")
+            return found if len(found) == len(texts) else pd.Series([None] * len(texts), dtype="float64")
+        except Exception:  # whatever a caller's scorer raises
+            return pd.Series([None] * len(texts), dtype="float64")
+
+    own = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))  # the few candidates of a question
+    scored = candidates.withColumn("_score", F.pandas_udf(tried, "double")(F.col(text)))
+    scored = scored.withColumn("_whole", (F.count("_score").over(own) == F.count(F.lit(1)).over(own)) & (F.count(F.lit(1)).over(own) > 1))
+    return scored.orderBy(*([group] if group else []), F.desc_nulls_last(F.when(F.col("_whole"), F.col("_score"))), *order).drop("_score", "_whole")
 
 
 def arbitrated(own_top: Column, other_top: Column, low: float, high: float, is_filter: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +11,14 @@ DEPTH = 24
 
 def walk(trees: DataFrame, id_column: str, tree: str, children: str = "children", depth: int = DEPTH) -> DataFrame:
     """A row for each node of each tree (JSON text): id, path (positions from the root), depth and node (variant)."""
-    view = f"trees_{uuid.uuid4().hex}"
-    trees.select(F.col(id_column).alias("id"), F.parse_json(tree).alias("node")).createOrReplaceTempView(view)
     return trees.sparkSession.sql(f"""
         WITH RECURSIVE walk(id, path, depth, node) MAX RECURSION LEVEL {depth} AS (
-            SELECT id, '' AS path, 0 AS depth, node FROM {view}
+            SELECT id, '' AS path, 0 AS depth, node FROM {{trees}}
             UNION ALL
             SELECT w.id, w.path || '/' || c.pos, w.depth + 1, c.value
             FROM walk w, LATERAL variant_explode(variant_get(w.node, '$.{children}', 'variant')) c
         )
-        SELECT * FROM walk""")
+        SELECT * FROM walk""", trees=trees.select(F.col(id_column).alias("id"), F.parse_json(tree).alias("node")))
 
 
 def leaves(walked: DataFrame, children: str = "children") -> DataFrame:

@@ -131,7 +131,12 @@ def nlp15(spark: SparkSession, d: str) -> DataFrame:
     return answers.modes(planned, {"filter": part.filter("p_size > 10").drop("p_size"), "program": part.drop("p_size")})
 
 
-@query("str26_first_object", stated("got VARCHAR", [("7",), ("8",), (None,), (None,)]))
+@query("str26_first_object", "SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN CAST(doc_id AS VARCHAR) END AS got FROM documents")
 def str26(spark: SparkSession, d: str) -> DataFrame:
-    said = ['{"a": 7}', 'Sure:\n```json\n{"a": 8}\n``` ok', "none {here", None]
-    return asked(spark, d, said=said).select("p_partkey", F.try_variant_get(answers.first_object(F.col("said")), "$.a", "string").alias("got"))
+    """Objects planted into documents' texts: alone, in a fence, behind a brace that opens nothing; cut off in the middle, or none."""
+    k, plain = F.col("doc_id") % 5, F.translate(F.coalesce("text", F.lit("")), "{}", "")
+    whole = F.concat(F.lit('{"b": {"c": [1, "}"]}, "a": '), F.col("doc_id").cast("string"), F.lit("}"))
+    said = F.when(k == 0, F.concat(plain, whole, plain)).when(k == 1, F.concat(plain, F.lit("\n```json\n"), whole, F.lit("\n``` "), plain)).when(k == 2, F.concat(F.lit("{not json} "), plain, whole))
+    said = said.when(k == 3, F.concat(plain, F.lit(' {"a": 1, "b": '), plain)).otherwise(plain)
+    df = table(spark, d, "documents").select("doc_id", said.alias("said"))
+    return df.select("doc_id", F.try_variant_get(answers.first_object(F.col("said")), "$.a", "string").alias("got"))

@@ -29,6 +29,12 @@ def asked(spark: SparkSession, d: str, **columns: list) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", *[pick(v).alias(k) for k, v in columns.items()])
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with q: a question each, about the part by its name, which says nothing that a planner looks for."""
+    df = asked(spark, d, q=QUESTIONS).join(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    return df.select("p_partkey", F.concat(F.lit("about the "), "p_name", F.lit(": "), "q", F.lit(" (the "), "p_name", F.lit(")")).alias("q"))
+
+
 def joined(x: F.Column) -> F.Column:
     return F.array_join(x, "|")
 
@@ -53,7 +59,7 @@ QUESTIONS = [
 ]))
 def nlp04(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
-    return asked(spark, d, q=QUESTIONS).select("p_partkey", planner.exam_intent(q).alias("exam"), planner.group_intent(q).alias("grouped"), planner.both_semesters(q).alias("both_semesters"))
+    return questions(spark, d).select("p_partkey", planner.exam_intent(q).alias("exam"), planner.group_intent(q).alias("grouped"), planner.both_semesters(q).alias("both_semesters"))
 
 
 @query("nlp05_exclusions", stated("types VARCHAR, titles VARCHAR", [
@@ -61,7 +67,7 @@ def nlp04(spark: SparkSession, d: str) -> DataFrame:
 ]))
 def nlp05(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
-    return asked(spark, d, q=QUESTIONS).select("p_partkey", joined(planner.excluded_types(q)).alias("types"), joined(planner.excluded_titles(q)).alias("titles"))
+    return questions(spark, d).select("p_partkey", joined(planner.excluded_types(q)).alias("types"), joined(planner.excluded_titles(q)).alias("titles"))
 
 
 @query("nlp06_code_levels", stated("digits VARCHAR, level VARCHAR", [
@@ -69,7 +75,7 @@ def nlp05(spark: SparkSession, d: str) -> DataFrame:
 ]))
 def nlp06(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
-    return asked(spark, d, q=QUESTIONS).select("p_partkey", joined(planner.first_digits(q)).alias("digits"), planner.level_hint(q).alias("level"))
+    return questions(spark, d).select("p_partkey", joined(planner.first_digits(q)).alias("digits"), planner.level_hint(q).alias("level"))
 
 
 @query("nlp02_guards", stated("location VARCHAR, attendance VARCHAR", [
@@ -78,7 +84,7 @@ def nlp06(spark: SparkSession, d: str) -> DataFrame:
 def nlp02(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
     location = planner.guarded(F.lit("Here"), planner.asked_campus(q), DOMAINS["location"])
-    return asked(spark, d, q=QUESTIONS).select("p_partkey", location.alias("location"), planner.guarded(F.lit(None).cast("string"), planner.asked_attendance(q), DOMAINS["attendance_mode"]).alias("attendance"))
+    return questions(spark, d).select("p_partkey", location.alias("location"), planner.guarded(F.lit(None).cast("string"), planner.asked_attendance(q), DOMAINS["attendance_mode"]).alias("attendance"))
 
 
 @query("nlp08_units", stated("units VARCHAR, requirement VARCHAR", [
@@ -86,7 +92,7 @@ def nlp02(spark: SparkSession, d: str) -> DataFrame:
 ]))
 def nlp08(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("q")
-    return asked(spark, d, q=QUESTIONS).select("p_partkey", joined(planner.faculty_units(q)).alias("units"), planner.requirement(q).alias("requirement"))
+    return questions(spark, d).select("p_partkey", joined(planner.faculty_units(q)).alias("units"), planner.requirement(q).alias("requirement"))
 
 
 def items() -> F.Column:
@@ -101,7 +107,7 @@ def nlp16(spark: SparkSession, d: str) -> DataFrame:
     q, kind = F.col("q"), planner.assessment_type(F.col("q"))
     other = F.array(F.struct(F.lit("Talk").alias("task"), F.lit(None).cast("string").alias("category")))
     own = F.when(F.col("p_partkey") % 3 == 1, other).when(F.col("p_partkey") % 3 == 2, items())
-    return asked(spark, d, q=QUESTIONS).select("p_partkey", joined(planner.detail_intents(q)).alias("details"), kind.alias("kind"), planner.has_assessment(kind, own).alias("has_one"))
+    return questions(spark, d).select("p_partkey", joined(planner.detail_intents(q)).alias("details"), kind.alias("kind"), planner.has_assessment(kind, own).alias("has_one"))
 
 
 DRAFTS = [

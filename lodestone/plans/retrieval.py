@@ -330,9 +330,16 @@ def str24(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(F.contains(name, F.lit("ring")) & ~F.contains(name, F.lit("%"))).select("p_partkey")
 
 
-@query("fil06_description", "SELECT 'has_exam = false AND units = 2' AS described, count(*) AS n FROM part")
+@query("fil06_description", """SELECT p_partkey, concat_ws(' AND ', CASE WHEN p_size % 2 = 0 THEN 'has_exam = ' || CASE WHEN p_size % 4 = 0 THEN 'true' ELSE 'false' END END, CASE WHEN p_size % 3 <> 0 THEN 'level = ' || q || p_type || q END,
+    'units = ' || p_size, CASE WHEN p_size % 5 = 0 THEN 'course_type NOT IN (' || q || p_brand || q || ', ' || q || p_name || q || ')' END) AS described FROM (SELECT *, chr(39) AS q FROM part)""")
 def fil06(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").agg(F.count("*").alias("n")).select(F.lit(filters.describe({"has_exam": False, "units": 2})).alias("described"), "n")
+    """Slots of each part in words."""
+    size = F.col("p_size")
+    slots = {
+        "has_exam": F.when(size % 2 == 0, size % 4 == 0), "level": F.when(size % 3 != 0, F.col("p_type")), "units": size,
+        "course_type_exclude": F.when(size % 5 == 0, F.array("p_brand", "p_name")),
+    }
+    return table(spark, d, "part").select("p_partkey", filters.described(slots).alias("described"))
 
 
 PHRASES = ["units = 2", "units = 2; drop table x", "title = 'a'", "  ", "level = 'x' -- y", "updated = true"]

@@ -298,6 +298,24 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_named(df: DataFrame, path: str, suffix: str) -> None:
+    """A file for each row of df (name, text; a name once): name.suffix, with a line feed at its end. Tasks write them side by side elsewhere; when all are whole they get their names, one by one."""
+    spark = df.sparkSession
+    made = scratch(spark, "named")
+    df.select(F.col("text").alias("value"), F.col("name")).write.partitionBy("name").text(made)
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    at, to = fs.Path(made), fs.Path(path)
+    files = at.getFileSystem(conf)
+    files.mkdirs(to)
+    for folder in files.listStatus(at):
+        if folder.isDirectory():
+            name = folder.getPath().getName().removeprefix("name=")
+            for part in files.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(part.getPath(), fs.Path(f"{path}/{name}.{suffix}"))
+
+
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:
     """Rows without a header, as vocabularies are kept."""
     df.write.option("sep", sep).csv(path)
@@ -338,13 +356,21 @@ def sitemap_rows(sitemaps: DataFrame) -> DataFrame:
 
 def expanded_sitemaps(seeds: DataFrame, sitemaps: DataFrame, depth: int = 8) -> DataFrame:
     """The distinct loc and lastmod of the pages that seeds (url) reach over sitemaps (url, body) held in a table; an index is followed once. Deeper than depth raises."""
-    rows = sitemap_rows(sitemaps)
-    edges, seen = rows.filter("kind = 'sitemapindex'").select("url", "loc").distinct(), seeds.select("url").distinct()
+    spark = seeds.sparkSession
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    rows = cut(sitemap_rows(sitemaps), "sitemap-rows")
+    edges = rows.filter("kind = 'sitemapindex'").select("url", "loc").distinct()
+    seen = front = cut(seeds.select("url").distinct(), "sitemaps")
     for _ in range(depth):
-        wider = seen.unionByName(edges.join(seen, "url").select(F.col("loc").alias("url"))).distinct()
-        if wider.count() == seen.count():
+        front = cut(edges.join(front, "url").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"), "sitemaps")
+        if front.isEmpty():
             return rows.filter("kind = 'urlset'").join(seen, "url", "left_semi").select("loc", "lastmod").distinct()
-        seen = wider
+        seen = seen.unionByName(front)
     raise ValueError(f"sitemaps more than {depth} deep")
 
 

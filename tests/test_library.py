@@ -187,3 +187,57 @@ def test_incremental_files(spark, tmp_path):
         (tmp_path / "in" / f"{batch[-1]}.json").write_text("\n".join(json.dumps({"id": i, "x": "v"}) for i in batch))
         increments.ingest_new(spark, str(tmp_path / "in"), schema, str(tmp_path / "t"), str(tmp_path / "ck"), "id").awaitTermination(60)
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "t")).select("id").collect()) == [1, 2, 3]
+
+
+def test_a_scorer_may_fail(spark):
+    rows = [(1, 1, "aa"), (2, 1, "b"), (3, 1, "cccc"), (4, 2, "dd"), (5, 2, "boom boom"), (6, 3, "alone")]
+    df = spark.createDataFrame(rows, "id int, question int, text string").repartition(3)
+
+    def score(texts):
+        if texts.str.contains("boom").any():
+            raise RuntimeError("no model")
+        return texts.str.len().astype(float)
+
+    kept = retrieval.rerank(df.filter("question <> 2"), score, [F.asc("id")], group="question")
+    assert [r.id for r in kept.collect()] == [3, 1, 2, 6]
+    assert [r.id for r in retrieval.rerank(df.filter("question = 2"), score, [F.asc("id")], group="question").collect()] == [4, 5]
+    assert [r.id for r in retrieval.rerank(df.filter("id < 4"), lambda x: x.iloc[:0], [F.asc("id")]).collect()] == [1, 2, 3]
+    assert [r.id for r in retrieval.rerank(df, None, [F.desc("id")]).collect()] == [6, 5, 4, 3, 2, 1]
+    assert [r.id for r in retrieval.rerank(df, F.length("text"), [F.asc("id")]).collect()] == [5, 6, 3, 1, 4, 2]
+
+
+def test_described_like_describe(spark):
+    slots = [{"has_exam": False, "level": "x", "units": 2, "course_type_exclude": ["a", "b"]}, {"has_exam": None, "level": "y", "units": 7, "course_type_exclude": []}, {"has_exam": True, "level": None, "units": None, "course_type_exclude": None}]
+    df = spark.createDataFrame(slots, "has_exam boolean, level string, units int, course_type_exclude array<string>")
+    assert [r[0] for r in df.select(filters.described({c: F.col(c) for c in df.columns})).collect()] == [filters.describe(x) for x in slots]
+
+
+def test_named_files_and_walks(spark, tmp_path):
+    df = spark.createDataFrame([("A", "one\ntwo"), ("B", "")], "name string, text string")
+    files.write_named(df, f"file://{tmp_path}/n", "md")
+    assert {x.name: x.read_text().rstrip("\n") for x in (tmp_path / "n").iterdir() if not x.name.startswith(".")} == {"A.md": "one\ntwo", "B.md": ""}
+    from lodestone.operators import trees
+
+    walked = trees.walk(spark.createDataFrame([(1, '{"children": [{"x": 1}, {"children": [{"x": 2}]}]}')], "i int, tree string"), "i", "tree")
+    assert sorted((r.path, r.depth) for r in walked.collect()) == [("", 0), ("/0", 1), ("/1", 1), ("/1/0", 2)]
+    assert not [t for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith("trees_")]
+
+
+def test_chunks_of_pages_by_brute_force(spark):
+    """Chunks of the pages, in order, are their texts' sections, packed again by a reading of its own."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    texts = {r.page_id: (r._title, r._text) for r in files.page_texts(pages).collect()}
+    found = {}
+    for r in files.chunks(files.page_texts(pages), "page_id").orderBy("id", "chunk_id").collect():
+        found.setdefault(int(r.id), []).append(r)
+    for page, rows in found.items():
+        title, body = texts[page]
+        said = re.sub(r"(?m)^#{1,3} .*$", "", body)
+        for r in rows:
+            assert r.tokens == max(1, len(r.text) // 4) and r.short == (r.tokens < 30)
+            assert not title or r.heading.split(" > ")[0] == title or title in r.heading
+            for line in filter(None, map(str.strip, r.text.split("\n"))):
+                assert line in said or any(line[:40] in x for x in said.split("\n")), (page, line)
+    assert set(found) <= set(texts) and len(found) > 0.5 * len([1 for _, b in texts.values() if len(b) > 400])
