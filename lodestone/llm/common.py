@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -40,10 +41,11 @@ TEXTS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def cut(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+def cut(df: DataFrame, label: str, batch: int | None = None, release: bool = False) -> DataFrame:
     """df, written to the shared folder and read back: later plans start from the files, also after a lost executor.
 
-    While it is written, batch rows go to Python at once; the session's setting is put back.
+    While it is written, batch rows go to Python at once; the session's setting is put back. With release, what the plan has shuffled is freed now: Spark
+    deletes it when the driver collects its garbage, which a driver with little to do puts off.
     """
     path, conf = fresh_path(df.sparkSession, label), df.sparkSession.conf
     before = conf.get(_BATCH)
@@ -56,6 +58,9 @@ def cut(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
             conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
+    if release:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return out
 
 

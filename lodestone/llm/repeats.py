@@ -334,9 +334,9 @@ class Measure:
     def segment(self, texts: DataFrame, keep_first: bool) -> DataFrame:
         """The wanted members (_d, _t, _x) of texts (TEXT)."""
         length, unit, anchor = self.length, self.unit, _anchors(self.length)[self.level]
-        every = cut(texts.mapInArrow(lambda b: _segment_rows(b, length, anchor, unit), SEGMENT), f"segments-{self.level}", batch=TEXTS)
+        every = cut(texts.mapInArrow(lambda b: _segment_rows(b, length, anchor, unit), SEGMENT), f"segments-{self.level}", batch=TEXTS, release=True)
         repeated = every.groupBy(F.col("h").alias("_h")).agg(F.sum(F.size("starts")).alias("_n")).filter("_n > 1").select("_h")
-        self.rows = cut(every.join(repeated, F.col("h") == F.col("_h"), "left_semi"), f"repeated-{self.level}")
+        self.rows = cut(every.join(repeated, F.col("h") == F.col("_h"), "left_semi"), f"repeated-{self.level}", release=True)
         discard(every)
         place = lambda i, k: F.struct("d", "t", F.element_at("starts", i).alias("pos"), F.col(f"lo{k}").alias("lo"), F.col(f"size{k}").alias("size"), F.col(f"base{k}").alias("own"))
         kinds = self.rows.groupBy("h", "c1", "c2", "k", "n").agg(F.sum(F.size("starts")).alias("_copies"), F.min(place(1, 1)).alias("_first"), F.max(place(-1, 2)).alias("_last"))
@@ -346,7 +346,7 @@ class Measure:
         # A bucket that holds one segment once (of a repeated row) has nothing to compare.
         kinds = kinds.join(sizes, F.col("h") == F.col("_h")).drop("_h").filter("_two OR _kinds > 1")
         large = F.col("_bytes") > (BUCKET if self.level + 1 < len(_anchors(length)) else 1 << 62)
-        self.kinds = cut(kinds.withColumn("large", large).drop("_bytes", "_kinds"), f"kinds-{self.level}")
+        self.kinds = cut(kinds.withColumn("large", large).drop("_bytes", "_kinds"), f"kinds-{self.level}", release=True)
         # The last of a kind that stands twice at one place (in repeated rows) is that place again.
         members = self.kinds.select("*", F.posexplode(F.when(F.col("_two") & ~F.col("large"), F.array("_first", "_last")).otherwise(F.array("_first"))).alias("_i", "_own"))
         first = [F.col(f"_first.{a}").alias(b) for a, b in (("d", "fd"), ("t", "ft"), ("pos", "fpos"))]
@@ -358,7 +358,7 @@ class Measure:
         length, unit = self.length, self.unit
         names = [x.split()[0] for x in COMPARED.split(", ")]
         spread = got.filter("NOT large").select(*names).repartition(parallelism(got.sparkSession), "h").sortWithinPartitions("h", "d", "t", "pos")
-        found = cut(spread.mapInPandas(lambda b: _compare(b, length, unit, keep_first), RUNS), f"runs-{self.level}")
+        found = cut(spread.mapInPandas(lambda b: _compare(b, length, unit, keep_first), RUNS), f"runs-{self.level}", release=True)
         self.written = [self.rows, self.kinds, found]
         out = found.filter("NOT later").select("d", "t", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
         # What holds of a kind's last segment holds of all but its first; in a bucket that isn't compared, such a segment is a copy whole.
@@ -384,7 +384,7 @@ class Measure:
 def _fetched(source: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
     """wanted (_d, _t, i, _x) with the bytes of their segments; of several pieces of a text, that in which the segment was found."""
     got = source.join(wanted, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t")))
-    return cut(got.filter(F.col("_x.own") == F.col("base")).select("i", "d", "t", F.substring("data", F.col("_x.lo") + 1, F.col("_x.size")).alias("data"), "_x.*"), label)
+    return cut(got.filter(F.col("_x.own") == F.col("base")).select("i", "d", "t", F.substring("data", F.col("_x.lo") + 1, F.col("_x.size")).alias("data"), "_x.*"), label, release=True)
 
 
 def copies(texts: DataFrame, measures: list[tuple[int, int]], keep_first: bool) -> DataFrame:
@@ -392,7 +392,7 @@ def copies(texts: DataFrame, measures: list[tuple[int, int]], keep_first: bool)
     found = [Measure(*x) for x in measures]
     wanted = reduce(DataFrame.unionByName, [x.segment(texts, keep_first).withColumn("i", F.lit(i)) for i, x in enumerate(found)])
     got = _fetched(texts.dropDuplicates(["d", "t"]), wanted, "compared-0")
-    out = cut(reduce(DataFrame.unionByName, [x.compare(got.filter(F.col("i") == i), keep_first).withColumn("i", F.lit(i)) for i, x in enumerate(found)]), "copies")
+    out = cut(reduce(DataFrame.unionByName, [x.compare(got.filter(F.col("i") == i), keep_first).withColumn("i", F.lit(i)) for i, x in enumerate(found)]), "copies", release=True)
     discard(got, *(y for x in found for y in x.written))
     return out
 
@@ -468,7 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     keyed = keyed_texts(docs, F.struct(*own))
     texts = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("base"), F.lit(-1).alias("m"), F.col("_text").cast("binary").alias("data"))
     found = copies(texts, [(words, UNIT) if words else (length, 1), *[(report, UNIT)] * bool(report)], keep_first)
-    runs = cut(found.groupBy("d", "t").agg(*[F.collect_set(F.when(F.col("i") == i, F.struct("a", "b"))).alias(f"_runs{i}") for i in (0, 1)]), "runs")
+    runs = cut(found.groupBy("d", "t").agg(*[F.collect_set(F.when(F.col("i") == i, F.struct("a", "b"))).alias(f"_runs{i}") for i in (0, 1)]), "runs", release=True)
     discard(found)
     df = keyed.join(runs, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
 
