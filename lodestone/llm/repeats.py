@@ -387,13 +387,15 @@ def _fetched(source: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
     return cut(got.filter(F.col("_x.own") == F.col("base")).select("i", "d", "t", F.substring("data", F.col("_x.lo") + 1, F.col("_x.size")).alias("data"), "_x.*"), label, release=True)
 
 
-def copies(texts: DataFrame, measures: list[tuple[int, int]], keep_first: bool) -> DataFrame:
-    """Runs (i: the measure, d, t, a, b: first and last window) of copied windows of texts (TEXT), by measures (length, unit); the texts move once for all."""
-    found = [Measure(*x) for x in measures]
-    wanted = reduce(DataFrame.unionByName, [x.segment(texts, keep_first).withColumn("i", F.lit(i)) for i, x in enumerate(found)])
-    got = _fetched(texts.dropDuplicates(["d", "t"]), wanted, "compared-0")
-    out = cut(reduce(DataFrame.unionByName, [x.compare(got.filter(F.col("i") == i), keep_first).withColumn("i", F.lit(i)) for i, x in enumerate(found)]), "copies", release=True)
-    discard(got, *(y for x in found for y in x.written))
+def copies(texts: DataFrame, measures: list[tuple[int, int]], keep_first: bool) -> list[DataFrame]:
+    """Runs (d, t, a, b: first and last window) of copied windows of texts (TEXT), a table for each measure (length, unit). They are made one after another: the tables of one are
+    gone when the next begins."""
+    out = []
+    for x in measures:
+        found = Measure(*x)
+        got = _fetched(texts.dropDuplicates(["d", "t"]), found.segment(texts, keep_first).withColumn("i", F.lit(0)), "compared-0")
+        out.append(cut(found.compare(got, keep_first), "copies", release=True))
+        discard(got, *found.written)
     return out
 
 
@@ -467,9 +469,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     own = [c for c in keep or docs.columns if c not in ("_bytes", "_spans", "_rest", "_rest_text", "_passages")]
     keyed = keyed_texts(docs, F.struct(*own))
     texts = keyed.select(F.col("_d").alias("d"), F.col("_t").alias("t"), F.lit(0).alias("base"), F.lit(-1).alias("m"), F.col("_text").cast("binary").alias("data"))
-    found = copies(texts, [(words, UNIT) if words else (length, 1), *[(report, UNIT)] * bool(report)], keep_first)
+    tables = copies(texts, [(words, UNIT) if words else (length, 1), *[(report, UNIT)] * bool(report)], keep_first)
+    found = reduce(DataFrame.unionByName, [x.withColumn("i", F.lit(i)) for i, x in enumerate(tables)])
     runs = cut(found.groupBy("d", "t").agg(*[F.collect_set(F.when(F.col("i") == i, F.struct("a", "b"))).alias(f"_runs{i}") for i in (0, 1)]), "runs", release=True)
-    discard(found)
+    discard(*tables)
     df = keyed.join(runs, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
