@@ -24,13 +24,15 @@ def words(x: Column) -> Column:
 def gate(questions: DataFrame, found: DataFrame, vocabulary: DataFrame, years: tuple[int, int] = YEARS) -> DataFrame:
     """id, answerable and reason (ok, year or entity), with what is out of range or missing, of questions (id, question).
 
-    An entity must be in the vocabulary (word) or in a passage found for the question (id, text). The year comes first. Only words that the
-    vocabulary lacks go on to the passages.
+    An entity must be in the vocabulary (word) or in a passage found for the question (id, text). The year comes first.
     """
     asked = questions.select("id", "question", text.out_of_range_year(F.col("question"), *years).alias("_year"), text.entity_tokens(F.col("question")).alias("_entities"))
     entities = asked.select("id", F.posexplode("_entities").alias("_at", "word"))
-    absent = entities.join(vocabulary.select("word").distinct(), "word", "left_anti")
-    said = found.select("id", F.explode(words(F.col("text"))).alias("word")).distinct()
+    # Of the vocabulary and of passages only what is asked about goes on.
+    known = vocabulary.select("word").join(entities.select("word").distinct(), "word", "left_semi").distinct()
+    absent = entities.join(known, "word", "left_anti")
+    own = found.join(entities.select("id").distinct(), "id", "left_semi").select("id", F.explode(words(F.col("text"))).alias("word"))
+    said = own.join(entities.select("id", "word"), ["id", "word"], "left_semi").distinct()
     absent = absent.join(said, ["id", "word"], "left_anti").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]).alias("_absent"))
     df = asked.join(absent, "id", "left")
     reason = F.when(F.col("_year").isNotNull(), "year").when(F.col("_absent").isNotNull(), "entity").otherwise("ok")

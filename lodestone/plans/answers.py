@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import answers, retrieval
-from lodestone.plans.questions import asked, stated
+from lodestone.plans.questions import asked, own_codes, stated
 from lodestone.plans.texts import ENTITIES
 from lodestone.registry import query, table
 
@@ -27,7 +27,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.explode(answers.words(F.col("text"))).alias("word")).distinct()
+    return table(spark, d, "documents").select(F.explode(answers.words(F.col("text"))).alias("word"))
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +60,7 @@ ANSWERS = [
 def evl07(spark: SparkSession, d: str) -> DataFrame:
     names = ["answer", "mode", "courses", "want_mode", "refuse", "has", "hasnt", "source"]
     df = asked(spark, d, **{k: [x[i] for x in ANSWERS] for i, k in enumerate(names)}).join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    df = df.withColumns({k: own_codes(F.col(k)) for k in ("answer", "courses", "has", "hasnt")})
     lists = {k: F.split(k, r"\|") for k in ("courses", "has", "hasnt")}
     unsatisfied = F.when(F.col("p_partkey") % 6 == 0, F.when(F.col("p_size") > 25, F.array("answer")).otherwise(F.array().cast("array<string>")))
     df = df.withColumns(lists | {"refuse": F.col("refuse").cast("boolean"), "refused": F.lit(False), "unsatisfied": unsatisfied})
@@ -86,6 +87,7 @@ TOPICS = [
 @query("evl09_topics", stated("failed VARCHAR", [(x[-1],) for x in TOPICS]))
 def evl09(spark: SparkSession, d: str) -> DataFrame:
     df = asked(spark, d, **{k: [x[i] for x in TOPICS] for i, k in enumerate(["expect", "mode", "answer", "courses", "want"])})
+    df = df.withColumns({k: own_codes(F.col(k)) for k in ("answer", "courses", "want")})
     df = df.withColumns({k: F.split(k, r"\|") for k in ("courses", "want")})
     return answers.topical(df, text.is_empty_answer(F.col("answer"), "no information")).select("p_partkey", F.array_join("failed", "|").alias("failed"))
 

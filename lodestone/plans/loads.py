@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import ingest, relations, rules
-from lodestone.plans.questions import asked, stated
+from lodestone.plans.questions import asked, own_codes, own_codes_sql, stated
 from lodestone.registry import query, table
 from lodestone.sources import files
 from lodestone.sources.files import scratch
@@ -207,41 +207,52 @@ def str12(spark: SparkSession, d: str) -> DataFrame:
 PREREQUISITES = ["(OBOE2200 or 2300) and HARP3100", "OBOE2200, HARP3100", "ask the teacher", None, "HARP3100 + OBOE2200 or LUTE1000."]
 
 
-@query("str07_expanded_codes", stated("expanded VARCHAR", [("(OBOE2200 or OBOE2300) and HARP3100",), ("OBOE2200, HARP3100",), ("ask the teacher",), ("",), ("HARP3100 + OBOE2200 or LUTE1000.",)]))
+def prerequisites(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with what each must have done before: its own codes."""
+    return asked(spark, d, said=PREREQUISITES).withColumn("said", own_codes(F.col("said")))
+
+
+@query("str07_expanded_codes", own_codes_sql(stated("expanded VARCHAR", [("(OBOE2200 or OBOE2300) and HARP3100",), ("OBOE2200, HARP3100",), ("ask the teacher",), ("",), ("HARP3100 + OBOE2200 or LUTE1000.",)]), "expanded"))
 def str07(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark, d, said=PREREQUISITES).select("p_partkey", rules.expanded_codes(F.col("said")).alias("expanded"))
+    return prerequisites(spark, d).select("p_partkey", rules.expanded_codes(F.col("said")).alias("expanded"))
 
 
-@query("jsn08_prerequisite_trees", stated("tree VARCHAR", [
+@query("jsn08_prerequisite_trees", own_codes_sql(stated("tree VARCHAR", [
     ('{"op": "and", "of": [{"op": "or", "of": [{"op": "is", "of": "OBOE2200"}, {"op": "is", "of": "OBOE2300"}]}, {"op": "is", "of": "HARP3100"}]}',), ('{"op": "and", "of": [{"op": "is", "of": "OBOE2200"}, {"op": "is", "of": "HARP3100"}]}',),
     ('{"op": "raw", "of": "ask the teacher"}',), (None,), ('{"op": "or", "of": [{"op": "and", "of": [{"op": "is", "of": "HARP3100"}, {"op": "is", "of": "OBOE2200"}]}, {"op": "is", "of": "LUTE1000"}]}',),
-]))
+]), "tree"))
 def jsn08(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark, d, said=PREREQUISITES).select("p_partkey", rules.prerequisite_trees(F.col("said")).alias("tree"))
+    return prerequisites(spark, d).select("p_partkey", rules.prerequisite_trees(F.col("said")).alias("tree"))
 
 
-@query("jsn09_satisfied", stated("ok BOOLEAN, said VARCHAR", [(True, None), (True, None), (True, "check: ask the teacher"), (True, None), (True, None)]).replace("CAST(v.ok AS BOOLEAN) AS ok", "v.k IN (2, 3) OR p_size % 2 = 0 AS ok").replace("CAST(v.said AS VARCHAR) AS said", "CASE WHEN v.k IN (0, 1) AND p_size % 2 = 1 THEN 'HARP3100' WHEN v.k = 4 AND p_size % 2 = 1 THEN 'HARP3100 or LUTE1000' ELSE v.said END AS said"))
+@query("jsn09_satisfied", own_codes_sql(stated("ok BOOLEAN, said VARCHAR", [(True, None), (True, None), (True, "check: ask the teacher"), (True, None), (True, None)]).replace("CAST(v.ok AS BOOLEAN) AS ok", "v.k IN (2, 3) OR p_size % 2 = 0 AS ok").replace("CAST(v.said AS VARCHAR) AS said", "CASE WHEN v.k IN (0, 1) AND p_size % 2 = 1 THEN 'HARP3100' WHEN v.k = 4 AND p_size % 2 = 1 THEN 'HARP3100 or LUTE1000' ELSE v.said END AS said"), "said"))
 def jsn09(spark: SparkSession, d: str) -> DataFrame:
     """Who has OBOE2200, and where a part's size is even HARP3100 too."""
     have = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("OBOE2200"), F.lit("HARP3100"))).otherwise(F.array(F.lit("OBOE2200")))
-    df = asked(spark, d, said=PREREQUISITES).join(table(spark, d, "part").select("p_partkey", have.alias("have")), "p_partkey")
+    df = prerequisites(spark, d).join(table(spark, d, "part").select("p_partkey", F.transform(have, own_codes).alias("have")), "p_partkey")
     return df.select("p_partkey", rules.satisfactions(F.col("said"), F.col("have")).alias("x")).select("p_partkey", "x.ok", "x.said")
 
 
 FORMULAS = ["Part A AND ( Part B OR Part C )", "Part A AND", "16 units of Part A", None]
 
 
-@query("jsn10_formula_trees", stated("tree VARCHAR", [('{"op": "and", "of": [{"op": "is", "of": "Part A"}, {"op": "or", "of": [{"op": "is", "of": "Part B"}, {"op": "is", "of": "Part C"}]}]}',), (None,), (None,), (None,)]))
+@query("jsn10_formula_trees", stated("tree VARCHAR", [('{"op": "and", "of": [{"op": "is", "of": "Part A"}, {"op": "or", "of": [{"op": "is", "of": "Part B"}, {"op": "is", "of": "Part C"}]}]}',), (None,), (None,), (None,)]).replace("CAST(v.tree AS VARCHAR) AS tree", "replace(CAST(v.tree AS VARCHAR), 'Part A', 'Part ' || chr(CAST(68 + p_partkey % 20 AS INTEGER))) AS tree"))
 def jsn10(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark, d, said=FORMULAS).select("p_partkey", rules.formula_trees(F.col("said")).alias("tree"))
+    own = F.concat(F.lit("Part "), F.char(68 + F.col("p_partkey") % 20))
+    return asked(spark, d, said=FORMULAS).withColumn("said", F.replace("said", F.lit("Part A"), own)).select("p_partkey", rules.formula_trees(F.col("said")).alias("tree"))
 
 
 HTML = ["<title>A  b</title><nav>menu</nav><h1>One</h1><p>x &amp; y<br>z</p><script>no()</script>", "<p>open <b>bold", "", None]
 
 
-@query("src07_html_texts", stated("title VARCHAR, text VARCHAR", [("A b", "# One~x & y~z"), ("", "open bold"), ("", ""), ("", "")]))
+@query("src07_html_texts", "SELECT s.p_partkey, replace(title, 'A b', p_name) AS title, replace(replace(text, 'x & y', p_name || ' & ' || p_brand), 'bold', p_name) AS text FROM (" + stated("title VARCHAR, text VARCHAR", [("A b", "# One~x & y~z"), ("", "open bold"), ("", ""), ("", "")]) + ") s JOIN part USING (p_partkey)")
 def src07(spark: SparkSession, d: str) -> DataFrame:
-    df = files.page_texts(asked(spark, d, html=HTML))
+    """Pages about parts, with their names in titles, marks and entities."""
+    html, name = F.col("html"), F.col("p_name")
+    for place, own in (("A  b", F.replace(name, F.lit(" "), F.lit("  \n"))), ("x &amp; y", F.concat(name, F.lit(" &amp; "), "p_brand")), ("bold", name)):
+        html = F.replace(html, F.lit(place), own)
+    df = asked(spark, d, html=HTML).join(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey").withColumn("html", html)
+    df = files.page_texts(df.select("p_partkey", "html"))
     return df.select("p_partkey", F.col("_title").alias("title"), F.replace("_text", F.lit("\n"), F.lit("~")).alias("text"))
 
 

@@ -32,7 +32,7 @@ def test_walks_compare_a_falling_share(spark):
     rng = np.random.default_rng(4)
     middle = rng.normal(size=(40, 16))
     shares = []
-    for n in (700, 2100, 6300):
+    for n in (600, 1800, 5400):
         recall, share = walked(spark, middle[rng.integers(0, 40, n)] + 0.6 * rng.normal(size=(n, 16)), n // 30)
         assert recall >= 0.9, (n, recall)
         shares.append(share)
