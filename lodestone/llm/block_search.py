@@ -231,17 +231,18 @@ def top_products(vectors: DataFrame, every: int = EVERY, top: int = TOP, scale:
     sample = rows.orderBy(F.xxhash64("vec_id", "embedding"), "vec_id").limit(fit_rows).select("embedding").toPandas()
     centres = spark.sparkContext.broadcast(fit(weights(sample["embedding"], width, scale)))
     nearest = F.pandas_udf(lambda e: pd.Series((weights(e, width, scale) @ centres.value.T).argmax(axis=1)), "int")
-    # A row's place in the order: its centre, then a number below 1 by which a centre's rows are cut into even ranges.
+    # The order: by centre, then by a number below 1 that a hash gives.
     placed = rows.select("vec_id", "embedding", "copies", nearest("embedding").alias("centre"), (F.pmod(F.xxhash64("embedding", "vec_id"), F.lit(1 << 30)) / (1 << 30)).alias("along"))
     placed = cut(placed, "terms-placed")
 
     def packs(df: DataFrame, n: int, least: int, most: int, label: str) -> DataFrame:
         size = min(most, max(least, -(-n // parallelism(spark))))
         counts = {r["centre"]: r["count"] for r in df.groupBy("centre").count().collect()}  # CENTRES rows at most
-        ranges = [-(-counts.get(c, 0) // size) for c in range(max(counts) + 1)]
-        first, k = (F.get(F.array(*map(F.lit, x)), F.col("centre")) for x in (np.cumsum([0, *ranges]).tolist(), ranges))
-        df = df.select((first + F.floor(F.col("along") * k)).cast("long").alias("shard"), "vec_id", "embedding", "along")
-        df = df.repartition(parallelism(spark), "shard").sortWithinPartitions("shard", "along", "vec_id")
+        held = [counts.get(c, 0) for c in range(max(counts) + 1)]
+        before, own = (F.get(F.array(*map(F.lit, x)), F.col("centre")) for x in (np.cumsum([0, *held])[:-1].tolist(), held))
+        # A row's place among all, about: the rows of the centres before its own, and its part of those of its own.
+        df = df.select(F.floor((before + F.col("along") * own) / size).alias("shard"), "vec_id", "embedding", "centre", "along")
+        df = df.repartition(parallelism(spark), "shard").sortWithinPartitions("shard", "centre", "along", "vec_id")
         return cut(df.mapInPandas(lambda b: _pack(b, width, scale), PACKED), label)
 
     # Of a row that repeats, as many as a result can hold.
