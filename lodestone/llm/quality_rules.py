@@ -65,13 +65,16 @@ def counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             "_hits": F.filter(F.transform(words, F.lower), lambda w: w.isin(*sorted({y for x in COMMON_WORDS.values() for y in x}))),
         }
     )
-    df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    # Where any hash repeats, windows are told apart by two.
+    second = lambda i: F.xxhash64(F.lit(1), F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    same = lambda a, b: (a["g"] == b["g"]) & (a["h"] == b["h"])
+    df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), second(i).alias("h"), i.alias("i"))))))
     pairs = F.col("_sorted")
     df = df.withColumn(
         "_starts",
         F.array_sort(
             F.transform(
-                F.filter(pairs, lambda x, i: (F.get(pairs, i + 1)["g"] == x["g"]) | (F.when(i > 0, F.get(pairs, i - 1)["g"]) == x["g"])),
+                F.filter(pairs, lambda x, i: same(F.get(pairs, i + 1), x) | same(F.when(i > 0, F.get(pairs, i - 1)), x)),
                 lambda x: x["i"],
             )
         ),
