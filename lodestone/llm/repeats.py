@@ -391,12 +391,12 @@ def copies(texts: DataFrame, measures: list[tuple[int, int]], keep_first: bool)
     """Runs (d, t, a, b: first and last window) of copied windows of texts (TEXT), a table for each measure (length, unit). They are made one after another: the tables of one are
     gone when the next begins."""
     out = []
-    for x in measures:
+    for x in reversed(measures):  # what is reported has more segments: it goes first, so that nothing else lies beside it
         found = Measure(*x)
         got = _fetched(texts.dropDuplicates(["d", "t"]), found.segment(texts, keep_first).withColumn("i", F.lit(0)), "compared-0")
         out.append(cut(found.compare(got, keep_first), "copies", release=True))
         discard(got, *found.written)
-    return out
+    return out[::-1]
 
 
 def _union(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
