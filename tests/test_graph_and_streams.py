@@ -77,6 +77,7 @@ def test_stream_join_counts_what_is_late(spark):
         rows([(-1, -1, "a", "2024-01-03 00:00:00"), (-2, -2, "b", "2024-01-03 00:00:00")]),
     ]
     stream = in_batches(spark, parts)
-    found, ended = run(spark, joins.followed(stream.filter("kind = 'a'"), stream.filter("kind = 'b'"), "u", 600, "10 minutes"))
+    with settings(spark, {"spark.sql.streaming.noDataMicroBatches.enabled": "true"}):
+        found, ended = run(spark, joins.followed(stream.filter("kind = 'a'"), stream.filter("kind = 'b'"), "u", 600, "10 minutes"))
     assert sorted(map(tuple, found.filter("event_id > 0").collect()), key=str) == [(1, 2), (3, None), (5, None), (8, 9)]
     assert joins.dropped(ended) == 2

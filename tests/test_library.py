@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import derive, text
 from lodestone.functions.stem import stem
 from lodestone.operators import answers, filters, ingest, planner, retrieval, rules
+from lodestone.plans.streams import _STORE, settings
 from lodestone.sources import files
 from lodestone.streaming import increments, limiter
 
@@ -172,10 +173,9 @@ def test_stream_equals_table(spark, tmp_path):
     rows = [(i, i % 3, f"2024-01-01 00:{i % 7:02d}:{i % 60:02d}") for i in range(90)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else state with a time to live asks for batches without end
-    stream = limiter.stream_allowed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "user_id", 60, 3)
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(60)
+    with settings(spark, _STORE):  # state with a time to live asks for batches without end, if it may
+        stream = limiter.stream_allowed(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "user_id", 60, 3)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(60)
     wanted = limiter.window_allowed(df, "user_id", 60, 3).select("event_id", "allowed")
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, wanted.collect()))
 
