@@ -491,6 +491,39 @@ def test_vector_search_recall(spark, kind):
     assert hits >= 0.9 * 10 * 80, hits
 
 
+@pytest.mark.parametrize("kind", ["tight heaps", "uneven components", "far ones", "heavy tails", "far from zero", "too long to square", "few kinds"])
+def test_vector_search_is_exact(spark, kind, monkeypatch):
+    """The very lists of brute force, in several blocks, where codes of four bits tell little of nearness."""
+    monkeypatch.setattr(vector_search, "CANDIDATE_BLOCK", (512, 1024))
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(4000, 10))
+    if kind == "tight heaps":
+        x = rng.normal(size=(4, 10))[rng.integers(0, 4, len(x))] + x * 1e-4
+    elif kind == "uneven components":
+        x[:, 0] *= 1e4
+    elif kind == "far ones":
+        x[::97] *= 1e7
+    elif kind == "heavy tails":
+        x = rng.standard_cauchy(size=x.shape)
+    elif kind == "far from zero":
+        x += 1e9
+    elif kind == "too long to square":
+        x[::50] *= 1e200
+        x[1::50] *= 1e40
+        x[[3, 4], 0] = 1.7e308, -1.7e308
+    else:
+        x = rng.integers(0, 3, size=x.shape).astype(float)
+    found = vector_search.nearest(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")).toPandas()
+    used = np.flatnonzero((x != 0).any(axis=1))
+    for q in [q for q in range(0, len(x), 100) if q in used]:
+        with np.errstate(over="ignore"):
+            far = np.sqrt(np.cumsum((x - x[q]) ** 2, axis=1)[:, -1])
+        order = [i for i in np.lexsort((np.arange(len(x)), far)) if i != q and i in used][:10]
+        own = found[found["query_id"] == q].sort_values("rank")
+        assert own["vec_id"].tolist() == order and own["score"].tolist() == far[order].tolist(), q
+
+
 def test_vector_search_recall_on_the_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
     import numpy as np
