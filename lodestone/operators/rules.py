@@ -128,10 +128,13 @@ def levels(codes: list[str], trees: dict[str, dict | None]) -> dict[str, int]:
     return out
 
 
-def schedule(codes: list[str], trees: dict, offered: dict[str, set], units: dict[str, float], cap: float, n_slots: int, start: str = "S1", year_long: frozenset = frozenset(), clashes: dict | None = None) -> dict:
+def schedule(codes: list[str], trees: dict, offered: dict[str, set], units: dict[str, float], cap: float, n_slots: int | None, start: str = "S1", year_long: frozenset = frozenset(), clashes: dict | None = None) -> dict:
     """Greedy first fit: by level, then larger units, then code; a code goes into the first slot that it is offered in, that has room
-    and whose earlier slots satisfy its prerequisite. Year-long codes take half of their units in each of two slots that follow."""
+    and whose earlier slots satisfy its prerequisite. Year-long codes take half of their units in each of two slots that follow.
+    Without n_slots there are as many as the codes take."""
     codes = list(dict.fromkeys(codes))
+    if n_slots is None:  # a code that fits anywhere fits into one of the three slots that follow those taken
+        n_slots = 3 * len(codes)
     kind = lambda i: ("S1", "S2")[(i + (start != "S1")) % 2]
     level = levels(codes, trees)
     load, place, problems = [0.0] * n_slots, {}, []
@@ -198,8 +201,8 @@ def _plans(plans: DataFrame, *columns: str) -> DataFrame:
     return plans.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("code", *columns))).alias("courses"))
 
 
-def schedules(plans: DataFrame, cap: float = 8.0, n_slots: int = 8) -> DataFrame:
-    """plan_id, code, slot and problem of plans (plan_id, code, units, prerequisite, offered: array)."""
+def schedules(plans: DataFrame, cap: float = 8.0, n_slots: int | None = 8) -> DataFrame:
+    """plan_id, code, slot and problem of plans (plan_id, code, units, prerequisite, offered: array); without n_slots a plan has as many as it takes."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -38,7 +38,7 @@ def plans(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sim15_schedule", "WITH c AS (SELECT DISTINCT l_orderkey AS plan_id, 'PART' || lpad((l_partkey % 10000)::VARCHAR, 4, '0') AS code FROM lineitem) SELECT plan_id, code, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY code) - 1 AS INTEGER) AS slot FROM c")
 def sim15(spark: SparkSession, d: str) -> DataFrame:
-    return rules.schedules(plans(spark, d), n_slots=16).filter("code IS NOT NULL").select("plan_id", "code", "slot")
+    return rules.schedules(plans(spark, d), n_slots=None).filter("code IS NOT NULL").select("plan_id", "code", "slot")
 
 
 @query("sim16_timetable_problems")

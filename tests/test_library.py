@@ -75,6 +75,17 @@ def test_derived(spark):
     assert [r[0] for r in df.select(derive.midterm_status(F.col("a"))).collect()] == ["none", "none", "none", "none", "unknown", "has", "unknown", "none"]
 
 
+def test_schedules_take_as_many_slots_as_plans_need(spark):
+    code = lambda i: f"CODE{i:04d}"
+    chain = [(1, code(i), 2.0, code(i - 1) if i else "", ["S1", "S2"]) for i in range(17)] + [(2, code(i), 2.0, code(i - 1) if i else "", ["S2"]) for i in range(20)]
+    df = spark.createDataFrame(chain, "plan_id long, code string, units double, prerequisite string, offered array<string>")
+    found = {(r.plan_id, r.code): r.slot for r in rules.schedules(df, n_slots=None).collect()}
+    assert found == {(1, code(i)): i for i in range(17)} | {(2, code(i)): 2 * i + 1 for i in range(20)}
+    assert {r.problem for r in rules.schedules(df, n_slots=16).filter("plan_id = 1 AND code IS NULL").collect()} == {f"no slot: {code(16)}"}
+    got = rules.schedule([code(0), code(1)], {}, {}, {code(0): 16.0, code(1): 16.0}, 8.0, None, "S2", frozenset({code(0), code(1)}))
+    assert got["place"] == {code(0): 2, code(1): 4} and not got["problems"]
+
+
 def test_filters_raise_on_nothing(spark):
     with pytest.raises(ValueError):
         filters.where(spark.range(1), {"level": None, "nonsense": 3})
