@@ -258,13 +258,14 @@ def src07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src06_guide_files", "SELECT 'ABCD' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') || '_2025.md' AS name, p_name AS title, CAST(p_partkey AS VARCHAR) AS part, 'about ' || p_name AS body FROM part WHERE p_partkey % 50 = 0 AND p_partkey % 3 <> 0")
 def src06(spark: SparkSession, d: str) -> DataFrame:
-    """Guides as files in a folder, read by their names' pattern; files of other names beside them are no guides. Every fiftieth part has a file."""
+    """Guides as files in a folder, read by their names' pattern; files of other names beside them are no guides. Every fiftieth part has a file; names come again
+    after ten thousand parts, so that each ten thousand have a folder."""
     part = table(spark, d, "part").filter("p_partkey % 50 = 0")
-    name = F.concat(F.when(F.col("p_partkey") % 3 != 0, "ABCD").otherwise("AB"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.lit("_2025"))
+    name = F.concat(F.floor(F.col("p_partkey") / 10000).cast("string"), F.lit("/"), F.when(F.col("p_partkey") % 3 != 0, "ABCD").otherwise("AB"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), F.lit("_2025"))
     text = F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\npart: "), F.col("p_partkey").cast("string"), F.lit("\n---\nabout "), "p_name")
     at = scratch(spark, "guides")
     files.write_named(part.select(name.alias("name"), text.alias("text")), at, "md")
-    return files.guides(spark, at).select("name", F.col("front")["title"].alias("title"), F.col("front")["part"].alias("part"), F.rtrim("body", F.lit("\n")).alias("body"))
+    return files.guides(spark, at, folders=True).select("name", F.col("front")["title"].alias("title"), F.col("front")["part"].alias("part"), F.rtrim("body", F.lit("\n")).alias("body"))
 
 
 FRONT = """course_code: {code}

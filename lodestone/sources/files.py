@@ -51,9 +51,9 @@ def overrides(spark: SparkSession, path: str, key: str, columns: str) -> DataFra
     return df.withColumn(key, checked).groupBy(key).agg(F.max_by(F.struct(*own), "_at").alias("_row")).select(key, "_row.*")
 
 
-def guides(spark: SparkSession, path: str) -> DataFrame:
-    """name, front (map of the lines between the --- marks) and body of guides NAME_YEAR.md; one without front matter raises."""
-    df = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+def guides(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """name, front (map of the lines between the --- marks) and body of guides NAME_YEAR.md, those in folders below too if asked for; one without front matter raises."""
+    df = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", folders).text(path, wholetext=True)
     return parsed_guides(df.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("body")))
 
 
@@ -299,21 +299,28 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_named(df: DataFrame, path: str, suffix: str) -> None:
-    """A file for each row of df (name, text; a name once): name.suffix, with a line feed at its end. Tasks write them side by side elsewhere; when all are whole they get their names, one by one."""
+    """A file for each row of df (name, text): name.suffix, with a line feed at its end; a name may begin with folders (a/b), and one that comes twice raises.
+    Tasks write them side by side elsewhere; when all are whole they get their names, one by one."""
     spark = df.sparkSession
     made = scratch(spark, "named")
-    df.select(F.col("text").alias("value"), F.col("name")).write.partitionBy("name").text(made)
+    once = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("more than one file of a name: "), "name"))).otherwise(F.first("text"))
+    df.groupBy("name").agg(once.alias("value")).select("value", "name").write.partitionBy("name").text(made)
     fs = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     at, to = fs.Path(made), fs.Path(path)
     files = at.getFileSystem(conf)
     files.mkdirs(to)
+    there = set()
     for folder in files.listStatus(at):
         if folder.isDirectory():
-            name = folder.getPath().getName().removeprefix("name=")
+            name = folder.getPath().getName().removeprefix("name=").replace("%2F", "/")
+            if (below := name.rpartition("/")[0]) not in there:
+                files.mkdirs(fs.Path(f"{path}/{below}"))
+                there.add(below)
             for part in files.listStatus(folder.getPath()):
                 if part.getPath().getName().startswith("part-"):
-                    files.rename(part.getPath(), fs.Path(f"{path}/{name}.{suffix}"))
+                    if not files.rename(part.getPath(), fs.Path(f"{path}/{name}.{suffix}")):
+                        raise FileExistsError(f"{path}/{name}.{suffix}")
 
 
 def write_table(df: DataFrame, path: str, sep: str = "\t") -> None:

@@ -9,6 +9,7 @@ from lodestone.functions import derive, text
 from lodestone.functions.stem import stem
 from lodestone.operators import answers, filters, ingest, planner, retrieval, rules
 from lodestone.plans.streams import _STORE, settings
+from lodestone.queries import QUERIES
 from lodestone.sources import files
 from lodestone.streaming import increments, limiter
 
@@ -227,6 +228,11 @@ def test_named_files_and_walks(spark, tmp_path):
     df = spark.createDataFrame([("A", "one\ntwo"), ("B", "")], "name string, text string")
     files.write_named(df, f"file://{tmp_path}/n", "md")
     assert {x.name: x.read_text().rstrip("\n") for x in (tmp_path / "n").iterdir() if not x.name.startswith(".")} == {"A.md": "one\ntwo", "B.md": ""}
+    twice = spark.createDataFrame([("1/A", "one"), ("2/A", "two"), ("B", "three")], "name string, text string")
+    files.write_named(twice, f"file://{tmp_path}/m", "md")
+    assert {str(x.relative_to(tmp_path / "m")): x.read_text() for x in (tmp_path / "m").rglob("[AB].md")} == {"1/A.md": "one\n", "2/A.md": "two\n", "B.md": "three\n"}
+    with pytest.raises(Exception, match="more than one file of a name: A"):
+        files.write_named(df.unionByName(df.limit(1)), f"file://{tmp_path}/o", "md")
     from lodestone.operators import trees
 
     walked = trees.walk(spark.createDataFrame([(1, '{"children": [{"x": 1}, {"children": [{"x": 2}]}]}')], "i int, tree string"), "i", "tree")
@@ -234,6 +240,13 @@ def test_named_files_and_walks(spark, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith("trees_")]
 
 
+def test_guides_whose_names_come_again(spark, tmp_path):
+    """Parts ten thousand apart have files of one name, and each is a guide."""
+    spark.createDataFrame([(k, f"part {k}") for k in (100, 150, 10100, 20100)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    found = sorted((r.name, r.title, r.part, r.body) for r in QUERIES["src06_guide_files"](spark, str(tmp_path)).collect())
+    assert found == [("ABCD0100_2025.md", f"part {k}", str(k), f"about part {k}") for k in (100, 10100)]
+
+
 def test_chunks_of_pages_by_brute_force(spark):
     """Chunks of the pages, in order, are their texts' sections, packed again by a reading of its own."""
     import re
