@@ -14,20 +14,26 @@ from pyspark.sql import functions as F
 
 CODE = r"^[A-Z]{4}[0-9]{4}"
 PARAMS = "array<struct<name string, value variant>>"
+_TEXT = json.JSONEncoder(ensure_ascii=False).encode
 
 
-def _objects(x: object, path: str) -> Iterator[tuple[str, dict]]:
+def _objects(x: dict | list, path: str, out: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
+    """The objects in x with their paths, each before those in it."""
     if isinstance(x, dict):
-        yield path, x
+        out.append((path, x))
         for k, v in x.items():
-            yield from _objects(v, f"{path}/{k}")
+            if isinstance(v, (dict, list)):
+                _objects(v, f"{path}/{k}", out)
     elif isinstance(x, list):
         for i, v in enumerate(x):
-            yield from _objects(v, f"{path}/{i:04d}")
+            if isinstance(v, (dict, list)):
+                _objects(v, f"{path}/{i:04d}", out)
+    return out
 
 
-def objects(pages: DataFrame, id_column: str, text: str) -> DataFrame:
-    """id, at (the place in the page), path and node (variant) of every object in a column of JSON text; a text that can't be read has none."""
+def objects(pages: DataFrame, id_column: str, text: str, having: tuple[str, ...] = ()) -> DataFrame:
+    """id, at (the place in the page), path and node (variant) of every object in a column of JSON text, or of those that have some keys; a text that can't be read has none."""
+    wanted = set(having)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -37,7 +43,7 @@ def objects(pages: DataFrame, id_column: str, text: str) -> DataFrame:
                     top = json.loads(raw or "")
                 except ValueError:
                     continue
-                rows += [(key, i, path, json.dumps(node, ensure_ascii=False)) for i, (path, node) in enumerate(_objects(top, ""))]
+                rows += [(key, i, path, _TEXT(node)) for i, (path, node) in enumerate(_objects(top, "", [])) if wanted <= node.keys()]
             yield pd.DataFrame(rows, columns=["id", "at", "path", "node"])
 
     df = pages.select(F.col(id_column).cast("string").alias("id"), F.col(text).alias("json")).mapInPandas(walk, "id string, at int, path string, node string")
@@ -91,10 +97,14 @@ def rules(nodes: DataFrame) -> DataFrame:
     value = lambda k: F.get(F.filter(shown, lambda p: p["name"] == k), F.lit(0))["value"]
     body = _get(n, "$.body", "array<variant>")
 
-    def item(x: Column) -> Column:
-        row, code = _get(x, "$.rowType"), F.coalesce(_get(x, "$.curriculumReference.code"), F.lit(""))
+    none = F.array().cast("array<string>")
+
+    def read(x: Column) -> Column:
         options = F.filter(F.transform(_get(x, "$.equivalenceGroup", "array<variant>"), lambda o: _get(o, "$.curriculumReference.code")), lambda c: c.isNotNull() & (c != ""))
-        none = F.array().cast("array<string>")
+        return F.struct(_get(x, "$.rowType").alias("row"), F.coalesce(_get(x, "$.curriculumReference.code"), F.lit("")).alias("code"), options.alias("options"))
+
+    def item(x: Column) -> Column:
+        row, code, options = x["row"], x["code"], x["options"]
         kind = (
             F.when((row == "CurriculumReference") & code.rlike(CODE), "course").when((row == "CurriculumReference") & (code != ""), "plan")
             .when((row == "EquivalenceGroup") & (F.size(options) > 0), "equivalence").when(row == "WildCardItem", "wildcard")
@@ -106,7 +116,7 @@ def rules(nodes: DataFrame) -> DataFrame:
         "id", "at", "path", _get(n, f"{header}.partReference").alias("ref"), _squeezed(_get(n, f"{header}.title")).alias("title"), _filled(_squeezed(said), shown).alias("rule_text"),
         F.coalesce(value("N"), _get(n, f"{header}.unitsMin"), _get(n, f"{header}.unitsMinimum")).alias("units_min"), F.coalesce(value("M"), _get(n, f"{header}.unitsMax"), _get(n, f"{header}.unitsMaximum")).alias("units_max"),
         F.when(F.contains(_squeezed(said), F.lit("ALL of the following")), "all").otherwise("select").alias("select_type"), F.nullif(_squeezed(_get(n, f"{header}.ruleLogic")), F.lit("")).alias("rule_logic"),
-        refs.alias("children"), F.filter(F.transform(body, item), lambda x: x["kind"].isNotNull()).alias("items"), _is(n, f"{header}.selectionRule", "OBJECT").alias("_selects"),
+        refs.alias("children"), F.filter(F.transform(F.transform(body, read), item), lambda x: x["kind"].isNotNull()).alias("items"), _is(n, f"{header}.selectionRule", "OBJECT").alias("_selects"),
     )
     return out.filter((F.size("items") > 0) | (F.col("ref").isNotNull() & (F.col("rule_logic").isNotNull() | F.col("_selects")))).drop("_selects")
 
@@ -117,11 +127,12 @@ def _codes(items: Column, kinds: list[str]) -> Column:
 
 def rule_codes(found: DataFrame) -> DataFrame:
     """id, path, ref, and each rule's codes: enumerated (its courses and all options), plans, and below (its own and those of the rules inside it)."""
-    own = found.select("id", "path", "ref", _codes(F.col("items"), ["course", "equivalence"]).alias("enumerated"), _codes(F.col("items"), ["plan"]).alias("plans"))
-    inner = own.select("id", F.col("path").alias("_p"), "enumerated")
-    under = own.select("id", "path").join(inner, "id").filter(F.startswith(F.concat("_p", F.lit("/")), F.concat("path", F.lit("/"))))
-    below = under.groupBy("id", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("enumerated")))).alias("below"))
-    return own.join(below, ["id", "path"])
+    own = found.filter("id IS NOT NULL").select("id", "path", "ref", _codes(F.col("items"), ["course", "equivalence"]).alias("enumerated"), _codes(F.col("items"), ["plan"]).alias("plans"))
+    of_page = own.groupBy("id").agg(F.collect_list(F.struct("path", "ref", "enumerated", "plans")).alias("_all"))
+    inside = lambda x: F.filter("_all", lambda y: F.startswith(F.concat(y["path"], F.lit("/")), F.concat(x["path"], F.lit("/"))))
+    below = lambda x: F.array_sort(F.array_distinct(F.flatten(F.transform(inside(x), lambda y: y["enumerated"]))))
+    rows = of_page.select("id", F.explode(F.transform("_all", lambda x: F.struct(x["path"], x["ref"], x["enumerated"], x["plans"], below(x).alias("below")))).alias("_x"))
+    return rows.select("id", *[F.col(f"_x.{k}") for k in ("path", "ref", "enumerated", "plans", "below")])
 
 
 def auxiliary(nodes: DataFrame) -> DataFrame:

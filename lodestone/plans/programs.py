@@ -46,35 +46,35 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.concat(*[x if isinstance(x, F.Column) else F.lit(x) for x in parts]).alias("page"))
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return programs.objects(pages(spark, d), "p_partkey", "page")
+def nodes(spark: SparkSession, d: str, *having: str) -> DataFrame:
+    return programs.objects(pages(spark, d), "p_partkey", "page", having)
 
 
 @query("jsn03_rules", """SELECT p_partkey, 'A' AS ref, 'Core courses' AS title, 'Take ' || p_size || ' units from ALL of the following' AS rule_text, p_size::VARCHAR AS units_min, 'all' AS select_type, NULL AS rule_logic, '' AS children, CAST(3 AS BIGINT) AS n_items FROM part
     UNION ALL SELECT p_partkey, 'B', 'Choice', '', '4', 'select', 'Part B.1', 'B.1', 0 FROM part UNION ALL SELECT p_partkey, 'B.1', 'Inner', '', NULL, 'select', NULL, '', 2 FROM part""")
 def jsn03(spark: SparkSession, d: str) -> DataFrame:
-    df = programs.rules(nodes(spark, d))
+    df = programs.rules(nodes(spark, d, "header", "body"))
     return df.select(F.col("id").cast("long").alias("p_partkey"), "ref", "title", "rule_text", "units_min", "select_type", "rule_logic", F.array_join("children", "|").alias("children"), F.size("items").cast("long").alias("n_items"))
 
 
 @query("jsn02_rule_codes", """SELECT p_partkey, 'A' AS ref, 'AAAA2000|BBBB2000|PART' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS enumerated, '' AS plans, 'AAAA2000|BBBB2000|PART' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS below FROM part
     UNION ALL SELECT p_partkey, 'B', '', '', 'CCCC3000' FROM part UNION ALL SELECT p_partkey, 'B.1', 'CCCC3000', 'MAJORX', 'CCCC3000' FROM part""")
 def jsn02(spark: SparkSession, d: str) -> DataFrame:
-    df = programs.rule_codes(programs.rules(nodes(spark, d)))
+    df = programs.rule_codes(programs.rules(nodes(spark, d, "header", "body")))
     return df.select(F.col("id").cast("long").alias("p_partkey"), "ref", *[F.array_join(k, "|").alias(k) for k in ("enumerated", "plans", "below")])
 
 
 @query("jsn05_auxiliary", stated("kind VARCHAR, said VARCHAR, codes VARCHAR", AUX_STATED))
 def jsn05(spark: SparkSession, d: str) -> DataFrame:
-    df = programs.auxiliary(nodes(spark, d))
+    df = programs.auxiliary(nodes(spark, d, "auxiliaryRules"))
     return df.select(F.col("id").cast("long").alias("p_partkey"), F.col("type").alias("kind"), F.col("text").alias("said"), F.array_join("exclude_codes", "|").alias("codes"))
 
 
 @query("jsn06_formula", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '( Part A AND Part B ) AND ( Part C OR Part D )' ELSE 'Part A AND Part B' END AS formula FROM part")
 def jsn06(spark: SparkSession, d: str) -> DataFrame:
-    return programs.formulas(nodes(spark, d)).select(F.col("id").cast("long").alias("p_partkey"), "formula")
+    return programs.formulas(nodes(spark, d, "ruleLogic")).select(F.col("id").cast("long").alias("p_partkey"), "formula")
 
 
 @query("jsn07_excluded", "SELECT p_partkey, unnest(['AAAA1000', 'ZZZZ1001']) AS course_code FROM part WHERE p_partkey % 7 = 0")
 def jsn07(spark: SparkSession, d: str) -> DataFrame:
-    return programs.excluded(programs.auxiliary(nodes(spark, d))).select(F.col("program_id").cast("long").alias("p_partkey"), "course_code")
+    return programs.excluded(programs.auxiliary(nodes(spark, d, "auxiliaryRules"))).select(F.col("program_id").cast("long").alias("p_partkey"), "course_code")

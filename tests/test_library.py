@@ -247,6 +247,26 @@ def test_guides_whose_names_come_again(spark, tmp_path):
     assert found == [("ABCD0100_2025.md", f"part {k}", str(k), f"about part {k}") for k in (100, 10100)]
 
 
+def test_rule_codes_read_each_page_once(spark):
+    """Pages are walked once, only rules leave the walk, and what stands inside a rule is told by whole steps of its path."""
+    from lodestone.operators import programs
+
+    course = lambda *xs: [{"rowType": "CurriculumReference", "curriculumReference": {"code": x}} for x in xs]
+    rule = lambda ref, body: {"header": {"partReference": ref}, "body": body}
+    page = {"r": rule("A", [*course("AAAA1000", "PLANX"), rule("B", [*course("BBBB1000"), rule("C", course("CCCC1000", "AAAA1000"))])]), "r2": rule("D", course("DDDD1000")), "x": {"header": {}}}
+    df = spark.createDataFrame([(1, json.dumps(page)), (2, json.dumps(page["r2"])), (3, "{"), (4, None)], "id long, page string")
+    nodes = programs.objects(df, "id", "page", ("header", "body"))
+    assert [(r.id, r.path) for r in nodes.orderBy("id", "at").collect()] == [("1", "/r"), ("1", "/r/body/0002"), ("1", "/r/body/0002/body/0001"), ("1", "/r2"), ("2", "")]
+    assert {tuple(r) for r in nodes.select("id", "at", "path").collect()} < {tuple(r) for r in programs.objects(df, "id", "page").select("id", "at", "path").collect()}
+    found = programs.rule_codes(programs.rules(nodes))
+    assert {(r.id, r.ref): (r.enumerated, r.plans, r.below) for r in found.collect()} == {
+        ("1", "A"): (["AAAA1000"], ["PLANX"], ["AAAA1000", "BBBB1000", "CCCC1000"]), ("1", "B"): (["BBBB1000"], [], ["AAAA1000", "BBBB1000", "CCCC1000"]),
+        ("1", "C"): (["AAAA1000", "CCCC1000"], [], ["AAAA1000", "CCCC1000"]), ("1", "D"): (["DDDD1000"], [], ["DDDD1000"]), ("2", "D"): (["DDDD1000"], [], ["DDDD1000"]),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+
+
 def test_chunks_of_pages_by_brute_force(spark):
     """Chunks of the pages, in order, are their texts' sections, packed again by a reading of its own."""
     import re
