@@ -15,6 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.files import cut
+
+#: Turns in which pairs of courses meet the prerequisites.
+SLICES = 4
 CODE = re.compile(r"[A-Z]{4}[0-9]{4}\b")
 _PREFIXED = re.compile(r"\b([A-Z]{4})?([0-9]{4})\b")
 
@@ -239,11 +243,28 @@ def overall(status: DataFrame) -> DataFrame:
 
 
 def timetable_problems(placed: DataFrame, prerequisites: DataFrame, cap: float) -> DataFrame:
-    """plan_id, problem and code of placed rows (plan_id, code, slot, units, offered) against prerequisites (code, needs): joins only."""
+    """plan_id, problem and code of placed rows (plan_id, code, slot, units, offered) against prerequisites (code, needs).
+
+    Courses meet within their plan, not over all plans that have one of them, and the pairs of which one may be needed by the other meet the prerequisites in SLICES turns, so that
+    only so large a part of them is shuffled at a time.
+    """
     kind = F.when(F.col("slot") % 2 == 0, "S1").otherwise("S2")
-    not_offered = placed.filter(~F.array_contains("offered", kind)).select("plan_id", F.lit("not offered").alias("problem"), "code")
-    needed = placed.select("plan_id", "code", "slot").join(prerequisites, "code")
-    before = placed.select("plan_id", F.col("code").alias("needs"), F.col("slot").alias("_s"))
-    late = needed.join(before, ["plan_id", "needs"]).filter(F.col("_s") >= F.col("slot")).select("plan_id", F.lit("prerequisite later").alias("problem"), "code")
-    over = placed.groupBy("plan_id", "slot").agg(F.sum("units").alias("u")).filter(F.col("u") > cap).select("plan_id", F.lit("over cap").alias("problem"), F.col("slot").cast("string").alias("code"))
-    return not_offered.unionByName(late).unionByName(over)
+    course = F.struct("code", "slot", F.col("units").cast("double").alias("units"), (~F.array_contains("offered", kind)).alias("out"))
+    of_plan = cut(placed.select("plan_id", course.alias("x")).groupBy("plan_id").agg(F.collect_list("x").alias("xs")), "timetable-plans")
+    wanted = cut(prerequisites.select("code", "needs"), "timetable-needs")
+
+    one = of_plan.select("plan_id", "xs", F.explode("xs").alias("x"))
+    not_offered = one.filter("x.out").select("plan_id", F.lit("not offered").alias("problem"), "x.code")
+    slots = of_plan.select("plan_id", "xs", F.explode(F.array_distinct(F.transform("xs", lambda x: x["slot"]))).alias("slot"))
+    load = F.aggregate(F.filter("xs", lambda y: y["slot"].eqNullSafe(F.col("slot"))), F.lit(0.0), lambda s, y: s + F.coalesce(y["units"], F.lit(0.0)))
+    over = slots.filter(load > cap).select("plan_id", F.lit("over cap").alias("problem"), F.col("slot").cast("string").alias("code"))
+
+    own = not wanted.filter("code = needs").isEmpty()
+    later = F.filter("xs", lambda y: (y["slot"] >= F.col("x.slot")) & (F.lit(own) | (y["code"] != F.col("x.code"))))
+    pairs = one.filter("plan_id IS NOT NULL").select("plan_id", F.col("x.code").alias("code"), F.explode(later).alias("y")).select("plan_id", "code", F.col("y.code").alias("needs"))
+    found = not_offered.unionByName(over)
+    for turn in range(SLICES):
+        now = F.pmod(F.xxhash64("code", "needs"), F.lit(SLICES)) == turn
+        late = pairs.filter(now).join(wanted.filter(now), ["code", "needs"]).select("plan_id", F.lit("prerequisite later").alias("problem"), "code")
+        found = found.unionByName(cut(late, "timetable-late"))
+    return found

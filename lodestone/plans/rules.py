@@ -29,7 +29,7 @@ def jsn04(spark: SparkSession, d: str) -> DataFrame:
 def plans(spark: SparkSession, d: str) -> DataFrame:
     """Orders as plans: a course a part, after the part before it in the order."""
     code = F.concat(F.lit("PART"), F.lpad((F.col("l_partkey") % 10000).cast("string"), 4, "0"))
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan_id"), code.alias("code"), F.lit(2.0).alias("units")).distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan_id"), code.alias("code"), F.lit(2.0).alias("units")).repartition("plan_id").distinct()
     from pyspark.sql import Window
 
     before = F.lag("code").over(Window.partitionBy("plan_id").orderBy("code"))

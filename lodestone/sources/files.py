@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import tempfile
@@ -275,6 +276,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a fresh folder and read back; what its plan has shuffled is freed, which Spark else puts off until the driver collects its garbage."""
+    path, spark = scratch(df.sparkSession, name), df.sparkSession
+    df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def identity(spark: SparkSession, path: str) -> tuple:
     """What tells one state of a file or folder from another: the names, sizes and times of its files."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -87,6 +87,24 @@ def test_schedules_take_as_many_slots_as_plans_need(spark):
     assert got["place"] == {code(0): 2, code(1): 4} and not got["problems"]
 
 
+def test_timetable_problems_by_brute_force(spark):
+    """Plans whose courses are needed in many other plans: pairs are made within plans only."""
+    import random
+
+    rng = random.Random(6)
+    placed = [(p, f"C{rng.randrange(12)}", rng.choice([0, 1, 2, 3, None]), rng.choice([2.0, 5.0, None]), rng.choice([["S1"], ["S1", "S2"], None])) for p in [*range(30), None] for _ in range(rng.randrange(7))]
+    needs = sorted({(f"C{rng.randrange(12)}", f"C{rng.randrange(12)}") for _ in range(40)}) + [("C1", "C2"), ("C1", "C2"), ("C3", "C3"), ("C4", None)]
+    wanted = []
+    for p, c, slot, _, offered in placed:
+        wanted += [(p, "not offered", c)] * (offered is not None and ("S1" if slot in (0, 2) else "S2") not in offered)
+        wanted += [(p, "prerequisite later", c) for a, b in needs if a == c and p is not None for q, d, s, *_ in placed if (p, b) == (q, d) and None not in (s, slot) and s >= slot]
+    for p, slot in {(x[0], x[2]) for x in placed}:
+        wanted += [(p, "over cap", None if slot is None else str(slot))] * (sum(x[3] or 0 for x in placed if (x[0], x[2]) == (p, slot)) > 4)
+    df = spark.createDataFrame(placed, "plan_id long, code string, slot int, units double, offered array<string>")
+    found = rules.timetable_problems(df, spark.createDataFrame(needs, "code string, needs string"), 4.0)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str) and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_filters_raise_on_nothing(spark):
     with pytest.raises(ValueError):
         filters.where(spark.range(1), {"level": None, "nonsense": 3})
