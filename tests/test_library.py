@@ -120,6 +120,27 @@ def test_retrieval_limits(spark):
     assert retrieval.knn_join(df.limit(0), df, 2).count() == 0
 
 
+def test_index_search_by_brute_force(spark, monkeypatch):
+    """Each vector stands once in the index, and a search finds the nearest of those that share a bucket, in whatever blocks they lie."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 50)
+    x = np.random.default_rng(3).normal(size=(200, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, embedding array<double>")
+    index = retrieval.hyperplane_index(df, tables=3, planes=4)
+    cells = {r.id: r.cells for r in index.collect()}
+    normals = np.random.default_rng(7).normal(size=(12, 5)).round(6)
+    assert cells == {i: [sum(int(v @ normals[4 * t + p] >= 0) << p for p in range(4)) for t in range(3)] for i, v in enumerate(x)} and index.count() == 200
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = []
+    for q in range(0, 200, 10):
+        meet = [i for i in range(200) if i != q and any(a == b for a, b in zip(cells[i], cells[q], strict=True))]
+        wanted += [(q, i) for i in sorted(meet, key=lambda i: -(unit[i] @ unit[q]))[:4]]
+    found = retrieval.index_search(index, df.filter("id % 10 = 0"), 4)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == sorted(wanted)
+
+
 def test_ingest(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, v int, keep string")
     new = spark.createDataFrame([("b", 5, 1), ("b", None, 2), ("c", 7, 1)], "k string, v int, o int")
