@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.sources.files import cut
 
 #: Turns in which pairs of courses meet the prerequisites.
-SLICES = 4
+SLICES = 3
 CODE = re.compile(r"[A-Z]{4}[0-9]{4}\b")
 _PREFIXED = re.compile(r"\b([A-Z]{4})?([0-9]{4})\b")
 
@@ -260,8 +260,8 @@ def timetable_problems(placed: DataFrame, prerequisites: DataFrame, cap: float)
     over = slots.filter(load > cap).select("plan_id", F.lit("over cap").alias("problem"), F.col("slot").cast("string").alias("code"))
 
     own = not wanted.filter("code = needs").isEmpty()
-    later = F.filter("xs", lambda y: (y["slot"] >= F.col("x.slot")) & (F.lit(own) | (y["code"] != F.col("x.code"))))
-    pairs = one.filter("plan_id IS NOT NULL").select("plan_id", F.col("x.code").alias("code"), F.explode(later).alias("y")).select("plan_id", "code", F.col("y.code").alias("needs"))
+    pairs = one.filter("plan_id IS NOT NULL").select("plan_id", "x", F.explode("xs").alias("y")).filter((F.col("y.slot") >= F.col("x.slot")) & (F.lit(own) | (F.col("y.code") != F.col("x.code"))))
+    pairs = pairs.select("plan_id", F.col("x.code").alias("code"), F.col("y.code").alias("needs"))
     found = not_offered.unionByName(over)
     for turn in range(SLICES):
         now = F.pmod(F.xxhash64("code", "needs"), F.lit(SLICES)) == turn
